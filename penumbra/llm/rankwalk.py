@@ -1,9 +1,13 @@
-"""One ranking out of several scores of different scales: the stationary distribution of a walk over ranks.
+"""One ranking out of several scores of different scales: how often walks over ranks are at each item.
 
-From an item the walk picks one of the scores at random and jumps to any of the items that this score ranks higher, all alike; it
-stays where it is if there is none. With damping it jumps to any item at times. Items are ordered by how often the walk is at them. Only ranks
-enter, so that no score outweighs another by its range. One step is a prefix sum over each score's order: an item receives,
-from all items ranked below it, their share divided by the number of items above them.
+From an item the walk picks one of the scores at random and jumps to any of the items that this score ranks higher, all alike, or to any item
+at all if there is none. With damping it jumps to any item at times. Only ranks enter, so that no score outweighs another by its range.
+One step is a prefix sum over each score's order: an item receives, from all items ranked below it, their share divided by the
+number of items above them.
+
+That walk rewards being first far more than it blames being last: an item that is first by two scores and last by two would
+win. So a second walk, down to lower-ranked items, is taken along, and items are ordered by the ratio of the two stationary
+shares; each score then has an equal say at both ends.
 
 Groups of up to LOCAL items are walked within one task each; larger ones by the same steps over distributed running sums.
 """
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from penumbra.plans.ordered import BLOCK, range_blocks, running_sum
+from penumbra.plans.ordered import range_blocks, running_sum
 from penumbra.session import materialize
 
 LOCAL = 200_000
@@ -42,7 +46,8 @@ def stationary(worse: np.ndarray, damping: float = DAMPING, tol: float = 1e-13,
             p = pi[order]
             gives = np.divide(p, above, out=np.zeros(n), where=above > 0)
             below = np.append(np.cumsum(gives[::-1])[::-1], 0.0)[end]  # suffix sums
-            new[order] += below + np.where(above == 0, p, 0.0)
+            new[order] += below
+            new += p[above == 0].sum() / n
         new = (1 - damping) / n + damping * new / m
         new /= new.sum()
         done = np.abs(new - pi).sum() < tol
@@ -62,7 +67,9 @@ def _worse_number(df: DataFrame, scores: dict[str, int]) -> DataFrame:
 
 
 def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, int], damping: float = DAMPING, local: int = LOCAL, steps: int = 60) -> DataFrame:
-    """Rows (group, item, share, position): position 1 is the first of its group; equal shares are ordered by item.
+    """Rows (group, item, share, position): share is the ratio of up-walk to down-walk; position 1 is the first of its group.
+
+    Equal shares are ordered by item.
 
     scores maps a column to 1 if more is better, -1 if less is. A null or NaN score is the worst of its group. Rows repeated for one group and item
     count once (of differing copies, the one with the least score values). Rows whose group or item is null are left out; an empty table
@@ -81,7 +88,7 @@ def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, int], damp
         w = np.where(np.isnan(w), np.inf, w)
         # an infinite score that is no null still ranks before the nulls
         ranks = np.column_stack([pd.Series(list(zip(np.isnan(pdf[f"_w{i}"].to_numpy(float)), w[:, i]))).rank(method="min") for i in range(m)])
-        share = np.round(stationary(ranks, damping), 12)
+        share = np.round(stationary(ranks, damping) / stationary(-ranks, damping), 9)
         out = pd.DataFrame({group: pdf[group], item: pdf[item], "share": share}).sort_values(["share", item], ascending=[False, True])
         out["position"] = np.arange(1, len(out) + 1)
         return out
@@ -101,23 +108,31 @@ def _distributed(one: DataFrame, group: str, item: str, m: int, damping: float,
     long = one.select(group, item, w.alias("_x")).select(group, item, "_x.*")
     keys, order = [group, "s"], [F.col("bad"), F.col("w")]
     ties = range_blocks(long.groupBy(*keys, "bad", "w").agg(F.count(F.lit(1)).alias("size")), keys, order)
-    above = running_sum(ties, keys, order, "size", "upto").withColumn("above", F.col("upto") - F.col("size")).drop("upto", "size")
+    ran = running_sum(ties, keys, order, "size", "upto", "all")
+    up = ran.select(*keys, "bad", "w", (F.col("upto") - F.col("size")).alias("up"), (F.col("all") - F.col("upto")).alias("down"))
     ties = ties.drop("size")
-    long = materialize(long.join(above, [*keys, "bad", "w"]), "long")
-    n = one.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    pi = materialize(one.select(group, item).join(F.broadcast(n), group).withColumn("share", 1 / F.col("_n")), "pi")
-    for _ in range(steps):
-        at = long.join(pi, [group, item])
-        gives = at.groupBy(*keys, "bad", "w").agg(F.sum(F.when(F.col("above") > 0, F.col("share") / F.col("above")).otherwise(0.0)).alias("gives"))
-        run = running_sum(gives.join(ties, [*keys, "bad", "w"]), keys, order, "gives", "_cum", "_all")
-        below = run.select(*keys, "bad", "w", (F.col("_all") - F.col("_cum")).alias("below"))
-        got = at.join(below, [*keys, "bad", "w"]).groupBy(group, item).agg(F.sum(F.col("below") + F.when(F.col("above") == 0, F.col("share")).otherwise(0.0)).alias("_got"), F.first("_n").alias("_n"))
-        new = materialize(got.select(group, item, "_n", ((1 - damping) / F.col("_n") + damping * F.col("_got") / m).alias("share")), "pi")
-        moved = new.alias("a").join(pi.alias("b"), [group, item]).agg(F.sum(F.abs(F.col("a.share") - F.col("b.share")))).first()[0]
-        pi = new
-        if moved is None or moved < 1e-12:
-            break
-    done = range_blocks(pi.select(group, item, F.round("share", 12).alias("share"), F.lit(1).alias("_one")), [group], [F.desc("share"), F.col(item)])
+    long = materialize(long.join(up, [*keys, "bad", "w"]), "long")
+    n = one.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))  # one row per group that is too large for a task
+    start = one.select(group, item).join(n, group)
+    shares = []
+    for way in ("up", "down"):
+        pi = materialize(start.withColumn("share", 1 / F.col("_n")), "pi")
+        for _ in range(steps):
+            at = long.join(pi, [group, item])
+            gives = at.groupBy(*keys, "bad", "w").agg(F.sum(F.when(F.col(way) > 0, F.col("share") / F.col(way)).otherwise(0.0)).alias("gives"))
+            run = running_sum(gives.join(ties, [*keys, "bad", "w"]), keys, order, "gives", "_cum", "_all")
+            far = F.col("_all") - F.col("_cum") if way == "up" else F.col("_cum") - F.col("gives")
+            lost = at.where(F.col(way) == 0).groupBy(group).agg(F.sum("share").alias("_lost"))
+            got = at.join(run.select(*keys, "bad", "w", far.alias("far")), [*keys, "bad", "w"]).groupBy(group, item).agg(F.sum("far").alias("_got"), F.first("_n").alias("_n")).join(lost, group)
+            new = (1 - damping) / F.col("_n") + damping * (F.col("_got") + F.col("_lost") / F.col("_n")) / m
+            new = materialize(got.select(group, item, "_n", new.alias("share")), "pi")
+            moved = new.alias("a").join(pi.alias("b"), [group, item]).agg(F.sum(F.abs(F.col("a.share") - F.col("b.share")))).first()[0]
+            pi = new
+            if moved is None or moved < 1e-12:
+                break
+        shares.append(pi.select(group, item, F.col("share").alias(way)))
+    pi = shares[0].join(shares[1], [group, item]).select(group, item, (F.col("up") / F.col("down")).alias("share"))
+    done = range_blocks(pi.select(group, item, F.round("share", 9).alias("share"), F.lit(1).alias("_one")), [group], [F.desc("share"), F.col(item)])
     return running_sum(done, [group], [F.desc("share"), F.col(item)], "_one", "position").select(group, item, "share", F.col("position").cast("long"))
 
 
