@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penumbra.llm import bpe, percentiles, rankwalk, topn
+from penumbra.llm import bpe, leak, percentiles, rankwalk, topn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,15 @@ def p4_days_together(spark, sf):
 @query
 def p6_ids(spark, sf):
     return bpe.encode(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query
+def p7_found(spark, sf):
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "eval_items")
+    return leak.find_leaks(docs, "doc_id", "text", items, "item_id", "text")
+
+
+@query
+def p7_items(spark, sf):
+    """How many documents hold each item that leaked."""
+    return p7_found(spark, sf).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
