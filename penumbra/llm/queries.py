@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penumbra.llm import bpe, leak, percentiles, rankwalk, topn
+from penumbra.llm import bpe, leak, percentiles, rankwalk, topn, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,13 @@ def p7_found(spark, sf):
 def p7_items(spark, sf):
     """How many documents hold each item that leaked."""
     return p7_found(spark, sf).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+@query
+def p8_found(spark, sf):
+    return truncation.find_cut(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query
+def p8_sources(spark, sf):
+    return truncation.cut_by_source(table(spark, sf, "documents"), "doc_id", "text", "source")
