@@ -32,23 +32,20 @@ DAMPING = 0.85
 def stationary(worse: np.ndarray, damping: float = DAMPING, tol: float = 1e-13, max_iter: int = 300) -> np.ndarray:
     """Stationary shares of n items; worse is (n, scores), where a larger number is a worse rank and equal numbers are ties."""
     n, m = worse.shape
-    plans = []
-    for s in range(m):
-        order = np.argsort(worse[:, s], kind="stable")
-        v = worse[order, s]
-        above = np.searchsorted(v, v, "left")  # items strictly better
-        end = np.searchsorted(v, v, "right")  # where the strictly worse ones begin
-        plans.append((order, above, end))
+    order = np.argsort(worse, axis=0, kind="stable")
+    v = np.take_along_axis(worse, order, axis=0)
+    above = np.column_stack([np.searchsorted(v[:, s], v[:, s], "left") for s in range(m)])  # items strictly better
+    end = np.column_stack([np.searchsorted(v[:, s], v[:, s], "right") for s in range(m)])  # where the strictly worse ones begin
+    top = above == 0
+    weight = np.where(top, 0.0, 1.0 / np.maximum(above, 1))
+    flat = order.ravel()
+    below = np.zeros((n + 1, m))
     pi = np.full(n, 1.0 / n)
     for _ in range(max_iter):
-        new = np.zeros(n)
-        for order, above, end in plans:
-            p = pi[order]
-            gives = np.divide(p, above, out=np.zeros(n), where=above > 0)
-            below = np.append(np.cumsum(gives[::-1])[::-1], 0.0)[end]  # suffix sums
-            new[order] += below
-            new += p[above == 0].sum() / n
-        new = (1 - damping) / n + damping * new / m
+        p = pi[order]
+        below[:n] = np.cumsum((p * weight)[::-1], axis=0)[::-1]  # suffix sums
+        got = np.bincount(flat, np.take_along_axis(below, end, axis=0).ravel(), n) + (p * top).sum() / n
+        new = (1 - damping) / n + damping * got / m
         new /= new.sum()
         done = np.abs(new - pi).sum() < tol
         pi = new
@@ -85,9 +82,8 @@ def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, int], damp
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         w = pdf[[f"_w{i}" for i in range(m)]].to_numpy(float)
-        w = np.where(np.isnan(w), np.inf, w)
-        # an infinite score that is no null still ranks before the nulls
-        ranks = np.column_stack([pd.Series(list(zip(np.isnan(pdf[f"_w{i}"].to_numpy(float)), w[:, i]))).rank(method="min") for i in range(m)])
+        # dense ranks; NaN sorts last, after infinity, and is one rank
+        ranks = np.column_stack([np.unique(w[:, i], return_inverse=True)[1] for i in range(m)]).astype(float)
         share = np.round(stationary(ranks, damping) / stationary(-ranks, damping), 9)
         out = pd.DataFrame({group: pdf[group], item: pdf[item], "share": share}).sort_values(["share", item], ascending=[False, True])
         out["position"] = np.arange(1, len(out) + 1)
@@ -96,6 +92,8 @@ def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, int], damp
     if len(big) > 100_000:
         raise ValueError("too many groups of more than `local` items: raise `local`")
     small = one.where(~F.col(group).isin(big)) if big else one
+    # few bytes but much work: as many tasks as the session has partitions, which adaptive execution must not merge
+    small = small.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group)
     res = small.groupBy(group).applyInPandas(walk, schema)
     if big:
         res = res.unionByName(_distributed(one.where(F.col(group).isin(big)), group, item, m, damping, steps))
