@@ -223,9 +223,9 @@ def fcc_step(spark, sf):
 
 @query(
     sql=f"""{base()}, n as (select *, sqrt(d2) as d, min(sqrt(d2)) over (partition by id) as least from d0),
-s as (select id, k, case when d <= 1.2 * greatest(least, 2.2250738585072014e-308) or d = least then 1.0 else 0.0 end as upper from n),
+s as (select id, k, case when d <= 1.2 * greatest(least, 2.2250738585072014e-308) or d = least then 1.0::double else 0.0::double end as upper from n),
 t as (select *, sum(upper) over (partition by id) as c from s)
-select id as vec_id, cast(k as integer) as k, case when c = 1 then upper else 0.0 end as lower, upper, round(upper / c, 6) as u from t"""
+select id as vec_id, cast(k as integer) as k, case when c = 1 then upper else 0.0::double end as lower, upper, round(upper / c, 6) as u from t"""
 )
 def rough_kmeans_approx(spark, sf):
     p, c = points(spark, sf)
