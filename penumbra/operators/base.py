@@ -31,6 +31,23 @@ def _block(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     return b.column(0).to_numpy(zero_copy_only=False), x, [b.column(i).to_numpy(zero_copy_only=False) for i in range(2, b.num_columns)]
 
 
+def _joined(t: pa.Table, extra: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    b = t.combine_chunks().to_batches()
+    return _block(b[0]) if b else (np.zeros(0, np.int64), np.zeros((0, 0)), [np.zeros(0)] * extra)
+
+
+def _once(block: tuple) -> tuple:
+    """The rows in the order of their ids; of one id the first by its values."""
+    ids, x, extra = block
+    if len(ids) and (np.diff(ids) > 0).all():
+        return block
+    order = np.argsort(ids, kind="stable")
+    if (np.diff(ids[order]) == 0).any():
+        order = np.lexsort([*x.T[::-1], ids])
+        order = order[np.append(True, np.diff(ids[order]) != 0)]
+    return ids[order], x[order], [e[order] for e in extra]
+
+
 class Points:
     """Rows (id, features, further columns) ready for repeated sweeps.
 
@@ -42,18 +59,18 @@ class Points:
         id_col, feat = df.columns[0], "features" if "features" in df.columns else df.columns[1]
         clean = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat).cast("array<double>").alias("features"), *extra)
         clean = clean.where("id is not null and features is not null and size(features) > 0 and forall(features, v -> v is not null and not isnan(v) and abs(v) < double('infinity'))")
-        self.df = clean.dropDuplicates(["id"])
-        self.df.persist(StorageLevel.MEMORY_AND_DISK)
-        s = self.df.agg(F.count(F.lit(1)), F.min(F.size("features")), F.max(F.size("features"))).first()
+        s = clean.agg(F.count(F.lit(1)), F.min(F.size("features")), F.max(F.size("features"))).first()
         self.n, self.d = s[0], s[2] or 0
         if s[1] != s[2]:
             raise ValueError(f"features have {s[1]} to {s[2]} values")
-        self.local: tuple | None = None
+        self.df, self.local = clean, None
         if self.n * max(1, self.d) <= local_values:
-            t = self.df.orderBy("id").toArrow().combine_chunks()
-            b = t.to_batches()
-            self.local = _block(b[0]) if b else (np.zeros(0, np.int64), np.zeros((0, self.d)), [np.zeros(0) for _ in extra])
-            self.df.unpersist()
+            self.local = _once(_joined(clean.toArrow(), len(extra)))
+            self.n = len(self.local[0])
+            return
+        self.df = clean.dropDuplicates(["id"])
+        self.df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.n = self.df.count()
 
     def reduce(self, fn: Callable[..., tuple]) -> list[np.ndarray]:
         """Sums over all blocks of what fn(ids, x, *extra) gives (a tuple of arrays)."""
@@ -120,8 +137,7 @@ class Points:
         if self.n > limit:
             raise ValueError(f"{self.n} rows: {why} is limited to {limit}")
         if self.local is None:
-            b = self.df.orderBy("id").toArrow().combine_chunks().to_batches()
-            return _block(b[0])
+            return _once(_joined(self.df.toArrow(), 0))
         return self.local
 
 
