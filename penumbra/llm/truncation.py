@@ -5,7 +5,8 @@ cut. Numbers and capitalised words count as one word each, so that names do not
 its first trigrams. A last word that was itself cut is no known word: then the trigram before it decides, by how often at
 most one word follows it.
 
-If both are too rare to tell, the word itself does: common words, numbers and names also close lines, a word in small letters that never
+A word that was cut may itself be
+seen often, if many pages are cut alike; it is known by a longer word that starts with it and follows the same two words far more often. If both are too rare to tell, the word itself does: common words, numbers and names also close lines, a word in small letters that never
 followed these words before does not.
 
 An exact check follows: a text whose last line ends with a full stop, is a list entry or has a label in front was not cut inside a
@@ -46,18 +47,20 @@ def _sql(spark: SparkSession, query: str, **views: DataFrame) -> DataFrame:
     return spark.sql(query, **views)
 
 
-_TRIGRAM = "xxhash64(if(t[i - 1] = '\\n', '\\n', t[i - 2]), t[i - 1], t[i])"
+_PAIR = "xxhash64(if(t[i - 1] = '\\n', '\\n', t[i - 2]), t[i - 1])"
+LONGER = 2  # times that the longer word must be more frequent
 
 
 def trigram_ends(docs: DataFrame) -> DataFrame:
-    """For each trigram of the texts (as a 64-bit hash): seen, at_end (of a line or text), near_end (one word follows)."""
+    """For each trigram of the texts, as (hash of two words, third word, hash of all): seen, at_end (of a line or text), near_end (one word follows)."""
     return _sql(
         docs.sparkSession,
         f"""
 with w as (select concat(array('\\n', '\\n'), {_tokens("text")}, array('\\n', '\\n')) as t from :docs:),
-e as (select explode(transform(sequence(2, size(t) - 3), i -> if(t[i] = '\\n', null, struct({_TRIGRAM} as h,
-      if(t[i + 1] = '\\n', 2, if(t[i + 2] = '\\n', 1, 0)) as e)))) as x from w where size(t) > 4)
-select x.h as h, count(*) as seen, count_if(x.e = 2) as at_end, count_if(x.e = 1) as near_end from e where x is not null group by x.h""",
+e as (select explode(transform(sequence(2, size(t) - 3), i -> if(t[i] = '\\n', null, struct({_PAIR} as p, t[i] as w,
+      if(t[i + 1] = '\\n', 2, if(t[i + 2] = '\\n', 1, 0)) as e)))) as x from w where size(t) > 4),
+g as (select x.p as p, x.w as w, count(*) as seen, count_if(x.e = 2) as at_end, count_if(x.e = 1) as near_end from e where x is not null group by x.p, x.w)
+select p, w, xxhash64(p, w) as h, seen, at_end, near_end from g""",
         docs=docs,
     )
 
@@ -66,29 +69,40 @@ def find_cut(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key): texts that stop inside a word or sentence, whether or not something was put behind the cut.
 
     Null, empty and blank texts are none; repeated rows give repeated rows; an empty table gives an empty one. The trigrams of all texts are
-    counted, long texts whole. What is shuffled are counts of trigrams, summed on the map side first, and two hashes for each
-    text that does not end with a sentence.
+    counted, long texts whole. What is shuffled are counts of trigrams, summed on the map side first, and the last words of those
+    texts that do not end with a sentence.
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("text")).where("text is not null and text rlike '[^\\\\s\\\\p{Z}]'")
+    at = lambda n: _PAIR.replace("[i", f"[size(t) - {n}")
     last = _sql(
         spark,
         f"""
 with a as (select k, regexp_extract(regexp_replace(substring_index(regexp_replace(text, '[\\\\s\\\\p{{Z}}]+$', ''), '\\n', -1), '{MARKS}', ''), '^[\\\\s\\\\p{{Z}}]*(.*?)[\\\\s\\\\p{{Z}}]*$', 1) as line from :docs:),
 b as (select k, line from a where line <> '' and not line rlike '{SENTENCE_END}' and not line rlike '{LIST_ENTRY}' and not line rlike '{LABEL}'),
 c as (select k, concat(array('\\n', '\\n', '\\n'), {_tokens("line")}) as t from b)
-select k, {_TRIGRAM.replace("[i", "[size(t) - 1")} as h0, {_TRIGRAM.replace("[i", "[size(t) - 2")} as h1, t[size(t) - 1] rlike '^[\\\\p{{Ll}}\\\\p{{Lo}}]' as small from c where size(t) > 3""",
+select k, {at(1)} as p0, t[size(t) - 1] as w0, xxhash64({at(1)}, t[size(t) - 1]) as h0, xxhash64({at(2)}, t[size(t) - 2]) as h1,
+       t[size(t) - 1] rlike '^[\\\\p{{Ll}}\\\\p{{Lo}}]' as small from c where size(t) > 3""",
         docs=docs,
     )
     last = materialize(last, "last")
-    ends = trigram_ends(docs)
+    ends = materialize(trigram_ends(docs), "ends")
     asked = _sql(spark, "select distinct h from (select explode(array(h0, h1)) as h from :last:)", last=last)
+    # how often a longer word follows the same two words; both sides are distinct trigrams
+    longer = _sql(
+        spark,
+        f"""select q.h, max(e.seen) as longer from (select distinct p0 as p, w0 as w, h0 as h from :last: where small) q
+        join :ends: e on e.p = q.p and left(e.w, 1) = left(q.w, 1) where length(e.w) > length(q.w) and startswith(e.w, q.w)
+        and e.seen >= {SUPPORT} and e.at_end <= {AT_END} * e.seen group by q.h""",
+        last=last, ends=ends,
+    )
     # what is known of each last trigram, without the one occurrence that asks
     known = _sql(
         spark,
         f"""select h, seen - 1 >= {SUPPORT} as known, at_end - 1 <= {AT_END} * (seen - 1) as inner_only,
-        near_end + at_end - 1 <= {AT_END} * (seen - 1) as far_only from :ends: left semi join :asked: using (h)""",
-        ends=ends, asked=asked,
+        near_end + at_end - 1 <= {AT_END} * (seen - 1) as far_only, coalesce(longer, 0) >= {LONGER} * seen as part
+        from :ends: left semi join :asked: using (h) left join :longer: using (h)""",
+        ends=ends, asked=asked, longer=longer,
     )
     known = materialize(known, "known")
     if known.count() <= BROADCAST_ROWS:
@@ -96,7 +110,7 @@ select k, {_TRIGRAM.replace("[i", "[size(t) - 1")} as h0, {_TRIGRAM.replace("[i"
     a, b = known.alias("a"), known.alias("b")
     res = last.join(a, F.col("h0") == F.col("a.h"), "left").join(b, F.col("h1") == F.col("b.h"), "left")
     # the final trigram decides if it is known, else the one before it
-    return res.where("case when a.known then a.inner_only when b.known then b.far_only else small end").select(F.col("k").alias(key))
+    return res.where("case when a.part then true when a.known then a.inner_only when b.known then b.far_only else small end").select(F.col("k").alias(key))
 
 
 def cut_by_source(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
