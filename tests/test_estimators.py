@@ -210,3 +210,11 @@ def test_points_first_is_the_same_in_tasks(spark):
     key = lambda ids, x: np.round(x[:, 0])
     a, b = (Points(frame(spark), local_values=n).first(key, 7) for n in (base.LOCAL_VALUES, 0))
     assert (a[0] == b[0]).all() and np.allclose(a[1], b[1])
+
+
+def test_names_of_the_package():
+    import penumbra
+
+    assert set(penumbra.__all__) == set(REGISTRY) and all(getattr(penumbra, n) is REGISTRY[n] for n in penumbra.__all__)
+    with pytest.raises(AttributeError):
+        penumbra.NOTHING
