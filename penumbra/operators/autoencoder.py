@@ -101,4 +101,4 @@ class RDFKC(_Pairwise):
             u = (pull + lam[:, None]) / (2 * q + 1e-8)
             history.append(value)
         u = np.maximum(u, 0)
-        return Model("RDFKC", long_form(p.spark, ids, u / np.maximum(u.sum(1, keepdims=True), 1e-12)), k, centers=v, history=history, n_iter=len(history), extras={"code": z})
+        return Model("RDFKC", lambda: long_form(p.spark, ids, u / np.maximum(u.sum(1, keepdims=True), 1e-12)), k, centers=v, history=history, n_iter=len(history), extras={"code": z})

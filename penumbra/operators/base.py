@@ -148,10 +148,13 @@ def long_form(spark: SparkSession, ids: np.ndarray, u: np.ndarray) -> DataFrame:
 
 @dataclass
 class Model:
-    """What a fit gives. memberships: (id, k, u). centers: (k, d) or None. extras: by name, what else the operator publishes."""
+    """What a fit gives. memberships: (id, k, u). centers: (k, d) or None. extras: by name, what else the operator publishes.
+
+    source is the memberships or makes them when they are first asked for.
+    """
 
     name: str
-    memberships: DataFrame
+    source: DataFrame | Callable[[], DataFrame]
     n_clusters: int
     centers: np.ndarray | None = None
     history: list[float] = field(default_factory=list)
@@ -160,6 +163,12 @@ class Model:
     extras: dict[str, Any] = field(default_factory=dict)
     rule: Callable[[np.ndarray], np.ndarray] | None = None
 
+    @property
+    def memberships(self) -> DataFrame:
+        if callable(self.source):
+            self.source = self.source()
+        return self.source
+
     def labels(self) -> DataFrame:
         """(id, label): the cluster of largest membership, the lowest of equal ones."""
         return self.memberships.groupBy("id").agg((-F.max(F.struct("u", (-F.col("k")).alias("m")))["m"]).alias("label"))
@@ -260,7 +269,7 @@ class Estimator:
         return kmeanspp(p, self.k, self.seed or 0) if how == "kmeans++" else random_rows(p, self.k, self.seed or 0)
 
     def model(self, p: Points, fn: Callable[..., np.ndarray], k: int, **more: Any) -> Model:
-        return Model(type(self).__name__, p.assign(fn), k, constrained=self.CONSTRAINED, **more)
+        return Model(type(self).__name__, lambda: p.assign(fn), k, constrained=self.CONSTRAINED, **more)
 
 
 def random_rows(p: Points, k: int, seed: int) -> np.ndarray:

@@ -85,7 +85,7 @@ class _GraphFit(Estimator):
         return g
 
     def result(self, g: Graph, u: np.ndarray, **more) -> Model:
-        return Model(type(self).__name__, long_form(g.spark, g.ids, u), u.shape[1], constrained=self.CONSTRAINED, **more)
+        return Model(type(self).__name__, lambda: long_form(g.spark, g.ids, u), u.shape[1], constrained=self.CONSTRAINED, **more)
 
 
 @register

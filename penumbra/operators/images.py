@@ -72,7 +72,7 @@ class AFCMAdaptive(Estimator):
             u, steps = ratio(d.reshape(h * w, -1), 1 / (self.m - 1)).reshape(h, w, -1), steps + 1
             if np.linalg.norm(c - before) < self.tol:
                 break
-        return Model("AFCMAdaptive", long_form(df.sparkSession, ids, u.reshape(h * w, -1)), self.k, centers=c[:, None], n_iter=steps, extras={"multiplier": b, "shape": (h, w)})
+        return Model("AFCMAdaptive", lambda: long_form(df.sparkSession, ids, u.reshape(h * w, -1)), self.k, centers=c[:, None], n_iter=steps, extras={"multiplier": b, "shape": (h, w)})
 
 
 @register
@@ -96,4 +96,4 @@ class SKFCM(Estimator):
             moved, u = np.linalg.norm(new - u), new
             if moved < self.tol:
                 break
-        return Model("SKFCM", long_form(spark, ids, u), self.k, n_iter=steps, extras={"shape": (h, w)})
+        return Model("SKFCM", lambda: long_form(spark, ids, u), self.k, n_iter=steps, extras={"shape": (h, w)})

@@ -49,7 +49,7 @@ class _Pairwise(Estimator):
         return p, ids, x
 
     def result(self, p: Points, ids: np.ndarray, u: np.ndarray, **more) -> Model:
-        return Model(type(self).__name__, long_form(p.spark, ids, u), u.shape[1], constrained=self.CONSTRAINED, **more)
+        return Model(type(self).__name__, lambda: long_form(p.spark, ids, u), u.shape[1], constrained=self.CONSTRAINED, **more)
 
 
 @register

@@ -309,7 +309,7 @@ class KFCM(Estimator):
             raise ValueError("sigma must be positive")
 
     def kernel(self, x, c):
-        return np.exp(-(dist(x, c) ** 2) / self.sigma**2)
+        return np.exp(-sqdist(x, c) / self.sigma**2)
 
     def u(self, x, c):
         d = 1 - self.kernel(x, c)
@@ -333,6 +333,8 @@ class KFCM(Estimator):
 
 def _largest_move(p: Points, a, b) -> float:
     """Largest change of a membership; a maximum, so it goes by the row of largest change and not by sums."""
+    if p.local is not None:
+        return float(np.abs(b(*p.local[:2]) - a(*p.local[:2])).max())
     ids, x = p.first(lambda ids, x: -np.abs(b(ids, x) - a(ids, x)).max(1), 1)
     return float(np.abs(b(ids, x) - a(ids, x)).max())
 
