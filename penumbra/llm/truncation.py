@@ -9,6 +9,9 @@ A word that was cut may itself be
 seen often, if many pages are cut alike; it is known by a longer word that starts with it and follows the same two words far more often. If both are too rare to tell, the word itself does: common words, numbers and names also close lines, a word in small letters that never
 followed these words before does not.
 
+Pages are counted, not rows: copies of one page (fetched again, mirrored under another menu) weigh one together, else a cut page that stands
+often would make its own last trigram a usual end.
+
 An exact check follows: a text whose last line ends with a full stop, is a list entry or has a label in front was not cut inside a
 sentence.
 """
@@ -23,6 +26,7 @@ from penumbra.session import materialize
 SUPPORT = 4  # least times that a trigram is seen elsewhere to decide
 AT_END = 0.2  # largest share of ends of a trigram that is no way to end
 BROADCAST_ROWS = 1_000_000
+HEAVY = 1000  # copies of a page from which they are never shuffled by page, so that no task gets them all
 
 # fixed values: what is put behind a cut, or is left of markup that was cut; how a sentence ends; how a list
 # entry and a line with a label (byline, tags, credit) begin
@@ -51,15 +55,44 @@ _PAIR = "xxhash64(if(t[i - 1] = '\\n', '\\n', t[i - 2]), t[i - 1])"
 LONGER = 2  # times that the longer word must be more frequent
 
 
+def weighed(docs: DataFrame) -> DataFrame:
+    """(text, n): each text with the number of rows that hold its page.
+
+    Rows hold one page if the longest line and all behind it are equal, up to what is put behind a cut; the menu above may differ. Only hashes
+    are shuffled, summed on the map side first, unless more than BROADCAST_ROWS pages have copies.
+    """
+    spark = docs.sparkSession
+    pages = _sql(
+        spark,
+        f"""
+with a as (select text, regexp_replace(text, '[\\s\\p{{Z}}]+$', '') as x from :docs:),
+b as (select text, x, substring_index(x, '\n', -1) as line from a),
+c as (select text, concat(left(x, length(x) - length(line)), rtrim(regexp_replace(line, '{MARKS}', ''))) as x from b),
+d as (select text, x, array_max(transform(split(x, '\n'), l -> struct(length(l) as n, l as l))).l as l from c)
+select text, xxhash64(substring(x, instr(x, l))) as g from d""",
+        docs=docs,
+    )
+    copies = materialize(pages.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    if copies.count() <= BROADCAST_ROWS:
+        return pages.join(F.broadcast(copies), "g", "left").select("text", F.coalesce("n", F.lit(1)).alias("n"))
+    heavy, light = copies.where(f"n > {HEAVY}").withColumnRenamed("n", "m"), copies.where(f"n <= {HEAVY}")
+    # rows of heavy pages are settled by the first join and spread by a key of their own in the second
+    rest = pages.join(F.broadcast(heavy), "g", "left").select("text", "m", F.when(F.col("m").isNull(), F.col("g")).otherwise(F.xxhash64(F.monotonically_increasing_id())).alias("g"))
+    return rest.join(light, "g", "left").select("text", F.coalesce("m", "n", F.lit(1)).alias("n"))
+
+
 def trigram_ends(docs: DataFrame) -> DataFrame:
-    """For each trigram of the texts, as (hash of two words, third word, hash of all): seen, at_end (of a line or text), near_end (one word follows)."""
+    """For each trigram of the texts, as (hash of two words, third word, hash of all): seen, at_end (of a line or text), near_end (one word follows).
+
+    A text counts as 1 / n. Sums are rounded, so that they don't depend on the order of rows.
+    """
     return _sql(
         docs.sparkSession,
         f"""
-with w as (select concat(array('\\n', '\\n'), {_tokens("text")}, array('\\n', '\\n')) as t from :docs:),
-e as (select explode(transform(sequence(2, size(t) - 3), i -> if(t[i] = '\\n', null, struct({_PAIR} as p, t[i] as w,
+with w as (select 1D / n as c, concat(array('\\n', '\\n'), {_tokens("text")}, array('\\n', '\\n')) as t from :docs:),
+e as (select c, explode(transform(sequence(2, size(t) - 3), i -> if(t[i] = '\\n', null, struct({_PAIR} as p, t[i] as w,
       if(t[i + 1] = '\\n', 2, if(t[i + 2] = '\\n', 1, 0)) as e)))) as x from w where size(t) > 4),
-g as (select x.p as p, x.w as w, count(*) as seen, count_if(x.e = 2) as at_end, count_if(x.e = 1) as near_end from e where x is not null group by x.p, x.w)
+g as (select x.p as p, x.w as w, round(sum(c), 6) as seen, round(sum(if(x.e = 2, c, 0D)), 6) as at_end, round(sum(if(x.e = 1, c, 0D)), 6) as near_end from e where x is not null group by x.p, x.w)
 select p, w, xxhash64(p, w) as h, seen, at_end, near_end from g""",
         docs=docs,
     )
@@ -69,8 +102,8 @@ def find_cut(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key): texts that stop inside a word or sentence, whether or not something was put behind the cut.
 
     Null, empty and blank texts are none; repeated rows give repeated rows; an empty table gives an empty one. The trigrams of all texts are
-    counted, long texts whole. What is shuffled are counts of trigrams, summed on the map side first, and the last words of those
-    texts that do not end with a sentence.
+    counted, long texts whole, copies of a page once. What is shuffled are counts of trigrams, summed on the map side first, hashes of pages, and
+    the last words of those texts that do not end with a sentence.
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("text")).where("text is not null and text rlike '[^\\\\s\\\\p{Z}]'")
@@ -86,7 +119,7 @@ select k, {at(1)} as p0, t[size(t) - 1] as w0, xxhash64({at(1)}, t[size(t) - 1])
         docs=docs,
     )
     last = materialize(last, "last")
-    ends = materialize(trigram_ends(docs), "ends")
+    ends = materialize(trigram_ends(weighed(docs)), "ends")
     asked = _sql(spark, "select distinct h from (select explode(array(h0, h1)) as h from :last:)", last=last)
     # how often a longer word follows the same two words; both sides are distinct trigrams
     longer = _sql(
@@ -96,7 +129,7 @@ select k, {at(1)} as p0, t[size(t) - 1] as w0, xxhash64({at(1)}, t[size(t) - 1])
         and e.seen >= {SUPPORT} and e.at_end <= {AT_END} * e.seen group by q.h""",
         last=last, ends=ends,
     )
-    # what is known of each last trigram, without the one occurrence that asks
+    # what is known of each last trigram, without the one page that asks
     known = _sql(
         spark,
         f"""select h, seen - 1 >= {SUPPORT} as known, at_end - 1 <= {AT_END} * (seen - 1) as inner_only,

@@ -55,3 +55,21 @@ def test_very_long_and_empty(spark):
     got = {r["doc_id"] for r in truncation.find_cut(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").collect()}
     assert 5000 in got
     assert truncation.find_cut(spark.createDataFrame([], SCHEMA), "doc_id", "text").count() == 0
+
+
+def test_copies_of_a_cut_page_count_once(spark, monkeypatch):
+    rows, _ = corpus()
+    # the words at the cut are rare: six whole pages have them inside a sentence
+    rare = "Nobody in Town5 had mended the copper lantern beside the ferry before the market closed."
+    rows = rows + [(2000 + i, page(i) + "\n" + rare, "whole.example", None) for i in range(6)] + [(2010, page(10) + "\n" + rare[:45].rstrip(), "cuts.example", "x")]
+    found = lambda r: {x["doc_id"] for x in truncation.find_cut(spark.createDataFrame(r, SCHEMA), "doc_id", "text").collect()}
+    alone = found(rows)
+    assert 2010 in alone
+    some = sorted(alone)[:20] + [2010]
+    text = {i: t for i, t, *_ in rows}
+    # each page 30 times more: fetched again, and on mirrors whose menus differ and that put something else behind the cut
+    again = [(10_000 * k + i, text[i] if k % 3 else f"Menu {k} | Maps {k * k}\n" + text[i].split("\n", 1)[1] + "…" * (k % 2), "m", "") for i in some for k in range(1, 31)]
+    assert found(rows + again) == alone | {r[0] for r in again}
+    monkeypatch.setattr(truncation, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(truncation, "HEAVY", 30)
+    assert found(rows + again) == alone | {r[0] for r in again}
