@@ -4,7 +4,7 @@ Words are read as a reader would read them: letter case, punctuation, marks, lay
 the wrong charset make no difference, and a word with lost characters stands for the item word that it fits. The items'
 shingles are ordered by how rare they are in the corpus; of each item-sized window only the rarest shingles are looked up in the corpus, so many
 that any passage that counts must share one of them. What shares one is held to the count and position bounds of its
-window, and what remains is aligned word by word with the item.
+window, and what remains is aligned word by word with the item, exactly.
 
 Items are taken in blocks of bounded size, and only a block's shingles go to the tasks. The corpus is read twice for each block (once to
 count, once to search) and never shuffled.
@@ -198,59 +198,38 @@ class Block:
     @staticmethod
     def _holds(item: np.ndarray, ids: np.ndarray, doc: np.ndarray) -> bool:
         margin = len(item) + 20
-        cuts = np.flatnonzero(np.diff(np.sort(doc)) > 2 * margin)
         d = np.sort(doc)
-        for part in np.split(d, cuts + 1):
-            region = ids[max(0, part[0] - margin) : part[-1] + SHINGLE + margin].copy()
-            for _ in range(6):
-                span = best_passage(item, region)
-                if span is None:
-                    break
-                ok, lo, hi = span
-                if ok:
-                    return True
-                region[lo:hi] = -1
-        return False
+        cuts = np.flatnonzero(np.diff(d) > 2 * margin)
+        return any(best_passage(item, ids[max(0, part[0] - margin) : part[-1] + SHINGLE + margin]) for part in np.split(d, cuts + 1))
 
 
-def best_passage(item: np.ndarray, text: np.ndarray) -> tuple[bool, int, int] | None:
-    """Aligns item and text; (whether a passage counts, where in the text the alignment begins and ends), None if there is too little.
+def best_passage(item: np.ndarray, text: np.ndarray) -> tuple[int, int] | None:
+    """(item words, edits) of a stretch of at least MIN_WORDS item words with at most one edit in EDIT_SHARE of them; None if the text holds none.
 
-    The local alignment scores 1 for a word and -2 for one changed, dropped or put in. Along it, the passage counts if some stretch of at
-    least MIN_WORDS item words has at most one edit in EDIT_SHARE words.
+    Edits count wherever they are, at the ends too. Exact: for each number of edits, the longest stretch that ends at a pair of places. A stretch of twice MIN_WORDS or more is cut in two of
+    which one holds as well, so that more edits than those of 2 * MIN_WORDS - 1 words need not be looked at.
     """
-    n, m = len(item), len(text)
-    if not m:
-        return None
-    h = np.zeros((n + 1, m + 1), np.int32)
-    gap = 2 * np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        x = np.zeros(m + 1, np.int32)
-        x[1:] = np.maximum(0, np.maximum(h[i - 1, :-1] + np.where(text == item[i - 1], 1, -2), h[i - 1, 1:] - 2))
-        h[i] = np.maximum.accumulate(x + gap) - gap
-    i, j = np.unravel_index(int(np.argmax(h)), h.shape)
-    if h[i, j] < MIN_WORDS // 2:
-        return None
-    end, steps = j, []  # steps from the end: (item words, edits)
-    while h[i, j] > 0:
-        if i and j and h[i, j] == h[i - 1, j - 1] + (1 if text[j - 1] == item[i - 1] else -2):
-            steps.append((1, int(text[j - 1] != item[i - 1])))
-            i, j = i - 1, j - 1
-        elif i and h[i, j] == h[i - 1, j] - 2:
-            steps.append((1, 1))
-            i -= 1
-        else:
-            steps.append((0, 1))
-            j -= 1
-    s = np.cumsum(np.array([(0, 0)] + steps), axis=0)
-    length, edits = s[:, 0], s[:, 1]
-    ok = bool(((length[None, :] - length[:, None] >= MIN_WORDS) & (EDIT_SHARE * (edits[None, :] - edits[:, None]) <= length[None, :] - length[:, None])).any())
-    return ok, int(j), int(end)
+    most = (2 * MIN_WORDS - 1) // EDIT_SHARE
+    need = np.maximum(MIN_WORDS, EDIT_SHARE * np.arange(most + 1))[:, None]
+    last = np.zeros((most + 1, len(text) + 1), np.int16)  # by edits and text place: item words of the longest stretch
+    for w in item:
+        row = np.zeros_like(last)
+        row[:, 1:] = np.where(text == w, last[:, :-1] + 1, 0)
+        np.maximum(row[1:], last[:-1] + 1, out=row[1:])  # dropped
+        np.maximum(row[1:, 1:], last[:-1, :-1] + 1, out=row[1:, 1:])  # changed
+        for e in range(1, most + 1):
+            np.maximum(row[e, 1:], row[e - 1, :-1], out=row[e, 1:])  # put in
+        if (row >= need).any():
+            e = int(np.argmax((row >= need).any(axis=1)))
+            return int(row[e].max()), e
+        last = row
+    return None
 
 
 def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """Rows (doc_key, item_key): the text holds a stretch of at least 28 words of the item, at most one in ten of them edited.
 
+    An edited word counts wherever it stands, also first or last: 26 unchanged words inside an item are a stretch of 28 with two dropped.
     Null and empty texts hold nothing, items of fewer words are never held. Repeated documents give repeated rows, repeated items one.
     An empty table gives an empty one. A text of any length is read whole. If the two keys have one name, the item's gets the suffix _item.
     """

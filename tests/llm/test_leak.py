@@ -81,3 +81,22 @@ def test_passages_by_brute_force():
         ids = block.read(FILL + " " + " ".join(w) + " " + FILL)
         best = leak.best_passage(block.items[block.keys.index(i)], ids)
         assert (block.keys.index(i) in block.found(ids)) == bool(best and best[0])
+
+
+def test_edits_near_the_ends():
+    """Passages of few words are found wherever their edits stand."""
+    block = leak.Block([(i, t) for i, t in ITEMS if t])
+    block.order_by_rarity(__import__("numpy").zeros(len(block.code)))
+    r = random.Random(5)
+    for n in [*range(28, 42), 50]:
+        for trial in range(8):
+            i, at = r.randint(1, 8), r.randint(0, 20)
+            w = P[i][at : at + n]
+            for k in [1, n - 2] if trial == 0 else r.sample(range(n), n // 10):
+                w[k] = r.choice(["qqq", "", w[k] + " qqq"])
+            assert block.keys.index(i) in block.found(block.read(FILL + " " + " ".join(w) + " " + FILL)), (n, trial)
+    for n, edits in [(25, []), (30, [4, 11, 18, 25]), (39, [4, 11, 18, 25, 32])]:  # too short, or one edit too many
+        w = P[1][20 : 20 + n]
+        for k in edits:
+            w[k] = "qqq"
+        assert block.found(block.read("qqq " * 40 + " ".join(w) + " qqq" * 40)) == []
