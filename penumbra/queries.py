@@ -38,11 +38,54 @@ def p5_found(spark, sf):
     return _kfcm_nodes(spark, sf).select("report_id", "parent_path", "node_path")
 
 
+_COMPARED = "status string, shape array<int>, max_abs double, mean_abs double, max_rel double, mean_rel double"
+_FLAGS = ("non_negative", "finite", "rows_sum_to_one", "labels_are_argmax", "partition_constrained_declared")
+_REPORT = "lab_id int, case_name string, n int, d int, k int, seed int, n_clusters_ref int, n_clusters_opt int, label_agreement double, label_ari double, run_at timestamp, loaded_at timestamp"
+
+
+def _below(name: str, ddl: str) -> str:
+    """The columns of a nested object under dotted names."""
+    return ", ".join(f"`{name}.{c.split(' ')[0]}` {c.split(' ')[1]}" for c in ddl.split(", "))
+
+
+_INVARIANTS = _below("invariants", ", ".join(f"{f} boolean" for f in _FLAGS))
+P5_TABLES = {
+    "report": f"{_REPORT}, {_below('memberships', _COMPARED)}, {_below('centers', _COMPARED)}, {_INVARIANTS}, `detail.env.threads` bigint",
+    "retries": f"seed bigint, {_below('memberships', _COMPARED)}, {_INVARIANTS}",
+    "profile": "func string, ncalls bigint, tottime double",
+    "worst": "row_no bigint, col_no bigint, gap double",
+}
+
+
+def kfcm_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """All flat tables of the reports from one write; of rows delivered twice the one that came first."""
+    own = tuple(c.split(" ")[0] for c in _REPORT.split(", "))
+    nodes = nested.flatten(table(spark, sf, "kfcm"), "report_id", ("memberships", "centers", "invariants"), ("detail",), order_by="loaded_at", report_columns=own)
+    return nested.tables(nodes, "report_id", P5_TABLES)
+
+
 @query
 def p5_profile(spark, sf):
     """The flat table of all profile entries, with their links."""
-    t = nested.tables(_kfcm_nodes(spark, sf).where(F.col("tag") == "profile"), "report_id", {"profile": "func string, ncalls bigint, tottime double"})
-    return t["profile"]
+    return kfcm_tables(spark, sf)["profile"]
+
+
+@query
+def p5_retries(spark, sf):
+    """The flat table of all retries, with their memberships and invariants."""
+    return kfcm_tables(spark, sf)["retries"]
+
+
+@query
+def p5_worst(spark, sf):
+    """The flat table of all worst rows of memberships."""
+    return kfcm_tables(spark, sf)["worst"]
+
+
+@query
+def p5_reports(spark, sf):
+    """The reports themselves, one row each."""
+    return kfcm_tables(spark, sf)["report"]
 
 
 @query
