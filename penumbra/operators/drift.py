@@ -166,6 +166,19 @@ def name_likeness(a: str, b: str) -> float:
     return max(words, _cosine(_grams("".join(sorted(ca))), _grams("".join(sorted(cb)))) * 0.8)
 
 
+def _alike(x: np.ndarray, y: np.ndarray, scale: float) -> float:
+    """Likeness of two samples of numbers, the second multiplied by scale."""
+    whole = lambda v: bool((v == np.round(v)).all())
+    z = np.round(y * scale, 9)
+    dx, dz = set(np.round(x, 9)), set(z)
+    if len(dx) <= 6 and len(dz) <= 6:  # few distinct values: which they are counts
+        return len(dx & dz) / min(len(dx), len(dz))
+    grid = np.concatenate([x, z])
+    ks = np.abs(np.searchsorted(np.sort(x), grid, "right") / len(x) - np.searchsorted(np.sort(z), grid, "right") / len(z)).max()
+    spread = 1.36 * math.sqrt(1 / len(x) + 1 / len(z))  # what chance gives
+    return max(0.0, 1 - max(0.0, ks - spread / 2)) * (1.0 if whole(x) == whole(z) or scale != 1.0 else 0.5)
+
+
 def _numeric(a: list[tuple], b: list[tuple]) -> tuple[float, float]:
     """Likeness of two samples of numbers in one unit, and in the unit that suits best."""
     if Counter(map(len, a)).most_common(1)[0][0] != Counter(map(len, b)).most_common(1)[0][0]:
@@ -173,20 +186,8 @@ def _numeric(a: list[tuple], b: list[tuple]) -> tuple[float, float]:
     x, y = (np.array([v for t in s for v in t if math.isfinite(v)], float) for s in (a, b))
     if not len(x) or not len(y):
         return 0.0, 0.0
-    whole = lambda v: bool((v == np.round(v)).all())
-
-    def at(scale: float) -> float:
-        z = np.round(y * scale, 9)
-        dx, dz = set(np.round(x, 9)), set(z)
-        if len(dx) <= 6 and len(dz) <= 6:  # few distinct values: which they are counts
-            return len(dx & dz) / min(len(dx), len(dz))
-        grid = np.concatenate([x, z])
-        ks = np.abs(np.searchsorted(np.sort(x), grid, "right") / len(x) - np.searchsorted(np.sort(z), grid, "right") / len(z)).max()
-        spread = 1.36 * math.sqrt(1 / len(x) + 1 / len(z))  # what chance gives
-        return max(0.0, 1 - max(0.0, ks - spread / 2)) * (1.0 if whole(x) == whole(z) or scale != 1.0 else 0.5)
-
-    same = at(1.0)
-    return same, max([same, *(at(s) for s in SCALES[1:])])
+    same = _alike(x, y, 1.0)
+    return same, max([same, *(_alike(x, y, s) for s in SCALES[1:])])
 
 
 def value_likeness(a: list[str], b: list[str]) -> tuple[float, bool]:
@@ -297,29 +298,152 @@ def changes(profiles: DataFrame, group: list[str], file_no: str, pool: list[str]
 
 
 MAX_RENAMES = 20000
+# fixed values: what a unit is of, and how many of the base unit it holds
+_UNIT = {
+    **{u: ("time", f) for f, us in ((1.0, "s sec secs second seconds"), (1e-3, "ms millis"), (1e-6, "us"), (1e-9, "ns"), (60.0, "min minutes"), (3600.0, "h")) for u in us.split()},
+    **{u: ("size", f) for f, us in ((1.0, "b bytes"), (1e3, "kb"), (1e6, "mb"), (1e9, "gb"), (1024.0, "kib"), (1024.0**2, "mib"), (1024.0**3, "gib")) for u in us.split()},
+    **{u: ("share", 0.01) for u in ("pct", "percent", "%")},
+}
 
 
-def unify(lines: DataFrame, found: DataFrame, group: list[str], file_no: str, body: str, keep: list[str], fields: list[str]) -> DataFrame:
-    """One row per line: keep, group, file_no and each of `fields` as text, read under whatever name the file has it.
+def _unit(words: list[str]) -> tuple[str, float] | None:
+    """The last unit among the words, as (what it is of, factor)."""
+    return next((_UNIT[w] for w in reversed(words) if w in _UNIT), None)
 
-    A name belongs to a field of `fields` if a chain of renames links them. The distinct renames, a number bounded by the
-    vocabulary of field names and checked against MAX_RENAMES, are all that reaches the driver. Unreadable lines are left out.
+
+def _ordered_words(name: str) -> list[str]:
+    return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)]
+
+
+def unit_scale(name: str, sketch: list[str], first: str, first_sketch: list[str]) -> float:
+    """By what values of `name` are multiplied to stand in the unit of `first`: from the units in both names, else from the values."""
+    a, b = _unit(_ordered_words(name)), _unit(_ordered_words(first))
+    if name == first or (a and b):
+        return a[1] / b[1] if a and b and a[0] == b[0] else 1.0
+    x, y = (np.array([v for t in _values(s)[0] for v in t if math.isfinite(v)], float) for s in (first_sketch, sketch))
+    if not len(x) or not len(y):
+        return 1.0
+    kind = (a or b or ("", 0))[0]
+    units = sorted({f for k, f in _UNIT.values() if k == kind})
+    # of one unit that is known, the other is one of the same kind
+    scales = [1.0, *([a[1] / f for f in units] if a else [f / b[1] for f in units] if b else SCALES[1:])]
+    likes = [_alike(x, y, c) for c in scales]
+    return scales[int(np.argmax(likes))] if max(likes) > likes[0] + 0.2 else 1.0
+
+
+def _chains(pairs: list[tuple], apart: set[tuple], rank) -> dict[tuple, tuple]:
+    """(pool, name) -> (pool, first name of its chain); names that are apart are never linked."""
+    of = {(p, x): {(p, x)} for p, *names in pairs for x in names}
+    for p, x, y in pairs:
+        s, t = of[p, x], of[p, y]
+        if s is not t and not any((p, *sorted((m[1], n[1]))) in apart for m in s for n in t):
+            s |= t
+            of.update(dict.fromkeys(t, s))
+    return {k: min(s, key=lambda m: rank(m[1])) for k, s in of.items()}
+
+
+def _placed(v, kind: str, scale: float, unit: tuple[str, float] | None):
+    """The value in a column of a kind; None if it does not fit."""
+    if kind == "json":
+        return json.dumps(v, ensure_ascii=False)
+    if kind == "string" and isinstance(v, str):
+        return v
+    if kind == "double" and isinstance(v, str) and (m := re.fullmatch(r"\s*(\S+?)\s*([A-Za-z%]+)\s*", v)) and (u := _UNIT.get(m[2].lower())) and unit and u[0] == unit[0]:
+        scale = u[1] / unit[1]  # the value's own unit
+    out: list = []
+    _leaves(v, out)
+    x = out[0] if len(out) == 1 else None
+    if kind == "double":
+        if isinstance(x, bool) or not isinstance(x, (int, float)) or (isinstance(x, int) and abs(x) > 2**53):
+            return None
+        return x * scale if scale >= 1 else x / round(1 / scale, 9)
+    if kind == "boolean":
+        return x if isinstance(x, bool) else None
+    while isinstance(v, (list, dict)) and len(v) == 1:  # a wrapped text
+        v = v[0] if isinstance(v, list) else next(iter(v.values()))
+    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+
+def unify(lines: DataFrame, found: DataFrame, group: list[str], file_no: str, body: str, keep: list[str], fields: list[str] | None = None, pool: list[str] | None = None, profiles: DataFrame | None = None) -> DataFrame:
+    """One row per readable line: keep, group, file_no, a typed column for each field, and rest.
+
+    Fields are all that the profiles have, or `fields`. A name belongs to a field if a chain of renames of its pool (some of the group
+    columns, else all) links them and no file has both; a field is called by the name that most files have. Numbers are converted to the unit of that
+    name and are doubles, arrays and objects are JSON texts. rest holds, as a JSON object or null, what has no place: values that do not fit
+    their column and second values of one field on a line; with `fields`, all other fields.
+
+    What reaches the driver is bounded by the vocabulary of field names, and checked against MAX_RENAMES and MAX_FIELDS.
     """
-    pairs = found.where("change_kind = 'renamed'").select("field_name", "new_name").distinct().limit(MAX_RENAMES + 1).collect()
-    if len(pairs) > MAX_RENAMES:
+    pool, wanted = pool or group, fields or []
+    prof = profiles if profiles is not None else materialize(file_profiles(lines, group, file_no, body), "profiles")
+    ren = found.where("change_kind = 'renamed'").select(F.struct(*pool).alias("p"), "field_name", "new_name").groupBy("p", "field_name", "new_name").count().limit(MAX_RENAMES + 1).collect()
+    if len(ren) > MAX_RENAMES:
         raise ValueError(f"more than {MAX_RENAMES} distinct renames: these are no field names")
-    up: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while up.get(x, x) != x:
-            x = up[x]
-        return x
-
-    for a, b in sorted((r[0], r[1]) for r in pairs):
-        ra, rb = root(a), root(b)
-        if ra != rb:
-            up[max(ra, rb, key=lambda x: (x not in fields, x))] = min(ra, rb, key=lambda x: (x not in fields, x))
-    names = {f: sorted({f, *(x for p in pairs for x in p if root(x) == root(f))}, key=lambda x: (x != f, x)) for f in fields}
-    v = lines.withColumn("_v", F.try_parse_json(body)).where(F.expr("_v is not null and schema_of_variant(_v) like 'OBJECT%'"))
-    path = lambda n: F.try_variant_get("_v", "$['" + n.replace("'", "\\'") + "']", "string")
-    return v.select(*keep, *group, file_no, *[F.coalesce(*[path(n) for n in names[f]]).alias(f) for f in fields])
+    pairs = [(tuple(r[0]), r[1], r[2]) for r in sorted(ren, key=lambda r: (-r["count"], tuple(map(str, r[0])), r[1], r[2]))]
+    seen = prof.groupBy(F.struct(*pool).alias("p"), "field", "type").count().limit(len(TYPES) * MAX_FIELDS + 1).collect()
+    names = {(tuple(r["p"]), r["field"]) for r in seen}
+    if len(names) > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} field names")
+    files, types = Counter(), {}
+    for r in seen:
+        files[r["field"]] += r["count"]
+        if r["type"]:
+            types.setdefault(r["field"], Counter())[r["type"]] += r["count"]
+    rank = lambda x: (x not in wanted, -files[x], x)
+    # names of one chain that some file has both
+    first = _chains(pairs, set(), rank)
+    apart: set[tuple] = set()
+    if first:
+        spark = lines.sparkSession
+        ids = {m: i for i, m in enumerate(sorted(set(first.values()), key=str))}
+        schema = T.StructType([*[T.StructField(f"_p{i}", prof.schema[c].dataType) for i, c in enumerate(pool)], T.StructField("_f", T.StringType()), T.StructField("_c", T.IntegerType())])
+        chain = spark.createDataFrame([(*p, x, ids[m]) for (p, x), m in first.items()], schema)
+        on = [prof[c] == chain[f"_p{i}"] for i, c in enumerate(pool)] + [prof["field"] == chain["_f"]]
+        both = prof.join(F.broadcast(chain), on).groupBy(*group, file_no, "_c").agg(F.sort_array(F.collect_set("field")).alias("b")).where("size(b) > 1").select(F.struct(*pool).alias("p"), "b").distinct()
+        for r in both.collect():
+            apart |= {(tuple(r["p"]), x, y) for i, x in enumerate(r["b"]) for y in r["b"][i + 1 :]}
+        first = _chains(pairs, apart, rank)
+    sketches = {(tuple(r[c] for c in pool), r["field"]): r["pooled"] for r in pooled_sketches(prof, pool).collect()}
+    place = {}  # (pool, name) -> field, its kind, scale, unit
+    for p, x in sorted(names, key=str):
+        f = first.get((p, x), (p, x))[1]
+        if fields is not None and f not in fields:
+            continue
+        kind = {"number": "double", "boolean": "boolean", "array": "json", "object": "json"}.get(max(sorted(types[f]), key=lambda t: types[f][t]) if f in types else "", "string")
+        scale = unit_scale(x, sketches.get((p, x), []), f, sketches.get((p, f), [])) if kind == "double" else 1.0
+        place[p, x] = (f, kind, scale, _unit(_ordered_words(f)))
+    kinds = {**dict.fromkeys(wanted, "string"), **{f: kind for f, kind, *_ in place.values()}}
+    order = fields if fields is not None else sorted(kinds)
+    used, column = {c.lower() for c in (*keep, *group, file_no, "rest")}, {}
+    for f in order:  # names that differ in case only are columns of their own
+        column[f] = next(c for c in (f, *(f"{f}_{i}" for i in range(2, len(order) + len(used) + 3))) if c.lower() not in used)
+        used.add(column[f].lower())
+    own = list(dict.fromkeys([*keep, *group, file_no]))
+    at = [own.index(c) for c in pool]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for row in b.itertuples(index=False, name=None):
+                try:
+                    rec = json.loads(row[-1]) if isinstance(row[-1], str) else None
+                except (ValueError, RecursionError):
+                    rec = None
+                if not isinstance(rec, dict):
+                    continue
+                p, out, rest = tuple(row[i] for i in at), {}, {}
+                for x, v in rec.items():
+                    if v is None:
+                        continue
+                    to = place.get((p, x))
+                    y = _placed(v, *to[1:]) if to else None
+                    if y is None or to[0] in out:
+                        rest[x] = v
+                    else:
+                        out[to[0]] = y
+                rows.append((*row[:-1], *[out.get(f) for f in order], json.dumps(rest, ensure_ascii=False) if rest else None))
+            yield pd.DataFrame(rows, columns=[*own, *column.values(), "rest"], dtype=object)
+
+    sql = {"double": T.DoubleType(), "boolean": T.BooleanType()}
+    schema = T.StructType([*[T.StructField(c, lines.schema[c].dataType) for c in own], *[T.StructField(column[f], sql.get(kinds[f], T.StringType())) for f in order], T.StructField("rest", T.StringType())])
+    return lines.select(*own, body).mapInPandas(run, schema)

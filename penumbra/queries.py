@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penumbra.operators import drift, nested
+from penumbra.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +96,8 @@ def p1_found(spark, sf):
 
 @query
 def p1_unified(spark, sf):
-    """All lines in one table under the first names of their fields."""
-    raw = table(spark, sf, "raw_lines").select("line_id", "lab_id", "stream_name", "file_no", "body")
-    return drift.unify(raw, p1_found(spark, sf), ["lab_id", "stream_name"], "file_no", "body", ["line_id"], ["error_type", "timeout_s", "profile_total"])
+    """All lines in one table: a typed column for each field, under one name and in one unit."""
+    group, pool = ["lab_id", "stream_name"], ["stream_name"]
+    raw = table(spark, sf, "raw_lines").select("line_id", *group, "file_no", "body")
+    prof = materialize(drift.file_profiles(raw, group, "file_no", "body"), "profiles")
+    return drift.unify(raw, drift.changes(prof, group, "file_no", pool), group, "file_no", "body", ["line_id"], pool=pool, profiles=prof)

@@ -53,3 +53,21 @@ def test_one_table_under_first_names(spark):
     ch = drift.changes(drift.file_profiles(df, KEY, FILE, "body"), KEY, FILE, ["stream"])
     got = drift.unify(df, ch, KEY, FILE, "body", [], ["timeout_s"]).collect()
     assert sorted((r["file_no"], float(r["timeout_s"])) for r in got) == [(1, 60.0), (1, 300.0), (2, 60.0), (2, 300.0)]
+
+
+def test_one_table_of_all_fields_in_one_unit(spark):
+    files = [
+        (1, 1, recs("timeout_s", [60.0, 300.0], flag=True, note="a")), (1, 2, recs("timeoutMs", [60000.0, "300000 ms"], flag=False, note="b")), (1, 3, recs("timeout_s", [60.0, {"amount": 300.0}])), (1, 4, recs("timeout_s", [60.0, "300s"])),
+        (2, 1, recs("timeout_s", ["soon", 60.0], timeoutMs=[1, 2])),
+    ]
+    df = lines(spark, files, [(3, "t", 1, json.dumps({"timeoutMs": 5.0}), "other stream")])
+    ch = drift.changes(drift.file_profiles(df, KEY, FILE, "body"), KEY, FILE, ["stream"])
+    only = drift.unify(df.where("lab <> 2"), ch.where("lab <> 2"), KEY, FILE, "body", [], pool=["stream"])
+    assert only.columns == ["lab", "stream", "file_no", "case", "flag", "n", "note", "timeoutMs", "timeout_s", "rest"]
+    got = sorted(map(tuple, only.select("lab", "file_no", "case", "flag", "note", "timeoutMs", "timeout_s", "rest").collect()), key=str)
+    want = [(1, f, f"c{i}", c, d, None, v, None) for f, c, d in ((1, True, "a"), (2, False, "b"), (3, None, None), (4, None, None)) for i, v in enumerate((60.0, 300.0))]
+    assert got == [*want, (3, 1, None, None, None, 5.0, None, None)]
+    # a file that has both names: they are no names of one field, and nothing is lost
+    both = {(r["file_no"], r["case"]): r for r in drift.unify(df, ch, KEY, FILE, "body", [], pool=["stream"]).where("lab = 2").collect()}
+    assert json.loads(both[1, "c0"]["rest"])["timeout_s"] == "soon" and both[1, "c1"]["timeout_s"] == 60.0
+    assert all(r["timeoutMs"] is not None or "timeoutMs" in r["rest"] for r in both.values())
