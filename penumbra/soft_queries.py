@@ -750,9 +750,13 @@ def half_labelled(spark, sf, expr: str, d: int = 8) -> DataFrame:
 
 
 def clients(spark, sf) -> DataFrame:
-    """Users' means per kind of event as features, by the hour group of their id."""
-    e = table(spark, sf, "events").groupBy((F.col("user_id") % 5).cast("int").alias("client"), (F.col("user_id") % 300).alias("id"), F.col("event_type").alias("feature")).agg(F.avg("value").alias("value"))
-    return e
+    """Users' means per kind of event as features; a client holds the users of one region, in parts of equal share if they are more than a client may have."""
+    region = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_regionkey").alias("region"))
+    e = table(spark, sf, "events").where("user_id is not null").groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("feature")).agg(F.avg("value").alias("value"))
+    e = e.join(region, "id", "left").withColumn("region", F.coalesce("region", F.lit(-1)))  # -1: no customers
+    # shares come from a hash, so a part is planned a fifth below the bound
+    parts = e.groupBy("region").agg(F.ceil(F.countDistinct("id") / (0.8 * federated.CLIENT_ROWS)).alias("parts"))
+    return e.join(F.broadcast(parts), "region").select(F.format_string("%d.%d", "region", F.pmod(F.xxhash64("id"), "parts")).alias("client"), "id", "feature", "value")
 
 
 FITS = {

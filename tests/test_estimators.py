@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -218,3 +220,16 @@ def test_names_of_the_package():
     assert set(penumbra.__all__) == set(REGISTRY) and all(getattr(penumbra, n) is REGISTRY[n] for n in penumbra.__all__)
     with pytest.raises(AttributeError):
         penumbra.NOTHING
+
+
+def test_clients_keep_every_user(spark, tmp_path, monkeypatch):
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("events", [(u, kind, float(u)) for u in range(700) for kind in ("view", "click")], "user_id bigint, event_type string, value double")
+    put("customer", [(u, u % 4) for u in range(690)], "c_custkey bigint, c_nationkey int")
+    put("nation", [(n, n % 2) for n in range(4)], "n_nationkey int, n_regionkey int")
+    values = lambda: {(r["client"], r["id"], r["value"]) for r in soft_queries.clients(spark, str(tmp_path)).where("feature = 'view'").collect()}
+    assert values() == {(f"{u % 2 if u < 690 else -1}.0", u, float(u)) for u in range(700)}
+    monkeypatch.setattr(federated, "CLIENT_ROWS", 100)
+    got = values()
+    sizes = Counter(c for c, *_ in got)
+    assert {u for _, u, _ in got} == set(range(700)) and len(got) == 700 and 2 <= min(sizes.values()) and max(sizes.values()) <= 100
