@@ -100,3 +100,16 @@ def test_edits_near_the_ends():
         for k in edits:
             w[k] = "qqq"
         assert block.found(block.read("qqq " * 40 + " ".join(w) + " qqq" * 40)) == []
+
+
+def test_a_passage_after_many_shorter_quotations():
+    """Pieces that score above the passage and are too short do not hide it, however many they are."""
+    long = passage(300, 50)
+    block = leak.Block([(1, " ".join(long))])
+    block.order_by_rarity(__import__("numpy").zeros(len(block.code)))
+    pieces = [" ".join(long[k : k + 25]) for k in range(240, -1, -30)]
+    w = long[265:293]
+    w[9] = w[18] = "qqq"
+    short = (" qqq" * 12 + " ").join(pieces)
+    assert block.found(block.read(short)) == []
+    assert block.found(block.read(short + " qqq" * 40 + " " + " ".join(w))) == [0]
