@@ -71,3 +71,10 @@ def test_one_table_of_all_fields_in_one_unit(spark):
     both = {(r["file_no"], r["case"]): r for r in drift.unify(df, ch, KEY, FILE, "body", [], pool=["stream"]).where("lab = 2").collect()}
     assert json.loads(both[1, "c0"]["rest"])["timeout_s"] == "soon" and both[1, "c1"]["timeout_s"] == 60.0
     assert all(r["timeoutMs"] is not None or "timeoutMs" in r["rest"] for r in both.values())
+
+
+def test_a_field_renamed_into_another_unit_is_converted(spark):
+    df = lines(spark, [(1, 1, recs("timeout_s", [60.0, 300.0])), (1, 2, recs("timeout_ms", [60000.0, 300000.0]))])
+    ch = drift.changes(drift.file_profiles(df, KEY, FILE, "body"), KEY, FILE, ["stream"])
+    got = drift.unify(df, ch, KEY, FILE, "body", [], ["timeout_s"]).collect()
+    assert sorted((r["file_no"], float(r["timeout_s"])) for r in got) == [(1, 60.0), (1, 300.0), (2, 60.0), (2, 300.0)]
