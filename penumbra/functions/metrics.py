@@ -126,7 +126,7 @@ def silhouette(points: DataFrame, labels: DataFrame, block: int = 4096) -> float
     return total / p.n
 
 
-def soft_clustering_metrics(points: DataFrame, u: DataFrame, centers: DataFrame | None, m: float = 2.0) -> dict[str, float]:
+def membership_metrics(points: DataFrame, u: DataFrame, centers: DataFrame | None, m: float = 2.0) -> dict[str, float]:
     """All seven soft indices; those that need centres are NaN without them."""
     out = partition_indices(u).first().asDict()
     if centers is None or centers.isEmpty():

@@ -1,4 +1,4 @@
-"""Queries of the soft-clustering operators over the test tables, with the SQL of every step that SQL can express.
+"""Queries of the membership operators over the test tables, with the SQL of every step that SQL can express.
 
 Each runs the operator itself with a fixed start and few steps, so that the same numbers come out of plain SQL. The inputs are the first
 dimensions of the embeddings (E2, E4), rescaled line items, a graph of suppliers and parts, and the documents.

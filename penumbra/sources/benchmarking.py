@@ -124,7 +124,7 @@ class ClusteringQualityBenchmark(Benchmark):
     def evaluate(self, model, df, truth=None):
         m = _run(model, df)
         centers = m.centers_df(df.sparkSession) if m.centers is not None else None
-        return {**metrics.soft_clustering_metrics(df, m.memberships, centers, self.m), **metrics.clustering_metrics(df, m.labels(), truth)}
+        return {**metrics.membership_metrics(df, m.memberships, centers, self.m), **metrics.clustering_metrics(df, m.labels(), truth)}
 
 
 class ClusteringBenchmark:
