@@ -30,15 +30,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _kfcm_nodes(spark, sf):
-    return nested.flatten(table(spark, sf, "kfcm"), "report_id", ("memberships",), ("detail",))
-
-
-@query
-def p5_found(spark, sf):
-    return _kfcm_nodes(spark, sf).select("report_id", "parent_path", "node_path")
-
-
 _COMPARED = "status string, shape array<int>, max_abs double, mean_abs double, max_rel double, mean_rel double"
 _FLAGS = ("non_negative", "finite", "rows_sum_to_one", "labels_are_argmax", "partition_constrained_declared")
 _REPORT = "lab_id int, case_name string, n int, d int, k int, seed int, n_clusters_ref int, n_clusters_opt int, label_agreement double, label_ari double, run_at timestamp, loaded_at timestamp"
@@ -58,11 +49,21 @@ P5_TABLES = {
 }
 
 
-def kfcm_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """All flat tables of the reports from one write; of rows delivered twice the one that came first."""
+def kfcm_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """All tagged rows of the reports from one write by tag; of rows delivered twice the one that came first."""
     own = tuple(c.split(" ")[0] for c in _REPORT.split(", "))
-    nodes = nested.flatten(table(spark, sf, "kfcm"), "report_id", ("memberships", "centers", "invariants"), ("detail",), order_by="loaded_at", report_columns=own)
-    return nested.tables(nodes, "report_id", P5_TABLES)
+    return nested.store(nested.flatten(table(spark, sf, "kfcm"), "report_id", ("memberships", "centers", "invariants"), ("detail",), order_by="loaded_at", report_columns=own))
+
+
+def kfcm_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """All flat tables of the reports."""
+    return nested.tables(kfcm_nodes(spark, sf), "report_id", P5_TABLES)
+
+
+@query
+def p5_found(spark, sf):
+    """The links of all child rows: what the three child tables have in common."""
+    return kfcm_nodes(spark, sf).where(F.col("tag").isin([t for t in P5_TABLES if t != "report"])).select("report_id", "parent_path", "node_path")
 
 
 @query
@@ -89,6 +90,26 @@ def p5_reports(spark, sf):
     return kfcm_tables(spark, sf)["report"]
 
 
+@query(
+    sql="""with one as (select * from kfcm qualify row_number() over (partition by report_id order by loaded_at) = 1)
+select report_id, lab_id, case_name, memberships.status as memberships_status, memberships.max_abs as memberships_max_abs, memberships.mean_rel as memberships_mean_rel,
+centers.max_abs as centers_max_abs, centers.status as centers_status, invariants.rows_sum_to_one as invariants_rows_sum_to_one, invariants.finite as invariants_finite, label_ari from one"""
+)
+def p5_report_structs(spark, sf):
+    """What the struct columns of the reports hold."""
+    return p5_reports(spark, sf).select("report_id", "lab_id", "case_name", *(f"memberships_{c}" for c in ("status", "max_abs", "mean_rel")), "centers_max_abs", "centers_status", "invariants_rows_sum_to_one", "invariants_finite", "label_ari")
+
+
+@query(
+    sql="""with one as (select report_id, memberships.worst as w from kfcm qualify row_number() over (partition by report_id order by loaded_at) = 1),
+e as (select report_id, i - 1 as position, w[i] as x from one, generate_series(1, len(w)) g(i))
+select report_id, 'memberships.worst[' || position || ']' as node_path, cast(position as integer) as position, cast(x.row_no as bigint) as row_no, cast(x.col_no as bigint) as col_no, x.gap as gap from e where x is not null"""
+)
+def p5_column_worst(spark, sf):
+    """The worst rows that the struct column holds, of the table of all worst rows."""
+    return p5_worst(spark, sf).where("parent_path = '' and node_path like 'memberships.worst[%'").select("report_id", "node_path", "position", "row_no", "col_no", "gap")
+
+
 @query
 def p1_found(spark, sf):
     return drift.changes(drift.file_profiles(table(spark, sf, "raw_lines"), ["lab_id", "stream_name"], "file_no", "body"), ["lab_id", "stream_name"], "file_no", ["stream_name"])
