@@ -1,7 +1,7 @@
 """Schemas that drift between files: what changed from file to file, and one table out of all of them.
 
-Each field of a file gets a profile: its type, how many lines have it, how wide those lines are, and a bottom-k sketch
-of its values. Between a file and the one before it, fields that go are matched with fields that come by a bipartite
+Each field of a file gets a profile: its type, how many lines have it, and how wide those lines are. Each field of a pool of files (a
+stream) gets a bottom-k sketch of its values, as one file may hold a field on a single line. Between a file and the one before it, fields that go are matched with fields that come by a bipartite
 matching of largest weight over name, values and line width; matched pairs are renames, the rest removals and additions.
 """
 
@@ -16,17 +16,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from penumbra.functions.assign import max_weight_matching
+from penumbra.plans.ordered import previous, range_blocks
 from penumbra.session import materialize
 
-SKETCH = 48  # values kept for each field of a file
+SKETCH = 48  # values kept for each field of a pool
 ACCEPT = 0.5  # least weight of a rename
-VALUE_CHARS = 160  # of a value's JSON text in a sketch
+WHOLE = 160  # characters of a value's JSON text up to which a sketch holds it as it is; of a longer one it holds a summary of the whole
+GRAMS, QUANTILES = 64, 32  # of a long value: trigrams of its text, numbers by rank
 MERGE = 256  # tasks whose sketches of one field are merged at once
+MEMO = 100_000  # pairs of names whose likeness a task remembers
+LONG = "\x00"  # the key that marks a summary
 UNITS = frozenset("s sec secs second seconds ms us ns millis min minutes h b kb mb gb bytes kib mib gib pct percent".split())
 SCALES = (1.0, 1e3, 1e-3, 1e6, 1e-6, 1e9, 1e-9, 60.0, 1 / 60, 3600.0, 1 / 3600, 1024.0, 1 / 1024, 1024.0**2, 1 / 1024**2, 100.0, 0.01)
 TYPES = ("string", "number", "boolean", "array", "object")
@@ -39,16 +43,41 @@ def json_type(v) -> str | None:
     return "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
 
 
-def _profiles(group: list[str], file_no: str, body: str):
-    names = [*group, file_no, "field", "lines", "width", "type", "sketch"]
+def _sketched(v) -> str:
+    """A value as a sketch holds it. A long one is summed up over its whole length: its texts' trigrams of least hash, its numbers by rank."""
+    text = json.dumps(v)
+    if len(text) <= WHOLE:
+        return text
+    out: list = []
+    _leaves(v, out)
+    if t := " ".join(x for x in out if isinstance(x, str)):
+        grams = sorted(_grams(t).items(), key=lambda g: xxhash.xxh64_intdigest(g[0]))[:GRAMS]
+        return json.dumps({LONG: "text", "id": xxhash.xxh64_hexdigest(t), "grams": dict(grams), "raw": isinstance(v, str)})
+    if any(isinstance(x, bool) for x in out):
+        return json.dumps({LONG: "flags"})
+    x = np.sort(np.array(out, float))
+    at = np.unique(np.linspace(0, len(x) - 1, QUANTILES).astype(int)) if len(x) else []
+    return json.dumps({LONG: "numbers", "n": len(x), "at": [float(y) for y in x[at]] if len(x) else []})
+
+
+def _profiles(group: list[str], file_no: str, body: str, pool: list[str]):
+    names = [*group, file_no, "field", "lines", "width", "types", "sketch"]
+    at = [group.index(c) for c in pool]
+    unset = [None if c not in pool else c for c in group]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[tuple, list] = {}
-
-        def flush() -> pd.DataFrame:
-            rows = [(*k, a[0], a[1], a[2], [f"{h:016x}{t}" for h, t in sorted(a[3].items())[:SKETCH]]) for k, a in acc.items()]
-            acc.clear()
-            return pd.DataFrame(rows, columns=names)
+        files: dict[tuple, list] = {}
+        pools: dict[tuple, list] = {}  # (pool, field) -> [values by hash, bound of the hashes that may come in]
+
+        def flush(sketches: bool) -> pd.DataFrame:
+            rows = [(*k, *a, None) for k, a in files.items()]
+            files.clear()
+            if sketches:
+                for (p, field), (kept, _) in pools.items():
+                    own = dict(zip(pool, p))
+                    rows.append((*[own.get(c) for c in unset], None, field, None, None, None, [f"{h:016x}{t}" for h, t in sorted(kept.items())[:SKETCH]]))
+                pools.clear()
+            return pd.DataFrame(rows, columns=names, dtype=object)
 
         for b in batches:
             for row in b.itertuples(index=False, name=None):
@@ -59,45 +88,53 @@ def _profiles(group: list[str], file_no: str, body: str):
                     rec = None
                 if not isinstance(rec, dict):
                     continue
+                # a line counts, not a distinct value, so that frequent values are frequent in the sketch; a repeated line has the same hash
+                h, p = xxhash.xxh64_intdigest(text), tuple(row[i] for i in at)
                 for field, v in rec.items():
-                    a = acc.setdefault((*row[:-1], field), [0, 0, None, {}])
+                    a = files.setdefault((*row[:-1], field), [0, 0, [0] * len(TYPES)])
                     a[0] += 1
                     a[1] += len(rec)
                     if (t := json_type(v)) is not None:
-                        a[2] = t
-                        s = json.dumps(v)[:VALUE_CHARS]
-                        # a line counts, not a distinct value: the hash is over value and line, so that frequent values are frequent in the sketch
-                        a[3][xxhash.xxh64_intdigest(s + "\x00" + text)] = s
-                        if len(a[3]) > 4 * SKETCH:
-                            a[3] = dict(sorted(a[3].items())[:SKETCH])
-            if len(acc) > 20000:
-                yield flush()
-        if acc:
-            yield flush()
+                        a[2][TYPES.index(t)] += 1
+                        s = pools.setdefault((p, field), [{}, 1 << 64])
+                        if h < s[1]:
+                            s[0][h] = _sketched(v)
+                            if len(s[0]) > 4 * SKETCH:
+                                s[0] = dict(sorted(s[0].items())[:SKETCH])
+                                s[1] = max(s[0])
+            if len(files) > 20000 or len(pools) > 20000:
+                yield flush(len(pools) > 20000)
+        if files or pools:
+            yield flush(True)
 
     return run, names
 
 
-def file_profiles(lines: DataFrame, group: list[str], file_no: str, body: str) -> DataFrame:
-    """One row per field of each file: field, lines (that have it), width (fields on those lines), type (null if all null), sketch.
+def file_profiles(lines: DataFrame, group: list[str], file_no: str, body: str, pool: list[str] | None = None) -> DataFrame:
+    """One row per field of each file: field, lines (that have it), width (fields on those lines), type (of most values, null if all are null); and, with a null
+    file number, one row per field of each pool (some of the group columns, default all) with a sketch of its values.
 
     Lines that are unreadable or no objects are left out, as are lines without a group or file number. A line that is repeated is once in
     the sketch; lines and width, of which only the ratio is used, count it each time. A file of any size is summarised in the map stage;
-    what is shuffled is a bounded sketch per task and field, merged in two steps if there are many tasks.
+    what is shuffled are three numbers for each task and field of a file, and a bounded sketch for each task and field of a pool, which are merged
+    in two steps. The profiles are written out, as all that follows reads them more than once.
     """
+    pool = pool or group
     src = lines.select(*group, file_no, body).dropna(subset=[*group, file_no, body])
-    run, names = _profiles(group, file_no, body)
+    run, names = _profiles(group, file_no, body, pool)
     types = {f.name: f.dataType for f in src.schema.fields}
-    schema = T.StructType([T.StructField(c, types[c]) for c in [*group, file_no]] + T._parse_datatype_string("field string, lines bigint, width bigint, type string, sketch array<string>").fields)
-    parts = src.mapInPandas(run, schema)
+    schema = T.StructType([T.StructField(c, types[c]) for c in [*group, file_no]] + T._parse_datatype_string("field string, lines bigint, width bigint, types array<bigint>, sketch array<string>").fields)
     keys = [*group, file_no, "field"]
 
-    def merge(df, by):
-        return df.groupBy(*by).agg(F.sum("lines").alias("lines"), F.sum("width").alias("width"), F.max("type").alias("type"), F.slice(F.array_sort(F.flatten(F.collect_list("sketch"))), 1, SKETCH).alias("sketch"))
+    def merge(df: DataFrame, *part: str) -> DataFrame:
+        sketch = F.slice(F.array_sort(F.flatten(F.collect_list("sketch"))), 1, SKETCH)
+        return df.groupBy(*keys, *part).agg(F.sum("lines").alias("lines"), F.sum("width").alias("width"), F.array(*[F.sum(F.col("types")[i]) for i in range(len(TYPES))]).alias("types"), sketch.alias("sketch"))
 
-    if src._jdf.queryExecution().toRdd().getNumPartitions() > MERGE:
-        parts = merge(parts.withColumn("_part", (F.spark_partition_id() / MERGE).cast("int")), [*keys, "_part"])
-    return merge(parts, keys)
+    parts = src.mapInPandas(run, schema).withColumn("_part", F.when(F.col("lines").isNull(), (F.spark_partition_id() / MERGE).cast("int")))
+    one = merge(merge(parts, "_part"))
+    # the type that most values have, the first of TYPES if several do
+    kind = F.array(*[F.lit(t) for t in TYPES])[F.array_position("types", F.array_max("types")).cast("int") - 1]
+    return materialize(one.select(*keys, "lines", "width", F.when(F.array_max("types") > 0, kind).alias("type"), "sketch"), "profiles")
 
 
 def _leaves(v, out: list) -> None:
@@ -120,28 +157,38 @@ def _leaves(v, out: list) -> None:
         out.append(v)
 
 
-def _values(sketch: list[str]) -> tuple[list[tuple[float, ...]], list[str], list[bool]]:
-    """The numbers, texts and flags of a sketch; arrays of numbers are tuples."""
-    nums, texts, flags, raw = [], [], [], False
+def _values(sketch: list[str]) -> tuple[list[tuple[int, tuple[float, ...]]], list[tuple[str, Counter]], bool]:
+    """The numbers, texts and whether there are flags of a sketch: numbers as (how many a value has, the numbers), texts as (identity, trigrams)."""
+    nums, texts, flags, raw = [], [], False, False
     for s in sketch:
-        try:
-            v = json.loads(s[16:])
-        except ValueError:  # a long value, whose text was shortened
-            v = s[16:]
+        v = json.loads(s[16:])
+        if isinstance(v, dict) and LONG in v:
+            if v[LONG] == "text":
+                texts.append((v["id"], Counter(v["grams"])))
+                raw |= v["raw"]
+            elif v[LONG] == "numbers":
+                nums.append((v["n"], tuple(v["at"])))
+            else:
+                flags = True
+            continue
         raw |= isinstance(v, str)
         out: list = []
         _leaves(v, out)
         if t := [x for x in out if isinstance(x, str)]:
-            texts.append(" ".join(t))
-        elif f := [x for x in out if isinstance(x, bool)]:
-            flags += f
+            texts.append((" ".join(t), _grams(" ".join(t))))
+        elif any(isinstance(x, bool) for x in out):
+            flags = True
         elif out:
-            nums.append(tuple(float(x) for x in out))
+            nums.append((len(out), tuple(float(x) for x in out)))
     if len(texts) > len(nums) and raw:  # texts of which some happen to look like numbers
         nums = []
     return nums, texts, flags
 
 
+def _numbers(nums: list[tuple[int, tuple[float, ...]]]) -> np.ndarray:
+    return np.array([v for _, t in nums for v in t if math.isfinite(v)], float)
+
+
 def _words(name: str) -> set[str]:
     return {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)}
 
@@ -181,9 +228,9 @@ def _alike(x: np.ndarray, y: np.ndarray, scale: float) -> float:
 
 def _numeric(a: list[tuple], b: list[tuple]) -> tuple[float, float]:
     """Likeness of two samples of numbers in one unit, and in the unit that suits best."""
-    if Counter(map(len, a)).most_common(1)[0][0] != Counter(map(len, b)).most_common(1)[0][0]:
+    if Counter(n for n, _ in a).most_common(1)[0][0] != Counter(n for n, _ in b).most_common(1)[0][0]:
         return 0.0, 0.0
-    x, y = (np.array([v for t in s for v in t if math.isfinite(v)], float) for s in (a, b))
+    x, y = _numbers(a), _numbers(b)
     if not len(x) or not len(y):
         return 0.0, 0.0
     same = _alike(x, y, 1.0)
@@ -197,13 +244,13 @@ def value_likeness(a: list[str], b: list[str]) -> tuple[float, bool]:
         return 0.5, False  # nothing known
     best, sure = 0.0, False
     if ta and tb:
-        shared = len(set(ta) & set(tb)) / min(len(set(ta)), len(set(tb)))
-        best = max(shared, _cosine(sum(map(_grams, ta), Counter()), sum(map(_grams, tb), Counter())))
+        ia, ib = {i for i, _ in ta}, {i for i, _ in tb}
+        best = max(len(ia & ib) / min(len(ia), len(ib)), _cosine(sum((g for _, g in ta), Counter()), sum((g for _, g in tb), Counter())))
     if ba and bb:
         best = max(best, 0.5)
     if na and nb:
         same, scaled = _numeric(na, nb)
-        few = [len({v for t in n for v in t}) <= 6 and max(abs(v) for t in n for v in t) >= 20 for n in (na, nb)]
+        few = [len(set(v)) <= 6 and np.abs(v).max(initial=0) >= 20 for v in (_numbers(na), _numbers(nb))]
         sure = all(few) and scaled >= 0.75
         best = max(best, scaled if sure else same, 0.6 * scaled)
     return best, sure
@@ -240,49 +287,46 @@ def match_fields(gone: list[dict], come: list[dict], memo: dict | None = None) -
     return [(i, j) for i, j in max_weight_matching(np.where(w >= ACCEPT, w, 0.0)) if w[i, j] >= ACCEPT]
 
 
-MAX_FIELDS = 5000
-
-
-def pooled_sketches(profiles: DataFrame, pool: list[str]) -> DataFrame:
-    """One row per pool and field: the bottom-k of the sketches of all its files, a sample of all its lines."""
-    w = Window.partitionBy(*pool, "field").orderBy("_v")
-    one = profiles.select(*pool, "field", F.explode("sketch").alias("_v")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SKETCH)
-    return one.groupBy(*pool, "field").agg(F.collect_list("_v").alias("pooled"))
+def pooled_sketches(profiles: DataFrame, pool: list[str], file_no: str) -> DataFrame:
+    """One row per pool and field: pooled, the sketch of its values, a sample of all its lines."""
+    return profiles.where(F.col(file_no).isNull()).select(*pool, "field", F.col("sketch").alias("pooled"))
 
 
 def changes(profiles: DataFrame, group: list[str], file_no: str, pool: list[str]) -> DataFrame:
     """Rows (group, file_no, field_name, change_kind, new_name): what each file changed against the one before it.
 
-    The first file of a group has none. added, removed, renamed (new_name is the new name), retyped: the type differs from
-    the last known one of that name. new_name is '' unless renamed. An empty table gives an empty one.
+    The first file of a group has none. added, removed, renamed (new_name is the new name), retyped: a field of both files whose type differs from
+    the last known one of its name. new_name is '' unless renamed. An empty table gives an empty one.
 
-    Values are compared by the sketches of all files of the pool (some of the group columns), as one file may have a field
-    on one line only. There is one for each distinct field name, so they go to all tasks as long as they are at most
-    MAX_FIELDS; beyond that the sketches of the two files travel with the files.
+    `profiles` comes from `file_profiles` with the same pool. Values are compared by the sketches of the pool, which are joined to the fields of
+    those files that both lose and gain some; there is no bound on the number of names. Files and fields are lined up over range blocks, so
+    that a group may have any number of files.
     """
-    by = Window.partitionBy(*group)
-    prof = materialize(profiles, "profiles")
-    known = pooled_sketches(prof, pool).limit(MAX_FIELDS + 1).collect()
-    small = len(known) <= MAX_FIELDS
-    sketches = {(*[r[c] for c in pool], r["field"]): r["pooled"] for r in known} if small else {}
-    at = [group.index(c) for c in pool]
+    prof = profiles.where(F.col(file_no).isNotNull())
     # one row per file from here on, the fields of a file in one array (as many as a file has fields)
-    parts = ["field", "lines", "width", *([] if small else ["sketch"])]
-    files = prof.groupBy(*group, file_no).agg(F.collect_list(F.struct(*parts)).alias("now"))
-    pairs = files.withColumn("before", F.lag("now").over(by.orderBy(file_no))).where("before is not null")
+    files = prof.groupBy(*group, file_no).agg(F.collect_list(F.struct("field", "lines", "width")).alias("now"))
+    pairs = previous(range_blocks(files, group, [F.col(file_no)]), group, [F.col(file_no)], "now", "before").where("before is not null")
+    without = lambda a, b: F.filter(a, lambda x: ~F.array_contains(F.col(f"{b}.field"), x["field"]))
+    pairs = materialize(pairs.select(*group, file_no, without("before", "now").alias("gone"), without("now", "before").alias("come")).where("size(gone) > 0 or size(come) > 0"), "changed")
     names = [*group, file_no, "field_name", "change_kind", "new_name"]
+    row = lambda kind: [*group, file_no, F.col("x.field").alias("field_name"), F.lit(kind).alias("change_kind"), F.lit("").alias("new_name")]
+    removed = pairs.where("size(come) = 0").select(*group, file_no, F.explode("gone").alias("x")).select(*row("removed"))
+    added = pairs.where("size(gone) = 0").select(*group, file_no, F.explode("come").alias("x")).select(*row("added"))
+    both = pairs.where("size(gone) > 0 and size(come) > 0")
+    sides = [both.select(*group, file_no, F.lit(i).alias("side"), F.explode(c).alias("x")) for i, c in enumerate(("gone", "come"))]
+    fields = sides[0].unionByName(sides[1]).select(*group, file_no, "side", "x.*").join(pooled_sketches(profiles, pool, file_no), [*pool, "field"], "left")
+    fields = fields.groupBy(*group, file_no).agg(F.collect_list(F.struct("side", "field", "lines", "width", "pooled")).alias("x")).select(*group, file_no, "x")
+    at = [group.index(c) for c in pool]
 
     def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict | None = {} if small else None  # pooled sketches: a pair of names is compared once
+        memo: dict = {}  # a pair of names is compared once
         for b in batches:
             rows = []
             for r in b.itertuples(index=False, name=None):
-                key, now, before = r[:-2], {x["field"]: x for x in r[-2]}, {x["field"]: x for x in r[-1]}
-                gone, come = ([dict(x[f]) for f in sorted(set(x) - set(y))] for x, y in ((before, now), (now, before)))
-                if small:
-                    for x in (*gone, *come):
-                        x["pool"] = tuple(key[i] for i in at)
-                        x["sketch"] = sketches.get((*x["pool"], x["field"]), [])
+                key, every = r[:-1], sorted(({**x, "sketch": [] if x["pooled"] is None else x["pooled"], "pool": tuple(r[i] for i in at)} for x in r[-1]), key=lambda x: x["field"])
+                gone, come = ([x for x in every if x["side"] == i] for i in (0, 1))
+                if len(memo) > MEMO:
+                    memo.clear()
                 ren = match_fields(gone, come, memo)
                 rows += [(*key, gone[i]["field"], "renamed", come[j]["field"]) for i, j in ren]
                 rows += [(*key, x["field"], "removed", "") for i, x in enumerate(gone) if i not in {p[0] for p in ren}]
@@ -291,12 +335,16 @@ def changes(profiles: DataFrame, group: list[str], file_no: str, pool: list[str]
 
     types = {f.name: f.dataType for f in profiles.schema.fields}
     schema = T.StructType([T.StructField(c, types[c]) for c in [*group, file_no]] + T._parse_datatype_string("field_name string, change_kind string, new_name string").fields)
-    keys = pairs.mapInPandas(diff, schema)
-    typed = prof.where("type is not null").withColumn("_last", F.lag("type").over(Window.partitionBy(*group, "field").orderBy(file_no)))
-    retyped = typed.where("_last is not null and type <> _last").select(*group, file_no, F.col("field").alias("field_name"), F.lit("retyped").alias("change_kind"), F.lit("").alias("new_name"))
-    return keys.unionByName(retyped)
+    matched = fields.mapInPandas(diff, schema)
+    typed = range_blocks(prof.where("type is not null").select(*group, "field", file_no, "type"), [*group, "field"], [F.col(file_no)])
+    retyped = previous(typed, [*group, "field"], [F.col(file_no)], "type", "_last").where("_last is not null and type <> _last")
+    # a name that comes in with this file is no field of the file before: it is added or renamed, whatever it held long ago
+    retyped = retyped.join(pairs.select(*group, file_no, F.explode("come.field").alias("field")), [*group, file_no, "field"], "left_anti")
+    retyped = retyped.select(*group, file_no, F.col("field").alias("field_name"), F.lit("retyped").alias("change_kind"), F.lit("").alias("new_name"))
+    return removed.unionByName(added).unionByName(matched).unionByName(retyped)
 
 
+MAX_FIELDS = 5000
 MAX_RENAMES = 20000
 # fixed values: what a unit is of, and how many of the base unit it holds
 _UNIT = {
@@ -320,7 +368,7 @@ def unit_scale(name: str, sketch: list[str], first: str, first_sketch: list[str]
     a, b = _unit(_ordered_words(name)), _unit(_ordered_words(first))
     if name == first or (a and b):
         return a[1] / b[1] if a and b and a[0] == b[0] else 1.0
-    x, y = (np.array([v for t in _values(s)[0] for v in t if math.isfinite(v)], float) for s in (first_sketch, sketch))
+    x, y = (_numbers(_values(s)[0]) for s in (first_sketch, sketch))
     if not len(x) or not len(y):
         return 1.0
     kind = (a or b or ("", 0))[0]
@@ -375,7 +423,8 @@ def unify(lines: DataFrame, found: DataFrame, group: list[str], file_no: str, bo
     What reaches the driver is bounded by the vocabulary of field names, and checked against MAX_RENAMES and MAX_FIELDS.
     """
     pool, wanted = pool or group, fields or []
-    prof = profiles if profiles is not None else materialize(file_profiles(lines, group, file_no, body), "profiles")
+    every = profiles if profiles is not None else file_profiles(lines, group, file_no, body, pool)
+    prof = every.where(F.col(file_no).isNotNull())
     ren = found.where("change_kind = 'renamed'").select(F.struct(*pool).alias("p"), "field_name", "new_name").groupBy("p", "field_name", "new_name").count().limit(MAX_RENAMES + 1).collect()
     if len(ren) > MAX_RENAMES:
         raise ValueError(f"more than {MAX_RENAMES} distinct renames: these are no field names")
@@ -403,7 +452,7 @@ def unify(lines: DataFrame, found: DataFrame, group: list[str], file_no: str, bo
         for r in both.collect():
             apart |= {(tuple(r["p"]), x, y) for i, x in enumerate(r["b"]) for y in r["b"][i + 1 :]}
         first = _chains(pairs, apart, rank)
-    sketches = {(tuple(r[c] for c in pool), r["field"]): r["pooled"] for r in pooled_sketches(prof, pool).collect()}
+    sketches = {(tuple(r[c] for c in pool), r["field"]): r["pooled"] for r in pooled_sketches(every, pool, file_no).collect()}
     place = {}  # (pool, name) -> field, its kind, scale, unit
     for p, x in sorted(names, key=str):
         f = first.get((p, x), (p, x))[1]

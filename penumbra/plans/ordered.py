@@ -47,3 +47,22 @@ def running_sum(blocked: DataFrame, group: list[str], order: list, value: str, o
     if total:
         res = res.withColumn(total, F.coalesce("_total", total))
     return res.drop(*[f"_g{i}" for i in range(len(group))], "_gb", "_before", "_total", BLOCK)
+
+
+def previous(blocked: DataFrame, group: list[str], order: list, value: str, out: str) -> DataFrame:
+    """Adds `value` of the row before within each group as `out`; null for a group's first row.
+
+    `blocked` comes from range_blocks with the same group and order, whose rows must be told apart by them. Of groups that lie in several
+    blocks the last row of each block is broadcast, at most two rows for each block.
+    """
+    inner = Window.partitionBy(BLOCK, *group)
+    res = blocked.withColumn(out, F.lag(value).over(inner.orderBy(*order))).withColumn("_first", F.row_number().over(inner.orderBy(*order)) == 1)
+    last = blocked.groupBy(*group, BLOCK).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    w = Window.partitionBy(*group)
+    cut = last.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_before", F.lag("_last").over(w.orderBy(BLOCK))).where("_n > 1")
+    cut = cut.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col(BLOCK).alias("_gb"), "_before")
+    cond = F.col(BLOCK) == F.col("_gb")
+    for i, c in enumerate(group):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    res = res.join(F.broadcast(cut), cond, "left").withColumn(out, F.when(F.col("_first"), F.col("_before")).otherwise(F.col(out)))
+    return res.drop(*[f"_g{i}" for i in range(len(group))], "_gb", "_before", "_first", BLOCK)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penumbra.operators import drift, nested
-from penumbra.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,15 +109,17 @@ def p5_column_worst(spark, sf):
     return p5_worst(spark, sf).where("parent_path = '' and node_path like 'memberships.worst[%'").select("report_id", "node_path", "position", "row_no", "col_no", "gap")
 
 
+LINES, STREAM = ["lab_id", "stream_name"], ["stream_name"]
+
+
 @query
 def p1_found(spark, sf):
-    return drift.changes(drift.file_profiles(table(spark, sf, "raw_lines"), ["lab_id", "stream_name"], "file_no", "body"), ["lab_id", "stream_name"], "file_no", ["stream_name"])
+    return drift.changes(drift.file_profiles(table(spark, sf, "raw_lines"), LINES, "file_no", "body", STREAM), LINES, "file_no", STREAM)
 
 
 @query
 def p1_unified(spark, sf):
     """All lines in one table: a typed column for each field, under one name and in one unit."""
-    group, pool = ["lab_id", "stream_name"], ["stream_name"]
-    raw = table(spark, sf, "raw_lines").select("line_id", *group, "file_no", "body")
-    prof = materialize(drift.file_profiles(raw, group, "file_no", "body"), "profiles")
-    return drift.unify(raw, drift.changes(prof, group, "file_no", pool), group, "file_no", "body", ["line_id"], pool=pool, profiles=prof)
+    raw = table(spark, sf, "raw_lines").select("line_id", *LINES, "file_no", "body")
+    prof = drift.file_profiles(raw, LINES, "file_no", "body", STREAM)
+    return drift.unify(raw, drift.changes(prof, LINES, "file_no", STREAM), LINES, "file_no", "body", ["line_id"], pool=STREAM, profiles=prof)

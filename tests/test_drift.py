@@ -11,7 +11,7 @@ def lines(spark, files, extra=()):
 
 
 def found(spark, files, extra=()):
-    p = drift.file_profiles(lines(spark, files, extra), KEY, FILE, "body")
+    p = drift.file_profiles(lines(spark, files, extra), KEY, FILE, "body", ["stream"])
     return {tuple(r) for r in drift.changes(p, KEY, FILE, ["stream"]).collect()}
 
 
@@ -40,6 +40,31 @@ def test_retyped_against_the_last_known_type(spark):
     assert found(spark, files) == {(1, "s", 3, "x", "retyped", ""), (1, "s", 4, "x", "retyped", "")}
 
 
+def test_a_name_that_comes_back_in_another_type_is_renamed_or_added_only(spark):
+    files = [(1, 1, recs("limit_s", ["60s", "300s"])), (1, 2, recs("limit_seconds", ["60s", "300s"])), (1, 3, recs("limit_seconds", [60.0, 300.0])), (1, 4, recs("limit_s", [60.0, 300.0])), (1, 5, recs("limit_s", ["60s", "300s"]))]
+    assert found(spark, files) == {(1, "s", 2, "limit_s", "renamed", "limit_seconds"), (1, "s", 3, "limit_seconds", "retyped", ""), (1, "s", 4, "limit_seconds", "renamed", "limit_s"), (1, "s", 5, "limit_s", "retyped", "")}
+
+
+def test_a_long_value_is_compared_whole():
+    head = "the same opening words of every report " * 6
+    long = lambda tail: [f"{i:016x}" + drift._sketched(head + " ".join(f"{tail}{i}{j}" for j in range(60))) for i in range(4)]
+    a, b, c = long("alpha"), long("alpha"), long("q7x")
+    assert drift.value_likeness(a, b)[0] > 0.99 and drift.value_likeness(a, c)[0] < 0.9
+    many = lambda n, k: [f"{i:016x}" + drift._sketched([v * k for v in range(n)]) for i in range(3)]
+    assert drift.value_likeness(many(200, 1), many(200, 1))[0] == 1.0
+    assert drift.value_likeness(many(200, 1), many(90, 1))[0] == 0.0
+
+
+def test_more_names_than_any_bound_and_a_hot_group(spark):
+    """Thousands of names, and one group with most of the files over several blocks, are compared as a few are."""
+    files = [(1, f, [{"case": f"c{f}", f"field{f // 2}_{w}": f"{w}{f // 2}" + "x" * (f % 3)}]) for f in range(120) for w in ("a",)]
+    got = found(spark, files)
+    want = {(1, "s", f) for f in range(2, 120, 2)}
+    assert {r[:3] for r in got} == want
+    p = drift.file_profiles(lines(spark, [(2, 1, [{f"n{i}": i for i in range(6000)}]), (2, 2, [{f"n{i}": i for i in range(5999)}])]), KEY, FILE, "body", ["stream"])
+    assert [tuple(r) for r in drift.changes(p, KEY, FILE, ["stream"]).collect()] == [(2, "s", 2, "n5999", "removed", "")]
+
+
 def test_null_unreadable_repeated_lines_and_empty_table(spark):
     bad = [(1, "s", 2, "{oops", ""), (1, "s", 2, None, ""), (1, "s", 2, "[1]", ""), (None, "s", 2, "{}", ""), (1, "s", 2, "", None)]
     files = [(1, 1, recs("x", [1, 1])), (1, 2, recs("x", [2]) * 3)]
@@ -50,7 +75,7 @@ def test_null_unreadable_repeated_lines_and_empty_table(spark):
 def test_one_table_under_first_names(spark):
     files = [(1, 1, recs("timeout_s", [60.0, 300.0])), (1, 2, recs("timeoutSeconds", [60.0, 300.0]))]
     df = lines(spark, files, [(1, "s", 2, "{oops", "")])
-    ch = drift.changes(drift.file_profiles(df, KEY, FILE, "body"), KEY, FILE, ["stream"])
+    ch = drift.changes(drift.file_profiles(df, KEY, FILE, "body", ["stream"]), KEY, FILE, ["stream"])
     got = drift.unify(df, ch, KEY, FILE, "body", [], ["timeout_s"]).collect()
     assert sorted((r["file_no"], float(r["timeout_s"])) for r in got) == [(1, 60.0), (1, 300.0), (2, 60.0), (2, 300.0)]
 
@@ -61,7 +86,7 @@ def test_one_table_of_all_fields_in_one_unit(spark):
         (2, 1, recs("timeout_s", ["soon", 60.0], timeoutMs=[1, 2])),
     ]
     df = lines(spark, files, [(3, "t", 1, json.dumps({"timeoutMs": 5.0}), "other stream")])
-    ch = drift.changes(drift.file_profiles(df, KEY, FILE, "body"), KEY, FILE, ["stream"])
+    ch = drift.changes(drift.file_profiles(df, KEY, FILE, "body", ["stream"]), KEY, FILE, ["stream"])
     only = drift.unify(df.where("lab <> 2"), ch.where("lab <> 2"), KEY, FILE, "body", [], pool=["stream"])
     assert only.columns == ["lab", "stream", "file_no", "case", "flag", "n", "note", "timeoutMs", "timeout_s", "rest"]
     got = sorted(map(tuple, only.select("lab", "file_no", "case", "flag", "note", "timeoutMs", "timeout_s", "rest").collect()), key=str)
@@ -75,6 +100,6 @@ def test_one_table_of_all_fields_in_one_unit(spark):
 
 def test_a_field_renamed_into_another_unit_is_converted(spark):
     df = lines(spark, [(1, 1, recs("timeout_s", [60.0, 300.0])), (1, 2, recs("timeout_ms", [60000.0, 300000.0]))])
-    ch = drift.changes(drift.file_profiles(df, KEY, FILE, "body"), KEY, FILE, ["stream"])
+    ch = drift.changes(drift.file_profiles(df, KEY, FILE, "body", ["stream"]), KEY, FILE, ["stream"])
     got = drift.unify(df, ch, KEY, FILE, "body", [], ["timeout_s"]).collect()
     assert sorted((r["file_no"], float(r["timeout_s"])) for r in got) == [(1, 60.0), (1, 300.0), (2, 60.0), (2, 300.0)]
