@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from penumbra.functions.membership import dirichlet, digamma, softmax, uniform
 from penumbra.functions.optimise import Adam
 from penumbra.operators.base import Estimator, Model, long_form, register
-from penumbra.session import materialize
+from penumbra.session import forget, materialize
 
 EDGES = 20_000_000
 NODE_VALUES = 50_000_000
@@ -113,11 +113,14 @@ class BIGCLAM(_GraphFit):
         ids = e.select(F.col("src").alias("node")).distinct()
         if nodes is not None:
             ids = ids.unionByName(nodes.select(F.col(nodes.columns[0]).cast("bigint").alias("node"))).where("node is not null").distinct()
-        f = ids.mapInPandas(lambda it: (_start(b, self.k, self.seed) for b in it), "node bigint, k int, v double")
+        f, kept = ids.mapInPandas(lambda it: (_start(b, self.k, self.seed) for b in it), "node bigint, k int, v double"), None
         for i in range(self.max_iter):
             f = affiliation_step(e, f, self.lr)
             if i % 3 == 2:
-                f = materialize(f, "affiliation")
+                before, kept = kept, materialize(f, "affiliation")
+                f = kept
+                if before is not None:
+                    forget(before)
         return Model("BIGCLAM", f.select(F.col("node").alias("id"), "k", F.col("v").alias("u")), self.k, n_iter=self.max_iter, constrained=False)
 
 

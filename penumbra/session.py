@@ -6,10 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[int, tuple] = {}  # frames of `materialize` and where their tables are
 
 
 def get_spark(app: str = "penumbra", **conf: str) -> SparkSession:
@@ -42,10 +44,23 @@ def materialize(df: DataFrame, name: str = "t", partition_by: list[str] | None =
     """Cut the lineage of `df`: write it as a Parquet table in the shared folder and read it back.
 
     Unlike an RDD checkpoint the table is columnar and compressed, and later reads prune columns. It survives
-    the loss of executors. The folder is cleared by whoever owns the cluster's checkpoint folder, or at exit.
+    the loss of executors. Loops remove what they no longer need by `forget`; the rest of the folder is cleared by whoever owns the
+    cluster's checkpoint folder, or at exit.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/penumbra-{name}-{uuid.uuid4().hex}"
     w = df.write.mode("error")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out, lambda _, i=id(out): _WRITTEN.pop(i, None)), path)
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the table behind a frame that `materialize` gave, once nothing reads it any more; other frames are left alone."""
+    ref, path = _WRITTEN.pop(id(df), (None, ""))
+    if ref is None or ref() is not df:
+        return
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
