@@ -6,12 +6,14 @@ shingles are ordered by how rare they are in the corpus; of each item-sized wind
 that any passage that counts must share one of them. What shares one is held to the count and position bounds of its
 window, and what remains is aligned word by word with the item, exactly.
 
-Items are taken in blocks of bounded size, and only a block's shingles go to the tasks. The corpus is read twice for each block (once to
-count, once to search) and never shuffled.
+Items are taken in blocks of bounded size, and only a block's shingles go to the tasks. The corpus is read once for each block and never
+shuffled: the pass that counts shingles also writes out, as numbers of item words, those texts that share enough shingles with items at all,
+and only these are searched when the counts are known.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
@@ -24,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from penumbra.session import materialize
+
 SHINGLE = 5
 MIN_WORDS = 28  # least words of an item that a passage must hold
 EDIT_SHARE = 10  # one word in so many may be changed, dropped or put in
 SHARED = 8  # shingles that some window of MIN_WORDS must share: an edit breaks at most SHINGLE of them
+DRIFT = 6  # edits of a passage of less than 2 * MIN_WORDS words, the most that its diagonal moves, and one
 BLOCK_WORDS = 2_000_000  # item words of one block, the bound of what is sent to the tasks
 
 _INVISIBLE = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff\u0483-\u0489]+")
@@ -86,19 +91,17 @@ class Block:
         self.ids: dict[str, int] = {}
         self.items = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in x], np.int64) for x in ws]
         self.fits: dict[str, int] = {}
-        rows = [(c, i, p) for i, x in enumerate(self.items) for p, c in enumerate(self.codes(x)[0])]
-        code = np.array([r[0] for r in rows], np.uint64)
-        self.code, self.of = np.unique(code, return_inverse=True) if rows else (code, np.zeros(0, np.int64))
-        order = np.argsort(self.of, kind="stable")
-        self.row_item = np.array([r[1] for r in rows], np.int64)[order]
-        self.row_pos = np.array([r[2] for r in rows], np.int64)[order]
-        self.row_start = np.searchsorted(self.of[order], np.arange(len(self.code) + 1))
-        self.shingles = {}
-        at = 0
-        for i, x in enumerate(self.items):
-            n = max(0, len(x) - SHINGLE + 1)
-            self.shingles[i] = self.of[at : at + n]
-            at += n
+        self.sorted = sorted(self.ids)
+        self.turned = sorted(w[::-1] for w in self.ids)
+        codes = [self.codes(x)[0] for x in self.items]
+        code = np.concatenate([np.zeros(0, np.uint64), *codes])
+        self.code, of = np.unique(code, return_inverse=True)
+        of = of.astype(np.int32)
+        order = np.argsort(of, kind="stable")
+        n = np.array([len(c) for c in codes], np.int64)
+        self.row_item = np.repeat(np.arange(len(codes), dtype=np.int32), n)[order]  # items that hold a shingle, by shingle
+        self.row_start = np.searchsorted(of[order], np.arange(len(self.code) + 1))
+        self.shingles = np.split(of, np.cumsum(n)[:-1]) if len(codes) else []  # shingles of an item by position
         self.prefix = np.ones(len(self.code), bool)
 
     def codes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,14 +129,19 @@ class Block:
         return np.array(out, np.int64)
 
     def fit(self, damaged: str) -> int:
-        """The item word that a word with lost characters fits best: each lost character is none to three others."""
+        """The item word that a word with lost characters fits best: each lost character is none to three others.
+
+        Only words that begin, or else end, with what is left at that end are looked at.
+        """
         if damaged not in self.fits:
             if len(self.fits) > 100_000:
                 self.fits.clear()
             found = self.ids.get(damaged.strip("\ufffd"), 0)
             if not found and len(damaged.replace("\ufffd", "")) >= 2:
                 p = re.compile("".join(r"\w{0,3}" if c == "\ufffd" else re.escape(c) for c in damaged) + r"\Z")
-                near = [w for w in self.ids if abs(len(w) - len(damaged)) <= 2 + 2 * damaged.count("\ufffd") and p.match(w)]
+                head, tail = damaged.split("\ufffd", 1)[0], damaged.rsplit("\ufffd", 1)[1]
+                some = _starting(self.sorted, head) if len(head) >= len(tail) else [w[::-1] for w in _starting(self.turned, tail[::-1])]
+                near = [w for w in some if abs(len(w) - len(damaged)) <= 2 + 2 * damaged.count("\ufffd") and p.match(w)]
                 found = self.ids[min(near, key=lambda w: (abs(len(w) - len(damaged)), w))] if near else 0
             self.fits[damaged] = found
         return self.fits[damaged]
@@ -149,14 +157,18 @@ class Block:
         return k[same], at[same]
 
     def order_by_rarity(self, df: np.ndarray) -> None:
-        """Keeps for looking up, of each window, its rarest shingles: all but SHARED - 1 of them."""
+        """Keeps for looking up, of each window, its rarest shingles: all but SHARED - 1 of them.
+
+        Rare are those that few pairs of a text and an item share.
+        """
         self.prefix[:] = False
+        pairs = df * np.diff(self.row_start)
         span = MIN_WORDS - SHINGLE + 1
-        for sh in self.shingles.values():
+        for sh in self.shingles:
             if len(sh) < span:
                 continue
             rank = np.empty(len(sh), np.int64)
-            rank[np.lexsort((sh, df[sh]))] = np.arange(len(sh))
+            rank[np.lexsort((sh, pairs[sh]))] = np.arange(len(sh))
             w = np.lib.stride_tricks.sliding_window_view(rank, span)
             least = np.sort(w, axis=1)[:, span - SHARED]  # the rarest span - SHARED + 1 of each window
             best = np.zeros(len(sh), bool)
@@ -165,42 +177,54 @@ class Block:
             self.prefix[sh[best]] = True
 
     def found(self, ids: np.ndarray) -> list[int]:
-        """Items of which a text (as item word ids) holds a passage."""
+        """Items of which a text (as item word ids) holds a passage. Only rare shingles lead to items."""
         sh, at = self.hits(ids)
-        if len(sh) < SHARED or not self.prefix[sh].any():
+        if len(sh) < SHARED:
             return []
-        n = self.row_start[sh + 1] - self.row_start[sh]
-        rows = np.repeat(self.row_start[sh] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        item, pos, doc, rare = self.row_item[rows], self.row_pos[rows], np.repeat(at, n), np.repeat(self.prefix[sh], n)
-        out = []
-        many = np.bincount(item, minlength=len(self.items)) >= SHARED
-        for i in np.unique(item[rare]):
-            if many[i] and len(self.items[i]) >= MIN_WORDS:
-                mine = item == i
-                if self._near(pos[mine], doc[mine]) and self._holds(self.items[i], ids, doc[mine]):
-                    out.append(int(i))
-        return out
-
-    @staticmethod
-    def _near(pos: np.ndarray, doc: np.ndarray) -> bool:
-        """Whether SHARED distinct shingles of one item window stand within a stretch of its length, give or take the edits."""
-        reach = MIN_WORDS + MIN_WORDS // EDIT_SHARE + 4
+        rare = np.unique(sh[self.prefix[sh]])
+        if not len(rare):
+            return []
+        some = np.unique(np.concatenate([self.row_item[self.row_start[r] : self.row_start[r + 1]] for r in rare]))
+        return [int(i) for i in some if len(self.items[i]) >= MIN_WORDS and self._holds(int(i), ids, sh, at)]
+
+    def _holds(self, i: int, ids: np.ndarray, sh: np.ndarray, at: np.ndarray) -> bool:
+        """Whether a text holds a passage of item i: near SHARED distinct shingles of one item window on about one diagonal, an exact alignment.
+
+        Passages of 2 * MIN_WORDS words or more hold shorter ones, so that an alignment needs no more than the words around, however
+        long text and item are.
+        """
+        own = self.shingles[i]
+        order = np.argsort(own, kind="stable")
+        lo, hi = np.searchsorted(own[order], sh), np.searchsorted(own[order], sh, "right")
+        n = hi - lo
+        if (n > 0).sum() < SHARED:
+            return False
+        pos = order[np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+        doc = np.repeat(at, n)
         order = np.lexsort((pos, doc))
-        p, d = pos[order], doc[order]
+        p, d, item, wide = pos[order], doc[order], self.items[i], 2 * MIN_WORDS + DRIFT
+        reach = MIN_WORDS + MIN_WORDS // EDIT_SHARE + 4
         end = np.searchsorted(d, d + reach)
+        done: list[tuple[int, int]] = []  # (place, diagonal) of what was aligned
         for a in np.flatnonzero(end - np.arange(len(d)) >= SHARED):
             diag = p[a : end[a]] - d[a : end[a]]
-            close = np.abs(diag - diag[0]) <= 6
-            if len(np.unique(p[a : end[a]][close])) >= SHARED:
+            while done and done[0][0] + wide <= d[a]:
+                done.pop(0)
+            if any(abs(diag[0] - y) <= DRIFT for _, y in done):
+                continue
+            if len(np.unique(p[a : end[a]][np.abs(diag - diag[0]) <= DRIFT])) < SHARED:
+                continue
+            # whatever passage holds this shingle, or one of the next `wide` on this diagonal, lies in here
+            words_ = item[max(0, p[a] - wide - DRIFT) : p[a] + 2 * wide + DRIFT]
+            if best_passage(words_, ids[max(0, d[a] - wide) : d[a] + 2 * wide + SHINGLE]):
                 return True
+            done.append((int(d[a]), int(diag[0])))
         return False
 
-    @staticmethod
-    def _holds(item: np.ndarray, ids: np.ndarray, doc: np.ndarray) -> bool:
-        margin = len(item) + 20
-        d = np.sort(doc)
-        cuts = np.flatnonzero(np.diff(d) > 2 * margin)
-        return any(best_passage(item, ids[max(0, part[0] - margin) : part[-1] + SHINGLE + margin]) for part in np.split(d, cuts + 1))
+
+def _starting(words_: list[str], head: str) -> list[str]:
+    """The words of a sorted list that begin with `head`."""
+    return words_[bisect.bisect_left(words_, head) : bisect.bisect_right(words_, head + "\U0010ffff")]
 
 
 def best_passage(item: np.ndarray, text: np.ndarray) -> tuple[int, int] | None:
@@ -237,14 +261,15 @@ def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_
     item_name = item_key if item_key != doc_key else f"{item_key}_item"
     schema = T.StructType([T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField(item_name, items.schema[item_key].dataType)])
     out: list[DataFrame] = []
+    read_schema = T.StructType([T.StructField("_k", docs.schema[doc_key].dataType), *T._parse_datatype_string("_ids binary, shingle bigint, n bigint").fields])
     for rows in _blocks(items, item_key, item_text):
         block = Block(rows)
-        counts = src.select("_t").mapInPandas(_count(block), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
+        once = materialize(src.mapInPandas(_read(block), read_schema), "leak")
+        counts = once.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
         df = np.zeros(len(block.code), np.int64)
-        for r in counts:
-            df[r["shingle"]] = r["n"]
+        df[counts["shingle"].to_numpy()] = counts["n"].to_numpy()
         block.order_by_rarity(df)
-        out.append(src.mapInPandas(_search(block, [doc_key, item_name]), schema))
+        out.append(once.where("_ids is not null").select("_k", "_ids").mapInPandas(_search(block, [doc_key, item_name]), schema))
     return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -263,15 +288,24 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple]]:
         yield block
 
 
-def _count(block: Block):
+def _read(block: Block):
+    """Counts of a task's shingles, and the texts (as item word ids) that share enough of them with items to hold a passage."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(len(block.code), np.int64)
         for b in batches:
-            for t in b["_t"]:
-                k, _ = block.hits(block.read(t))
-                n[np.unique(k)] += 1
+            keys, texts = [], []
+            for k, t in zip(b["_k"], b["_t"]):
+                ids = block.read(t)
+                sh = np.unique(block.hits(ids)[0])
+                n[sh] += 1
+                if len(sh) >= SHARED:
+                    keys.append(k)
+                    texts.append(ids.astype(np.int32).tobytes())
+            if keys:
+                yield pd.DataFrame({"_k": keys, "_ids": texts, "shingle": None, "n": None}, dtype=object)
         at = np.flatnonzero(n)
-        yield pd.DataFrame({"shingle": at, "n": n[at]})
+        yield pd.DataFrame({"_k": None, "_ids": None, "shingle": at, "n": n[at]}, dtype=object)
 
     return run
 
@@ -279,7 +313,7 @@ def _count(block: Block):
 def _search(block: Block, names: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, block.keys[i]) for k, t in zip(b["_k"], b["_t"]) for i in block.found(block.read(t))]
+            rows = [(k, block.keys[i]) for k, t in zip(b["_k"], b["_ids"]) for i in block.found(np.frombuffer(t, np.int32).astype(np.int64))]
             yield pd.DataFrame(rows, columns=names)
 
     return run
