@@ -1,9 +1,9 @@
 """Top N items within every group, by sorted runs and a loser-tree merge.
 
-Each task turns its batches into runs sorted by group and score, keeps of each run what can still be among the first N of
-its group, and merges its runs. The runs of all tasks are then brought together by bucket (a hash of the group) and merged
-by a loser tree that, after N outputs of a group, seeks every run to its next group. What is shuffled are at most N rows for each
-task and group, however large the group.
+Each task turns its batches into runs sorted by group and score, with what can still be among the first N of its group, and the runs
+are stored. They are then brought together by bucket (a hash of the group) and merged by a loser tree that, once it has N outputs of a
+group, seeks each run that comes up with that group to its next one. There are as many buckets as keep one within BUCKET_ROWS, and what is
+shuffled are at most N rows for each run and group, however large the group.
 """
 
 from __future__ import annotations
@@ -13,12 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FAN_IN = 1000  # tasks whose runs one merge takes; with more tasks there is a merge level between
-BATCH_RUNS = 64  # runs of a task held before they are merged into one
+from penumbra.session import materialize
+
+FAN_IN = 1000  # runs that one merge takes; with more there is a merge level between
+RUN_ROWS = 500_000  # rows of a run that a task holds
+BUCKET_ROWS = 200_000  # rows of a bucket, about: a group of many runs may have N for each of FAN_IN
 
 
 class LoserTree:
@@ -49,16 +53,13 @@ class LoserTree:
         self.winner = best
 
     def update(self, leaf: int, key) -> None:
-        """Gives the winner's run its next key; a run that is no winner can be moved by `rebuild` only."""
+        """Gives the winner's run its next key."""
         self.keys[leaf] = key
         self._play(leaf)
 
-    def rebuild(self) -> None:
-        self.__init__(self.keys)
-
 
 class Run:
-    """A sorted run: keys (group key, item key), and where each group starts."""
+    """A sorted run: keys (group key, item key), and where each group ends."""
 
     def __init__(self, groups: list, items: list):
         self.groups, self.items, self.at = groups, items, 0
@@ -74,34 +75,24 @@ class Run:
         self.at = self.next_group[self.at]
 
 
-def merge_runs(runs: list[Run], n: int) -> Iterator[tuple]:
-    """(group, item) of the first n distinct items of each group, in order; equal items of a group count once."""
-    runs = [r for r in runs if r.groups]
+def merge_runs(runs: list[Run], n: int) -> Iterator[tuple[int, int]]:
+    """(number of a run, position in it) of the first n distinct items of each group, in order; equal items of a group count once."""
     if not runs:
         return
     tree, group, out, last = LoserTree([r.key() for r in runs]), None, 0, None
-    while tree.keys[tree.winner] is not None:
+    while (key := tree.keys[tree.winner]) is not None:
         w = tree.winner
-        g, item = tree.keys[w]
+        run, (g, item) = runs[w], key
         if g != group:
             group, out, last = g, 0, None
-        if item != last:
-            yield g, item
-            out, last = out + 1, item
-        if out == n:  # no run has more to give to this group
-            for i, r in enumerate(runs):
-                while r.at < len(r.groups) and r.groups[r.at] == g:
-                    r.seek()
-                tree.keys[i] = r.key()
-            tree.rebuild()
+        if out == n:  # the group has all its outputs
+            run.seek()
         else:
-            runs[w].at += 1
-            tree.update(w, runs[w].key())
-
-
-def _ordered(value, down: bool):
-    """A key part that sorts as SQL does, nulls last."""
-    return (1, 0) if value is None else (0, -value if down else value)
+            if item != last:
+                yield w, run.at
+                out, last = out + 1, item
+            run.at += 1
+        tree.update(w, run.key())
 
 
 def _cut(t: pa.Table, group: list[str], sort: list[tuple[str, str]], n: int) -> pa.Table:
@@ -126,19 +117,26 @@ def _cut(t: pa.Table, group: list[str], sort: list[tuple[str, str]], n: int) ->
     return t.filter(pa.array(rank < n))
 
 
-def _as_run(t: pa.Table, group: list[str], sort: list[tuple[str, str]]) -> Run:
-    down = {c: d == "descending" for c, d in sort}
-    cols = lambda names: list(zip(*[[_ordered(v, down.get(c, False)) for v in t[c].to_pylist()] for c in names]))
-    return Run(cols(group), cols([c for c, _ in sort]))
+def _key_parts(tables: list[pa.Table], column: str, down: bool) -> list[list]:
+    """The column of each table in a form that sorts as SQL does, nulls last."""
+    nulls = any(t[column].null_count for t in tables)
+    out = []
+    for t in tables:
+        v = t[column].to_pylist()
+        if nulls:
+            out.append([(1, 0) if x is None else (0, -x if down else x) for x in v])
+        else:
+            out.append([-x for x in v] if down else v)
+    return out
 
 
-def _as_table(pairs: list[tuple], group: list[str], sort: list[tuple[str, str]], schema: pa.Schema) -> pa.Table:
-    cols: dict[str, list] = {}
-    for part, names in ((0, group), (1, [c for c, _ in sort])):
-        for i, c in enumerate(names):
-            down = dict(sort).get(c) == "descending" and part == 1
-            cols[c] = [None if p[part][i][0] else -p[part][i][1] if down else p[part][i][1] for p in pairs]
-    return pa.table(cols, schema=pa.schema([schema.field(c) for c in cols]))
+def merge_tables(tables: list[pa.Table], group: list[str], sort: list[tuple[str, str]], n: int) -> pa.Table:
+    """The first n rows of each group of several sorted tables."""
+    cols = {c: _key_parts(tables, c, d == "descending") for c, d in [*((g, "ascending") for g in group), *sort]}
+    runs = [Run(list(zip(*(cols[c][i] for c in group))), list(zip(*(cols[c][i] for c, _ in sort)))) for i in range(len(tables))]
+    start = np.append(0, np.cumsum([len(t) for t in tables]))
+    rows = [start[w] + at for w, at in merge_runs(runs, n)]
+    return pa.concat_tables(tables).take(pa.array(rows, pa.int64()))
 
 
 def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], n: int, buckets: int | None = None) -> DataFrame:
@@ -152,27 +150,31 @@ def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], n: int,
     cols = [*group, score, *ties]
     src = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).select(*cols)
     sort = [(score, "descending"), *[(c, "ascending") for c in ties]]
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    fields = [f for f in src.schema.fields]
-    plain = T.StructType(fields)
-
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's batches as one run."""
-        held: list[pa.Table] = []
-        schema = None
+    plain = T.StructType(src.schema.fields)
+    tagged = T.StructType([*src.schema.fields, T.StructField("_run", T.LongType())])
+
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's batches as few sorted runs."""
+        task, made, held, rows = TaskContext.get().partitionId(), 0, [], 0
+
+        def run() -> pa.Table:
+            return _cut(pa.concat_tables(held), group, sort, n)
+
+        def tag(t: pa.Table) -> list[pa.RecordBatch]:
+            return t.append_column("_run", pa.array(np.full(len(t), (task << 20) + made, np.int64))).to_batches()
+
         for b in batches:
-            schema = b.schema
             if b.num_rows:
                 held.append(_cut(pa.Table.from_batches([b]), group, sort, n))
-            if len(held) == BATCH_RUNS:
-                held = [one(held, schema)]
+                rows += len(held[-1])
+            if rows > RUN_ROWS:
+                held = [run()]
+                rows = len(held[0])
+                if rows > RUN_ROWS // 2:  # most rows stay: these are other groups or the first of theirs
+                    yield from tag(held[0])
+                    made, held, rows = made + 1, [], 0
         if held:
-            yield from one(held, schema).to_batches()
-
-    def one(held: list[pa.Table], schema: pa.Schema) -> pa.Table:
-        if len(held) == 1:
-            return held[0]
-        return _as_table(list(merge_runs([_as_run(t, group, sort) for t in held], n)), group, sort, schema)
+            yield from tag(run())
 
     def merge(t: pa.Table) -> pa.Table:
         """All runs of a bucket, told apart by `_run`."""
@@ -181,17 +183,21 @@ def top_n(df: DataFrame, group: list[str], score: str, ties: list[str], n: int,
         cuts = np.append(np.flatnonzero(np.append(True, run[1:] != run[:-1])), len(run))
         rows = t.select(cols)
         # a run may have come in pieces: sorting it again is near linear
-        held = [_cut(rows.slice(a, b - a), group, sort, n) for a, b in zip(cuts[:-1], cuts[1:])]
-        return one(held, rows.schema)
-
-    runs = src.mapInArrow(shrink, plain).withColumn("_run", F.spark_partition_id())
-    runs = runs.withColumn("_bucket", F.pmod(F.hash(*[F.col(c) for c in group]), F.lit(buckets)))
-    if src._jdf.queryExecution().toRdd().getNumPartitions() > FAN_IN:
-        runs = runs.withColumn("_part", (F.col("_run") / FAN_IN).cast("int"))
-        tagged = T.StructType([*fields, T.StructField("_bucket", T.IntegerType()), T.StructField("_run", T.IntegerType())])
-        runs = runs.groupBy("_bucket", "_part").applyInArrow(lambda key, t: _tag(merge(t), key), tagged)
+        return merge_tables([_cut(rows.slice(a, b - a), group, sort, n) for a, b in zip(cuts[:-1], cuts[1:])], group, sort, n)
+
+    runs = materialize(src.mapInArrow(form, tagged), "runs")
+    total, several = runs.agg(F.count(F.lit(1)), F.countDistinct("_run")).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(c) for c in group]), F.lit(buckets or max(least, -(-total // BUCKET_ROWS)))))
+    if several > FAN_IN:
+        parts = -(-several // FAN_IN)
+        runs = runs.withColumn("_part", F.pmod(F.xxhash64("_run"), F.lit(parts)))
+        level = T.StructType([*tagged.fields, T.StructField("_bucket", T.LongType())])
+        runs = runs.groupBy("_bucket", "_part").applyInArrow(lambda key, t: _tag(merge(t), key), level)
     return runs.groupBy("_bucket").applyInArrow(merge, plain)
 
 
 def _tag(t: pa.Table, key) -> pa.Table:
-    return t.append_column("_bucket", pa.array(np.full(len(t), key[0].as_py(), np.int32))).append_column("_run", pa.array(np.full(len(t), key[1].as_py(), np.int32)))
+    """Merged rows as one run of their bucket."""
+    bucket, part = (np.full(len(t), k.as_py(), np.int64) for k in key)
+    return t.append_column("_run", pa.array(part)).append_column("_bucket", pa.array(bucket))

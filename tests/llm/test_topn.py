@@ -54,4 +54,16 @@ def test_loser_tree(runs, n):
     for r in runs:
         for g, i in r:
             want.setdefault(g, set()).add(i)
-    assert list(topn.merge_runs(made, n)) == [((g,), (i,)) for g in sorted(want) for i in sorted(want[g])[:n]]
+    assert [(made[w].groups[at], made[w].items[at]) for w, at in topn.merge_runs(made, n)] == [((g,), (i,)) for g in sorted(want) for i in sorted(want[g])[:n]]
+
+
+def test_many_buckets_and_runs_of_one_task(spark, monkeypatch):
+    monkeypatch.setattr(topn, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(topn, "RUN_ROWS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        rows = rows_of(5, 900)
+        got = topn.top_n(spark.createDataFrame(rows, SCHEMA).repartition(3), ["g", "h"], "s", ["f", "i"], 9).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r) for r in got} == brute(rows, 9) and len(got) == len(brute(rows, 9))
