@@ -14,7 +14,7 @@ Groups of up to LOCAL items are walked within one task each; larger ones by the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -23,13 +23,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from penumbra.plans.ordered import range_blocks, running_sum
-from penumbra.session import materialize
+from penumbra.session import forget, materialize
 
 LOCAL = 200_000
 DAMPING = 0.85
+TOLERANCE = 1e-11  # a walk has converged when its shares move by less, summed up; in a task and spread alike
 
 
-def stationary(worse: np.ndarray, damping: float = DAMPING, tol: float = 1e-13, max_iter: int = 300) -> np.ndarray:
+def most_steps(damping: float) -> int:
+    """Steps after which a walk must have converged: each takes what it moves down to the share `damping`, from 2 at most."""
+    return 2 + math.ceil(math.log(TOLERANCE / 2) / math.log(damping)) if damping > 0 else 2
+
+
+def stationary(worse: np.ndarray, damping: float = DAMPING) -> np.ndarray:
     """Stationary shares of n items; worse is (n, scores), where a larger number is a worse rank and equal numbers are ties."""
     n, m = worse.shape
     order = np.argsort(worse, axis=0, kind="stable")
@@ -41,17 +47,17 @@ def stationary(worse: np.ndarray, damping: float = DAMPING, tol: float = 1e-13,
     flat = order.ravel()
     below = np.zeros((n + 1, m))
     pi = np.full(n, 1.0 / n)
-    for _ in range(max_iter):
+    for _ in range(most_steps(damping)):
         p = pi[order]
         below[:n] = np.cumsum((p * weight)[::-1], axis=0)[::-1]  # suffix sums
         got = np.bincount(flat, np.take_along_axis(below, end, axis=0).ravel(), n) + (p * top).sum() / n
         new = (1 - damping) / n + damping * got / m
         new /= new.sum()
-        done = np.abs(new - pi).sum() < tol
+        done = np.abs(new - pi).sum() < TOLERANCE
         pi = new
         if done:
-            break
-    return pi
+            return pi
+    raise ArithmeticError("the walk did not converge")
 
 
 def _worse_number(df: DataFrame, scores: dict[str, int]) -> DataFrame:
@@ -63,20 +69,23 @@ def _worse_number(df: DataFrame, scores: dict[str, int]) -> DataFrame:
     return df.select("*", *cols)
 
 
-def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, int], damping: float = DAMPING, local: int = LOCAL, steps: int = 60) -> DataFrame:
+def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, int], damping: float = DAMPING, local: int = LOCAL) -> DataFrame:
     """Rows (group, item, share, position): share is the ratio of up-walk to down-walk; position 1 is the first of its group.
 
     Equal shares are ordered by item.
 
     scores maps a column to 1 if more is better, -1 if less is. A null or NaN score is the worst of its group. Rows repeated for one group and item
     count once (of differing copies, the one with the least score values). Rows whose group or item is null are left out; an empty table
-    gives an empty one; a group of one item has share 1. Other columns are dropped.
+    gives an empty one; a group of one item has share 1. Other columns are dropped. damping is from 0 to less than 1. Both ways of walking stop by
+    the same rule, so that a group's size does not change its ranking.
     """
+    if not 0 <= damping < 1:
+        raise ValueError(f"damping must be at least 0 and less than 1: {damping}")
     m = len(scores)
     one = _worse_number(df.where(F.col(group).isNotNull() & F.col(item).isNotNull()), scores).groupBy(group, item).agg(F.min(F.struct(*[f"_w{i}" for i in range(m)])).alias("_w"))
     one = materialize(one.select(group, item, "_w.*"), "walk")
-    sizes = one.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    big = [r[0] for r in sizes.where(F.col("_n") > local).select(group).limit(100_001).collect()]
+    big = materialize(one.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > local).select(group), "big")
+    some = not big.isEmpty()
     types = {f.name: f.dataType for f in one.schema.fields}
     schema = T.StructType([T.StructField(group, types[group]), T.StructField(item, types[item]), T.StructField("share", T.DoubleType()), T.StructField("position", T.LongType())])
 
@@ -89,18 +98,16 @@ def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, int], damp
         out["position"] = np.arange(1, len(out) + 1)
         return out
 
-    if len(big) > 100_000:
-        raise ValueError("too many groups of more than `local` items: raise `local`")
-    small = one.where(~F.col(group).isin(big)) if big else one
+    small = one.join(big, group, "left_anti") if some else one
     # few bytes but much work: as many tasks as the session has partitions, which adaptive execution must not merge
     small = small.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group)
     res = small.groupBy(group).applyInPandas(walk, schema)
-    if big:
-        res = res.unionByName(_distributed(one.where(F.col(group).isin(big)), group, item, m, damping, steps))
+    if some:
+        res = res.unionByName(_distributed(materialize(one.join(big, group, "left_semi"), "walk"), group, item, m, damping))
     return res
 
 
-def _distributed(one: DataFrame, group: str, item: str, m: int, damping: float, steps: int) -> DataFrame:
+def _distributed(one: DataFrame, group: str, item: str, m: int, damping: float) -> DataFrame:
     """The same walk for groups too large for one task; each step is one running sum over the tie groups of all scores."""
     w = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.isnan(f"_w{i}").alias("bad"), F.when(F.isnan(f"_w{i}"), 0.0).otherwise(F.col(f"_w{i}")).alias("w")) for i in range(m)]))
     long = one.select(group, item, w.alias("_x")).select(group, item, "_x.*")
@@ -115,7 +122,7 @@ def _distributed(one: DataFrame, group: str, item: str, m: int, damping: float,
     shares = []
     for way in ("up", "down"):
         pi = materialize(start.withColumn("share", 1 / F.col("_n")), "pi")
-        for _ in range(steps):
+        for _ in range(most_steps(damping)):
             at = long.join(pi, [group, item])
             gives = at.groupBy(*keys, "bad", "w").agg(F.sum(F.when(F.col(way) > 0, F.col("share") / F.col(way)).otherwise(0.0)).alias("gives"))
             run = running_sum(gives.join(ties, [*keys, "bad", "w"]), keys, order, "gives", "_cum", "_all")
@@ -124,10 +131,14 @@ def _distributed(one: DataFrame, group: str, item: str, m: int, damping: float,
             got = at.join(run.select(*keys, "bad", "w", far.alias("far")), [*keys, "bad", "w"]).groupBy(group, item).agg(F.sum("far").alias("_got"), F.first("_n").alias("_n")).join(lost, group)
             new = (1 - damping) / F.col("_n") + damping * (F.col("_got") + F.col("_lost") / F.col("_n")) / m
             new = materialize(got.select(group, item, "_n", new.alias("share")), "pi")
-            moved = new.alias("a").join(pi.alias("b"), [group, item]).agg(F.sum(F.abs(F.col("a.share") - F.col("b.share")))).first()[0]
+            # the rule of one task, for the group that moves most
+            moved = new.alias("a").join(pi.alias("b"), [group, item]).groupBy(group).agg(F.sum(F.abs(F.col("a.share") - F.col("b.share"))).alias("_m")).agg(F.max("_m")).first()[0]
+            forget(pi)
             pi = new
-            if moved is None or moved < 1e-12:
+            if moved is None or moved < TOLERANCE:
                 break
+        else:
+            raise ArithmeticError("the walk did not converge")
         shares.append(pi.select(group, item, F.col("share").alias(way)))
     pi = shares[0].join(shares[1], [group, item]).select(group, item, (F.col("up") / F.col("down")).alias("share"))
     done = range_blocks(pi.select(group, item, F.round("share", 9).alias("share"), F.lit(1).alias("_one")), [group], [F.desc("share"), F.col(item)])

@@ -30,7 +30,7 @@ def want(g):
 def test_against_the_dense_chain_in_one_task_and_spread(spark):
     df = spark.createDataFrame(ROWS + ROWS[:6] + [(None, "a", 1.0, 1.0, 1.0, ""), (3, None, 1.0, 1.0, 1.0, ""), (4, "only", None, None, None, "")], SCHEMA)
     for local in (rankwalk.LOCAL, 3):
-        got = rankwalk.rank_walk(df, "g", "a", SCORES, local=local, steps=80).collect()
+        got = rankwalk.rank_walk(df, "g", "a", SCORES, local=local).collect()
         assert len(got) == 29
         for g in (1, 2):
             mine = {r["a"]: r for r in got if r["g"] == g}
