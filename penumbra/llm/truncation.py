@@ -2,12 +2,12 @@
 
 A trigram that is common inside lines and almost never at an end is no way to end a page: a text whose last trigram is one was
 cut. Numbers and capitalised words count as one word each, so that names do not make every trigram rare; a line's start counts as part of
-its first trigrams. A last word that was itself cut is no known word: then the trigram before it decides, by how often at
-most one word follows it.
+its first trigrams. Ends of long lines are counted apart: words that close a tag or a byline need not be a way to end a paragraph.
 
-A word that was cut may itself be
-seen often, if many pages are cut alike; it is known by a longer word that starts with it and follows the same two words far more often. If both are too rare to tell, the word itself does: common words, numbers and names also close lines, a word in small letters that never
-followed these words before does not.
+A last word that was itself cut is no known word: then the trigram before it decides, by how often at most one word follows it. A word that
+was cut may itself be seen often, if many pages are cut alike; it is known by a longer word that starts with it and follows the same two words far more
+often. If no trigram tells, a text was cut if something stands behind the cut or its last line is a long one, as such lines hardly ever
+end without a full stop.
 
 Pages are counted, not rows: copies of one page (fetched again, mirrored under another menu) weigh one together, else a cut page that stands
 often would make its own last trigram a usual end.
@@ -25,21 +25,22 @@ from penumbra.session import materialize
 
 SUPPORT = 4  # least times that a trigram is seen elsewhere to decide
 AT_END = 0.2  # largest share of ends of a trigram that is no way to end
-BROADCAST_ROWS = 1_000_000
+LONG = 30  # least words and marks of a long line
+BROADCAST_ROWS = 300_000  # of three numbers, or a number and four flags
 HEAVY = 1000  # copies of a page from which they are never shuffled by page, so that no task gets them all
 
 # fixed values: what is put behind a cut, or is left of markup that was cut; how a sentence ends; how a list
 # entry and a line with a label (byline, tags, credit) begin
 MARKS = r"(\\s*(…|\\.\\.\\.|\\[\\s*(…|\\.\\.\\.)\\s*\\]|&#?[A-Za-z0-9]{0,8}|<[^<>]{0,300}|�))+$"
-SENTENCE_END = r"[.!?。！？।]\\s*[\"”“»«\'’‘›)\\]]*\\s*\\.?$"
-LABEL = r"^\\p{Lu}[\\p{L}\\p{M}-]*(\\s[\\p{L}\\p{M}-]+)?\\s?:\\s.{1,80}$"
+SENTENCE_END = r"[.!?。！？।]\\s*[\"”“»«\'’‘›)\\]Ââ€]*\\s*\\.?$"
+LABEL = r"^\\p{Lu}[\\p{L}\\p{M}\\p{S}-]*(\\s[\\p{L}\\p{M}\\p{S}-]+)?\\s?:\\s.{1,80}$"
 LIST_ENTRY = r"^\\s*([-*•·–▪]|\\d+[.)])\\s"
-TOKEN = r"[\\p{Ll}\\p{Lo}\\p{M}\'’]+|[\\n0X]|[^\\s\\p{L}]"
+TOKEN = r"[\\p{Ll}\\p{Lo}\\p{M}\'’]+(-[\\p{Ll}\\p{Lo}\\p{M}\'’]+)*|[\\n0X]|[^\\s\\p{L}]"
 
 
 def _tokens(column: str) -> str:
     """SQL: the words of a text with numbers as 0, capitalised words as X and line breaks as words."""
-    plain = f"regexp_replace(regexp_replace({column}, '\\\\p{{N}}+', '0'), '\\\\p{{Lu}}[\\\\p{{L}}\\\\p{{M}}\\'’]*', 'X')"
+    plain = f"regexp_replace(regexp_replace({column}, '\\\\p{{N}}+', '0'), '\\\\p{{Lu}}[\\\\p{{L}}\\\\p{{M}}\\'’]*(-[\\\\p{{L}}\\\\p{{M}}\\'’]+)*', 'X')"
     return f"regexp_extract_all({plain}, '{TOKEN}', 0)"
 
 
@@ -82,7 +83,7 @@ select text, xxhash64(substring(x, instr(x, l))) as g from d""",
 
 
 def trigram_ends(docs: DataFrame) -> DataFrame:
-    """For each trigram of the texts, as (hash of two words, third word, hash of all): seen, at_end (of a line or text), near_end (one word follows).
+    """For each trigram of the texts, as (hash of two words, third word, hash of all): seen, at_end (of a line or text), at_long_end (of one of LONG words and marks), near_end (one word follows).
 
     A text counts as 1 / n. Sums are rounded, so that they don't depend on the order of rows.
     """
@@ -91,9 +92,9 @@ def trigram_ends(docs: DataFrame) -> DataFrame:
         f"""
 with w as (select 1D / n as c, concat(array('\\n', '\\n'), {_tokens("text")}, array('\\n', '\\n')) as t from :docs:),
 e as (select c, explode(transform(sequence(2, size(t) - 3), i -> if(t[i] = '\\n', null, struct({_PAIR} as p, t[i] as w,
-      if(t[i + 1] = '\\n', 2, if(t[i + 2] = '\\n', 1, 0)) as e)))) as x from w where size(t) > 4),
-g as (select x.p as p, x.w as w, round(sum(c), 6) as seen, round(sum(if(x.e = 2, c, 0D)), 6) as at_end, round(sum(if(x.e = 1, c, 0D)), 6) as near_end from e where x is not null group by x.p, x.w)
-select p, w, xxhash64(p, w) as h, seen, at_end, near_end from g""",
+      if(t[i + 1] = '\\n', if(i > {LONG} and not array_contains(slice(t, i - {LONG} + 2, {LONG}), '\\n'), 3, 2), if(t[i + 2] = '\\n', 1, 0)) as e)))) as x from w where size(t) > 4),
+g as (select x.p as p, x.w as w, round(sum(c), 6) as seen, round(sum(if(x.e >= 2, c, 0D)), 6) as at_end, round(sum(if(x.e = 3, c, 0D)), 6) as at_long_end, round(sum(if(x.e = 1, c, 0D)), 6) as near_end from e where x is not null group by x.p, x.w)
+select p, w, xxhash64(p, w) as h, seen, at_end, at_long_end, near_end from g""",
         docs=docs,
     )
 
@@ -111,28 +112,30 @@ def find_cut(df: DataFrame, key: str, text: str) -> DataFrame:
     last = _sql(
         spark,
         f"""
-with a as (select k, regexp_extract(regexp_replace(substring_index(regexp_replace(text, '[\\\\s\\\\p{{Z}}]+$', ''), '\\n', -1), '{MARKS}', ''), '^[\\\\s\\\\p{{Z}}]*(.*?)[\\\\s\\\\p{{Z}}]*$', 1) as line from :docs:),
-b as (select k, line from a where line <> '' and not line rlike '{SENTENCE_END}' and not line rlike '{LIST_ENTRY}' and not line rlike '{LABEL}'),
-c as (select k, concat(array('\\n', '\\n', '\\n'), {_tokens("line")}) as t from b)
+with r as (select k, substring_index(regexp_replace(text, '[\\\\s\\\\p{{Z}}]+$', ''), '\\n', -1) as raw from :docs:),
+a as (select k, raw rlike '{MARKS}' as marked, regexp_extract(regexp_replace(raw, '{MARKS}', ''), '^[\\\\s\\\\p{{Z}}]*(.*?)[\\\\s\\\\p{{Z}}]*$', 1) as line from r),
+b as (select k, marked, line from a where line <> '' and not line rlike '{SENTENCE_END}' and not line rlike '{LIST_ENTRY}' and not line rlike '{LABEL}'),
+c as (select k, marked, concat(array('\\n', '\\n', '\\n'), {_tokens("line")}) as t from b)
 select k, {at(1)} as p0, t[size(t) - 1] as w0, xxhash64({at(1)}, t[size(t) - 1]) as h0, xxhash64({at(2)}, t[size(t) - 2]) as h1,
-       t[size(t) - 1] rlike '^[\\\\p{{Ll}}\\\\p{{Lo}}]' as small from c where size(t) > 3""",
+       t[size(t) - 1] rlike '^[\\\\p{{Ll}}\\\\p{{Lo}}]' as small, marked, size(t) >= 3 + {LONG} as long from c where size(t) > 3""",
         docs=docs,
     )
     last = materialize(last, "last")
     ends = materialize(trigram_ends(weighed(docs)), "ends")
     asked = _sql(spark, "select distinct h from (select explode(array(h0, h1)) as h from :last:)", last=last)
-    # how often a longer word follows the same two words; both sides are distinct trigrams
+    # how often a longer word follows the same two words: each frequent trigram once for each beginning of its word, so that the join is one of
+    # equals and no pair of words has a task of its own
     longer = _sql(
         spark,
-        f"""select q.h, max(e.seen) as longer from (select distinct p0 as p, w0 as w, h0 as h from :last: where small) q
-        join :ends: e on e.p = q.p and left(e.w, 1) = left(q.w, 1) where length(e.w) > length(q.w) and startswith(e.w, q.w)
-        and e.seen >= {SUPPORT} and e.at_end <= {AT_END} * e.seen group by q.h""",
+        f"""with q as (select distinct p0 as p, w0 as w, h0 as h from :last: where small),
+        e as (select p, seen, explode(transform(sequence(1, length(w) - 1), n -> left(w, n))) as w from :ends: where length(w) > 1 and seen >= {SUPPORT} and at_end <= {AT_END} * seen)
+        select h, max(seen) as longer from e join q using (p, w) group by h""",
         last=last, ends=ends,
     )
     # what is known of each last trigram, without the one page that asks
     known = _sql(
         spark,
-        f"""select h, seen - 1 >= {SUPPORT} as known, at_end - 1 <= {AT_END} * (seen - 1) as inner_only,
+        f"""select h, seen - 1 >= {SUPPORT} as known, at_end - 1 <= {AT_END} * (seen - 1) as inner_only, at_long_end - 1 <= {AT_END} * (seen - 1) as no_long_end,
         near_end + at_end - 1 <= {AT_END} * (seen - 1) as far_only, coalesce(longer, 0) >= {LONGER} * seen as part
         from :ends: left semi join :asked: using (h) left join :longer: using (h)""",
         ends=ends, asked=asked, longer=longer,
@@ -142,8 +145,8 @@ select k, {at(1)} as p0, t[size(t) - 1] as w0, xxhash64({at(1)}, t[size(t) - 1])
         known = F.broadcast(known)
     a, b = known.alias("a"), known.alias("b")
     res = last.join(a, F.col("h0") == F.col("a.h"), "left").join(b, F.col("h1") == F.col("b.h"), "left")
-    # the final trigram decides if it is known, else the one before it
-    return res.where("case when a.part then true when a.known then a.inner_only when b.known then b.far_only else small end").select(F.col("k").alias(key))
+    # the final trigram decides if it is known, else the one before it, else what the text shows
+    return res.where("case when a.part then true when a.known then if(long, a.no_long_end, a.inner_only) when b.known then b.far_only else long or marked end").select(F.col("k").alias(key))
 
 
 def cut_by_source(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
