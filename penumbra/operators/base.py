@@ -19,6 +19,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from penumbra.session import materialize
+
 LOCAL_VALUES = 4_000_000
 K_NAMES = ("n_clusters", "c", "k", "K", "n_topics", "n_components", "n_communities", "n_blocks", "c_clusters")
 
@@ -28,7 +30,14 @@ def _block(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     col = b.column(1)
     d = len(col[0]) if len(col) else 0
     x = col.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(col), d)
-    return b.column(0).to_numpy(zero_copy_only=False), x, [b.column(i).to_numpy(zero_copy_only=False) for i in range(2, b.num_columns)]
+    return b.column(0).to_numpy(zero_copy_only=False), x, [_column(b.column(i)) for i in range(2, b.num_columns)]
+
+
+def _column(a: pa.Array) -> np.ndarray:
+    """A column as an array; lists, all of one length, as rows of a matrix."""
+    if pa.types.is_list(a.type) or pa.types.is_large_list(a.type):
+        return a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
+    return a.to_numpy(zero_copy_only=False)
 
 
 def _joined(t: pa.Table, extra: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -111,6 +120,27 @@ class Points:
 
         return self.df.mapInArrow(run, "id bigint, k int, u double")
 
+    def attach(self, fn: Callable[..., np.ndarray], replace: bool = False) -> "Points":
+        """The same points with what fn(ids, x, *extra) gives, an (n, k) array, as one column more, or in place of the last; written out if they are spread."""
+        q = Points.__new__(Points)
+        q.spark, q.n, q.d, q.local, q.df = self.spark, self.n, self.d, self.local, self.df
+        if self.local is not None:
+            ids, x, extra = self.local
+            q.local = (ids, x, [*(extra[:-1] if replace else extra), np.asarray(fn(ids, x, *extra), float)])
+            return q
+        fields = [(f.name, f.dataType.simpleString()) for f in self.df.schema.fields]
+        fields = fields[:-1] if replace else fields
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    v = np.asarray(fn(*(blk := _block(b))[:2], *blk[2]), float)
+                    cut = pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], pa.ListArray.from_arrays(cut, pa.array(v.ravel()))], names=[*(f for f, _ in fields), f"_state{len(fields)}"])
+
+        q.df = materialize(self.df.mapInArrow(run, ", ".join(f"`{f}` {t}" for f, t in [*fields, (f"_state{len(fields)}", "array<double>")])), "points")
+        return q
+
     def first(self, key: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, features) of the k rows of least key(ids, x); of equal ones the least id."""
 

@@ -8,6 +8,7 @@ a step is one sparse product.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,8 +126,6 @@ class BIGCLAM(_GraphFit):
 
 
 def _start(b, k, seed):
-    import pandas as pd
-
     ids = b["node"].to_numpy()
     return pd.DataFrame({"node": np.repeat(ids, k), "k": np.tile(np.arange(k, dtype=np.int32), len(ids)), "v": uniform(ids, k, seed).ravel()})
 
@@ -158,54 +157,126 @@ class BayesianNMF(_GraphFit):
         return self.result(g, w, n_iter=steps, extras={"H": h.T, "beta": beta})
 
 
+class Tile:
+    """The ordered pairs of some senders with all nodes. Only the receivers' shares are state; an edge is a correction to what holds for a non-edge."""
+
+    def __init__(self, lo: int, hi: int, n: int, src: np.ndarray, dst: np.ndarray, y: np.ndarray):
+        self.lo, self.hi, self.n, self.y = lo, hi, n, y
+        self.edge = (src - lo) * n + dst  # rows of the pairs that are edges
+        self.loop = np.arange(hi - lo) * n + np.arange(lo, hi)  # and of nodes with themselves, which count for nothing
+
+    def sweep(self, into: np.ndarray, el: np.ndarray, bm: np.ndarray, inner: int) -> tuple[np.ndarray, ...]:
+        """(receivers' shares, sums of senders' shares by sender, of receivers' by receiver, pairs by blocks, edges by blocks)."""
+        no, gain, rows = np.log1p(-bm), np.log(bm) - np.log1p(-bm), self.hi - self.lo
+        send, receive = np.repeat(el[self.lo : self.hi], self.n, 0), np.tile(el, (rows, 1))
+        y = self.y[:, None]
+        for _ in range(inner):
+            out = send + into @ no.T
+            out[self.edge] += y * (into[self.edge] @ gain.T)
+            out = softmax(out)
+            into = receive + out @ no
+            into[self.edge] += y * (out[self.edge] @ gain)
+            into = softmax(into)
+        k = el.shape[1]
+        by_sender, by_receiver = out.reshape(rows, self.n, k).sum(1) - out[self.loop], into.reshape(rows, self.n, k).sum(0)
+        by_receiver[self.lo : self.hi] -= into[self.loop]
+        pairs = out.T @ into - out[self.loop].T @ into[self.loop]
+        return into, by_sender, by_receiver, pairs, (y * out[self.edge]).T @ into[self.edge]
+
+
+def _tile_rows(n: int, k: int) -> int:
+    return max(1, MMSB.TILE // max(1, n * k))
+
+
 @register
 class MMSB(_GraphFit):
-    """Mixed-membership stochastic blockmodel by variational sweeps over all pairs of nodes. extras: block_matrix, gamma."""
+    """Mixed-membership stochastic blockmodel by variational sweeps over all pairs of nodes. extras: block_matrix, gamma.
+
+    Pairs are taken in tiles of some senders with all nodes. Up to LOCAL numbers are swept on the driver; beyond that tiles are rows of a table
+    that each sweep reads and writes, and only sums over nodes and blocks come back. init is spectral, random, or a block for each node in
+    the order of ids.
+    """
 
     PARAMS = {"k": 3, "alpha": 0.5, "max_iter": 100, "n_inner": 5, "tol": 1e-4, "init": "spectral", "seed": 0}
-    PAIRS = 20_000_000
+    SOFT = 0.9  # fixed value: what a starting block holds of its nodes; the rest is spread over all
+    TILE, LOCAL, PAIRS = 2_000_000, 20_000_000, 4_000_000_000
 
     def fit(self, edges, nodes=None):
         g = self.graph(edges, nodes)
         n, k = g.n, self.k
         if n * n * k > self.PAIRS:
             raise ValueError(f"{n} nodes: the state of {n * n} pairs is limited to {self.PAIRS} numbers")
-        y = np.zeros((n, n))
-        y[g.s, g.d] = np.minimum(g.w, 1.0)
-        off = (1 - np.eye(n))[:, :, None]
-        soft = np.full((n, k), 0.1 / k)
-        soft[np.arange(n), self.partition(y)] += 0.9
-        soft /= soft.sum(1, keepdims=True)
-        out, into = np.repeat(soft[:, None, :], n, 1), np.repeat(soft[None, :, :], n, 0)
-
-        def blocks(a, b):
-            both = np.einsum("pqg,pqh->gh", a, b, optimize=True)
-            return np.clip(np.einsum("pqg,pqh,pq->gh", a, b, y, optimize=True) / (both + 1e-10), 1e-10, 1 - 1e-10)
-
-        bm = blocks(out * off, into * off)
-        gamma = self.alpha + (out * off).sum(1) + (into * off).sum(0)
-        pi, steps = gamma / gamma.sum(1, keepdims=True), 0
-        rows = lambda a: softmax(a.reshape(n * n, k)).reshape(n, n, k)
-        for _ in range(self.max_iter):
+        y = np.minimum(g.w, 1.0)
+        soft = np.full((n, k), (1 - self.SOFT) / k)
+        soft[np.arange(n), self.starting_blocks(g)] += self.SOFT
+        # at the start the shares of a pair are those of its nodes, so that all sums are products of totals
+        pairs, linked = np.outer(soft.sum(0), soft.sum(0)) - soft.T @ soft, (y[:, None] * soft[g.s]).T @ soft[g.d]
+        gamma = self.alpha + 2 * (n - 1) * soft
+        sweep = (self.local if n * n * k <= self.LOCAL else self.spread)(g, y, soft)
+        steps = 0
+        for steps in range(1, self.max_iter + 1):
             el = digamma(gamma) - digamma(gamma.sum(1, keepdims=True))
-            yes, no = np.log(bm), np.log1p(-bm)
-            for _ in range(self.n_inner):
-                out = rows(el[:, None, :] + y[..., None] * (into @ yes.T) + (1 - y)[..., None] * (into @ no.T))
-                into = rows(el[None, :, :] + y[..., None] * (out @ yes) + (1 - y)[..., None] * (out @ no))
-            bm = blocks(out * off, into * off)
-            gamma = self.alpha + (out * off).sum(1) + (into * off).sum(0)
-            new, steps = gamma / gamma.sum(1, keepdims=True), steps + 1
-            moved, pi = np.abs(new - pi).mean(), new
-            if moved < self.tol:
+            before = gamma / gamma.sum(1, keepdims=True)
+            sent, received, pairs, linked = sweep(el, self.rates(pairs, linked))
+            gamma = self.alpha + sent + received
+            if np.abs(gamma / gamma.sum(1, keepdims=True) - before).mean() < self.tol:
                 break
-        return self.result(g, pi, n_iter=steps, extras={"block_matrix": bm, "gamma": gamma})
-
-    def partition(self, y: np.ndarray) -> np.ndarray:
-        n, rng = len(y), np.random.default_rng(self.seed)
-        if self.init == "random" or self.k == 1 or n <= self.k:
-            return rng.integers(0, self.k, n)
-        val, vec = np.linalg.eigh((y + y.T) / 2)
-        e = vec[:, np.argsort(-np.abs(val))[: self.k]]
+        return self.result(g, gamma / gamma.sum(1, keepdims=True), n_iter=steps, extras={"block_matrix": self.rates(pairs, linked), "gamma": gamma})
+
+    @staticmethod
+    def rates(pairs: np.ndarray, linked: np.ndarray) -> np.ndarray:
+        return np.clip(linked / (pairs + 1e-10), 1e-10, 1 - 1e-10)
+
+    def tiles(self, g: Graph, y: np.ndarray) -> list[Tile]:
+        step = _tile_rows(g.n, self.k)
+        cuts = [(lo, min(lo + step, g.n)) for lo in range(0, g.n, step)]
+        at = np.searchsorted(g.s, [c for lo, hi in cuts for c in (lo, hi)]).reshape(-1, 2)  # edges are in the order of senders
+        return [Tile(lo, hi, g.n, g.s[a:b], g.d[a:b], y[a:b]) for (lo, hi), (a, b) in zip(cuts, at)]
+
+    def local(self, g: Graph, y: np.ndarray, soft: np.ndarray):
+        tiles = self.tiles(g, y)
+        state = [np.tile(soft, (t.hi - t.lo, 1)) for t in tiles]
+
+        def sweep(el, bm):
+            got = [t.sweep(s, el, bm, self.n_inner) for t, s in zip(tiles, state)]
+            state[:] = [x[0] for x in got]
+            return np.concatenate([x[1] for x in got]), *(sum(x[i] for x in got) for i in (2, 3, 4))
+
+        return sweep
+
+    def spread(self, g: Graph, y: np.ndarray, soft: np.ndarray):
+        n, k, inner = g.n, self.k, self.n_inner
+        columns = "lo int, hi int, src binary, dst binary, y binary, state binary"
+        tiles = [(t.lo, t.hi, (t.edge // n + t.lo).astype(np.int32).tobytes(), (t.edge % n).astype(np.int32).tobytes(), t.y.tobytes(), None) for t in self.tiles(g, y)]
+        now = [materialize(g.spark.createDataFrame(tiles, columns).repartition(len(tiles)), "tiles")]
+
+        def sweep(el, bm):
+            def run(batches):
+                for b in batches:
+                    for r in b.itertuples(index=False):
+                        t = Tile(r.lo, r.hi, n, np.frombuffer(r.src, np.int32).astype(int), np.frombuffer(r.dst, np.int32).astype(int), np.frombuffer(r.y))
+                        into = np.tile(soft, (r.hi - r.lo, 1)) if r.state is None else np.frombuffer(r.state).reshape(-1, k)
+                        into, *sums = t.sweep(into, el, bm, inner)
+                        yield pd.DataFrame([(r.lo, r.hi, r.src, r.dst, r.y, into.tobytes(), *(x.tobytes() for x in sums))], columns=names)
+
+            sums = ("sent", "received", "pairs", "linked")
+            names = [c.split()[0] for c in columns.split(", ")] + list(sums)
+            new = materialize(now[0].mapInPandas(run, columns + "".join(f", {c} binary" for c in sums)), "tiles")
+            got = [(r["lo"], *(np.frombuffer(r[c]).reshape(-1, k) for c in sums)) for r in new.select("lo", *sums).toLocalIterator()]
+            forget(now[0])
+            now[0] = new
+            got.sort(key=lambda x: x[0])
+            return np.concatenate([x[1] for x in got]), *(sum(x[i] for x in got) for i in (2, 3, 4))
+
+        return sweep
+
+    def starting_blocks(self, g: Graph) -> np.ndarray:
+        if not isinstance(self.init, str):
+            return np.asarray(self.init, int)
+        rng = np.random.default_rng(self.seed)
+        if self.init == "random" or self.k == 1 or g.n <= self.k:
+            return rng.integers(0, self.k, g.n)
+        e = leading_vectors(g, self.k, rng)
         return small_kmeans(e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-10), self.k, self.seed)
 
     def sample_graph(self, model: Model, n: int | None = None, seed: int = 0) -> np.ndarray:
@@ -218,6 +289,16 @@ class MMSB(_GraphFit):
         return (rng.random((len(pi), len(pi))) < b[draw(), draw().T]).astype(float)
 
 
+def leading_vectors(g: Graph, k: int, rng: np.random.Generator, steps: int = 100) -> np.ndarray:
+    """Eigenvectors of the k eigenvalues of largest size of the adjacency, by sparse products with a few vectors more than asked for."""
+    w = np.minimum(g.w, 1.0)
+    q = np.linalg.qr(rng.standard_normal((g.n, min(g.n, 2 * k + 6))))[0]
+    for _ in range(steps):
+        q = np.linalg.qr(g.sum(q, w))[0]
+    val, vec = np.linalg.eigh(q.T @ g.sum(q, w))
+    return q @ vec[:, np.argsort(-np.abs(val), kind="stable")[:k]]
+
+
 def small_kmeans(x: np.ndarray, k: int, seed: int, n_init: int = 10) -> np.ndarray:
     """Labels of k-means on a small array."""
     from penumbra.functions.membership import sqdist
@@ -375,7 +456,7 @@ class NOCD(_GraphFit):
         we, ws = normalised(g)
         prop = lambda a: g.sum(a, we) + ws[:, None] * a
         glorot = lambda a, b: rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b))
-        inv = 1 / np.maximum(np.linalg.norm(np.zeros((1, 1))), np.sqrt(np.bincount(g.s, minlength=g.n)).clip(1))
+        inv = 1 / np.sqrt(np.bincount(g.s, minlength=g.n)).clip(1)
         par = {"wx": glorot(max(1, x.shape[1]), self.hidden)[: x.shape[1]], "wa": glorot(g.n, self.hidden), "b1": np.zeros(self.hidden), "w2": glorot(self.hidden, self.k), "b2": np.zeros(self.k)}
         adam, best, waited, curve = Adam(self.lr), (np.inf, None), 0, []
 

@@ -10,6 +10,7 @@ import numpy as np
 
 from penumbra.functions.membership import TINY, dirichlet, dist, ratio, softmax, sqdist, uniform
 from penumbra.operators.base import Estimator, Model, Points, kmeanspp, random_rows, register
+from penumbra.session import forget
 
 EPS = 1e-12
 
@@ -421,12 +422,23 @@ class RPFKM(Estimator):
 
 @register
 class SFCMEP(Estimator):
-    """Semi-supervised fuzzy clustering with prior memberships; input has a nullable column `label` besides the features.
+    """Semi-supervised fuzzy clustering with prior memberships; input has a nullable column `label` besides the features. extras: prior.
 
-    A step multiplies memberships by exp(-d2 / lam), so that after t steps they depend on the prior and on the sums over steps of the centres only.
+    A step multiplies each membership, or 1 if it is near 0, by exp(-d2 / lam). Memberships are thus a state of the points: they follow from
+    those last stored and the centres since then, and are stored again every REPLAY steps.
     """
 
     PARAMS = {"k": 3, "rho": 0.5, "lam": 1.0, "max_iter": 200, "tol": 1e-6, "seed": 0, "reset_share": 0.125}
+    REPLAY = 8
+    NEAR_ZERO = 1e-8  # fixed value
+
+    def moved(self, u: np.ndarray, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The memberships after a step to centres c."""
+        d = dist(x, c) ** 2
+        if self.lam == 0:
+            return np.eye(len(c))[d.argmin(1)]
+        w = np.exp((d.min(1, keepdims=True) - d) / self.lam) * np.where(np.abs(u) <= self.NEAR_ZERO, 1.0, u)
+        return w / (w.sum(1, keepdims=True) + 1e-12)
 
     def fit(self, df, *_):
         p = Points(df, ("label",)) if not isinstance(df, Points) else df
@@ -434,8 +446,9 @@ class SFCMEP(Estimator):
         lab = lambda y: np.where(np.isnan(y := np.asarray(y, float)), -1, y).astype(int)
         hot = lambda y: np.vstack([eye, np.zeros((1, k))])[lab(y)]
         n, s = p.reduce(lambda ids, x, y: moments(hot(y), x))
-        spare = random_rows(_plain(p), k, self.seed)
-        c0 = np.where((n > 0)[:, None], s / np.maximum(n, 1)[:, None], spare)
+        c0 = s / np.maximum(n, 1)[:, None]
+        if (n == 0).any():
+            c0 = np.where((n > 0)[:, None], c0, random_rows(_plain(p), k, self.seed))
 
         def raw(x, y):
             d = np.maximum(dist(x, c0), TINY)
@@ -448,34 +461,60 @@ class SFCMEP(Estimator):
 
         labelled, hi, lo = p.reduce(extremes)
         hat = 0.5 * (hi / labelled + 1 - (k - 1) * lo / labelled) if labelled else 1 / k
+        chance = lambda ids: uniform(ids, 1, self.seed + 17)[:, 0]
+        many = max(1, int(labelled * self.reset_share)) if labelled and self.reset_share > 0 else 0
+        below = least_of(p, lambda ids, x, y: chance(ids)[lab(y) >= 0], many)
 
         def prior(ids, x, y):
-            r, l = raw(x, y), lab(y)
-            u = np.where((l >= 0)[:, None], r, hat)
-            reset = (l >= 0) & (uniform(ids, 1, self.seed + 17)[:, 0] < self.reset_share)
+            r, on = raw(x, y), lab(y) >= 0
+            u = np.where(on[:, None], r, hat)
+            reset = on & (chance(ids) <= below)
             return np.where(reset[:, None] & (np.arange(k)[None, :] != u.argmax(1)[:, None]), hat, u)
 
-        def u(ids, x, y, steps):
-            t, c, cc = steps
-            pr = np.where(np.isclose(prior(ids, x, y), 0), 1.0, prior(ids, x, y))
-            d = t * (x * x).sum(1)[:, None] - 2 * x @ c.T + cc[None, :]
-            if self.lam == 0:
-                return eye[d.argmin(1)]
-            return softmax(np.log(pr) - d / self.lam)
+        kept, since = p.attach(lambda ids, x, y: self.moved(prior(ids, x, y), x, c0)), []
+
+        def now(x, state, since):
+            for c in since:
+                state = self.moved(state, x, c)
+            return state
 
-        add = lambda st, c: (st[0] + 1, st[1] + c, st[2] + (c * c).sum(1))
-        state = add((0, np.zeros_like(c0), np.zeros(k)), c0)
+        s0, s1 = kept.reduce(lambda ids, x, y, u: moments(u, x))
         c, steps = c0, 0
-        for _ in range(self.max_iter):
-            s0, s1 = p.reduce(lambda ids, x, y, st=state: moments(u(ids, x, y, st), x))
-            new, steps = s1 / (s0[:, None] + 1e-8), steps + 1
-            after = add(state, new)
-            moved = p.reduce(lambda ids, x, y, a=state, b=after: (((u(ids, x, y, b) - u(ids, x, y, a)) ** 2).sum(),))[0]
-            still = np.sqrt(moved) <= self.tol and np.linalg.norm(new - c) <= self.tol
-            state, c = after, new
+        for steps in range(1, self.max_iter + 1):
+            new = s1 / (s0[:, None] + 1e-8)
+
+            def step(ids, x, y, state, since=tuple(since), new=new):
+                u = now(x, state, since)
+                v = self.moved(u, x, new)
+                return (((v - u) ** 2).sum(), *moments(v, x))
+
+            change, s0, s1 = kept.reduce(step)
+            since.append(new)
+            still = np.sqrt(change) <= self.tol and np.linalg.norm(new - c) <= self.tol
+            c = new
             if still:
                 break
-        return self.model(p, lambda ids, x, y: u(ids, x, y, state), k, centers=c, n_iter=steps, extras={"prior": p.assign(prior)})
+            if len(since) >= (1 if p.local is not None else self.REPLAY):
+                at = tuple(since)
+                before, kept, since = kept, kept.attach(lambda ids, x, y, state: now(x, state, at), replace=True), []
+                forget(before.df)
+        at = tuple(since)
+        return self.model(kept, lambda ids, x, y, state: now(x, state, at), k, centers=c, n_iter=steps, extras={"prior": p.assign(prior)})
+
+
+def least_of(p: Points, fn, m: int) -> float:
+    """The m-th least of the numbers in (0, 1) that fn gives for a block; 0 if m is 0. By counts in ever finer bins."""
+    if m == 0:
+        return 0.0
+    lo, width, bins = 0.0, 1.0, 4096
+    for _ in range(5):
+        count = p.reduce(lambda *a, lo=lo, width=width: (np.histogram(fn(*a), bins, (lo, lo + width))[0],))[0]
+        at = int(np.searchsorted(np.cumsum(count), m))
+        m -= int(count[:at].sum())
+        lo, width = lo + at * width / bins, width / bins
+        if count[at] == m:
+            break
+    return lo + width
 
 
 def _plain(p: Points) -> Points:

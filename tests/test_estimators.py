@@ -233,3 +233,88 @@ def test_clients_keep_every_user(spark, tmp_path, monkeypatch):
     got = values()
     sizes = Counter(c for c, *_ in got)
     assert {u for _, u, _ in got} == set(range(700)) and len(got) == 700 and 2 <= min(sizes.values()) and max(sizes.values()) <= 100
+
+
+def blocks_by_pairs(y, soft, alpha, sweeps, inner):
+    """(block matrix, gamma) of the blockmodel, one pair of nodes after the other."""
+    n, k = soft.shape
+    pairs = [(i, j) for i in range(n) for j in range(n) if i != j]
+    out, into = {q: soft[q[0]] for q in pairs}, {q: soft[q[1]] for q in pairs}
+
+    def sums():
+        g = np.full((n, k), alpha)
+        for i, j in pairs:
+            g[i] += out[i, j]
+            g[j] += into[i, j]
+        both, linked = (sum(w[q] * np.outer(out[q], into[q]) for q in pairs) for w in (np.ones((n, n)), y))
+        return np.clip(linked / (both + 1e-10), 1e-10, 1 - 1e-10), g
+
+    b, g = sums()
+    one = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    for _ in range(sweeps):
+        el = graphs.digamma(g) - graphs.digamma(g.sum(1, keepdims=True))
+        for i, j in pairs:
+            like = y[i, j] * np.log(b) + (1 - y[i, j]) * np.log1p(-b)
+            for _ in range(inner):
+                out[i, j] = one(el[i] + like @ into[i, j])
+                into[i, j] = one(el[j] + out[i, j] @ like)
+        b, g = sums()
+    return b, g
+
+
+def test_blockmodel_against_single_pairs_on_the_driver_and_spread(spark, monkeypatch):
+    r, n = np.random.default_rng(8), 18
+    z = np.repeat([0, 1, 2], 6)
+    a = np.triu(r.random((n, n)) < np.where(z[:, None] == z[None], 0.7, 0.15), 1)
+    y = np.where(a | a.T, 1.0, 0.0)
+    y[0, 1] = y[1, 0] = 0.4
+    edges = spark.createDataFrame([(int(i), int(j), float(y[i, j])) for i, j in zip(*np.nonzero(np.triu(y)))], "src bigint, dst bigint, w double")
+    soft = np.full((n, 3), 0.1 / 3) + 0.9 * np.eye(3)[z]
+    want = blocks_by_pairs(y, soft, 0.5, 2, 2)
+    monkeypatch.setattr(graphs.MMSB, "TILE", 200)
+    for local in (graphs.MMSB.LOCAL, 0):
+        monkeypatch.setattr(graphs.MMSB, "LOCAL", local)
+        m = graphs.MMSB(k=3, init=z, max_iter=2, n_inner=2, tol=0.0).fit(edges)
+        assert np.allclose(m.extras["block_matrix"], want[0]) and np.allclose(m.extras["gamma"], want[1])
+    start = graphs.MMSB(k=3, init=z, max_iter=0).fit(edges)
+    assert np.allclose(start.extras["block_matrix"], blocks_by_pairs(y, soft, 0.5, 0, 1)[0])
+
+
+def test_semi_supervised_steps_one_by_one(spark):
+    """Memberships near 0 count as 1 at every step; an eighth of the labelled points is reset."""
+    r = np.random.default_rng(9)
+    x, k = np.vstack([r.normal(c, 0.9, (40, 2)) for c in ((0, 0), (3, 0), (0, 3))]), 3
+    label = np.array([t if i % 4 == 0 else -1 for i, t in enumerate(np.repeat([0, 1, 2], 40))])
+    df = frame(spark, x, [None if t < 0 else int(t) for t in label])
+    c = np.array([x[label == i].mean(0) for i in range(k)])
+    d = np.linalg.norm(x[:, None] - c[None], axis=2)
+    v, on = d.min(1, keepdims=True) / d, label >= 0
+    u = np.minimum(np.where(np.eye(k + 1)[label][:, :k] > 0, 1e-6 + 0.5 * v, 0.5 * v), 1)
+    hat = 0.5 * (u[on].max(1).mean() + 1 - (k - 1) * u[on].min(1).mean())
+    u = np.where(on[:, None], u, hat)
+    h = prototypes.uniform(np.arange(len(x)), 1, 17)[:, 0]
+    for j in sorted(np.flatnonzero(on), key=lambda i: h[i])[: on.sum() // 8]:
+        u[j, np.arange(k) != u[j].argmax()] = hat
+
+    def step(u, c):
+        w = -np.linalg.norm(x[:, None] - c[None], axis=2) ** 2
+        w = np.exp(w - w.max(1, keepdims=True))
+        w = np.where(np.isclose(u, 0), w, u * w)
+        return w / (w.sum(1, keepdims=True) + 1e-12)
+
+    u = step(u, c)
+    for _ in range(20):
+        c = u.T @ x / (u.sum(0)[:, None] + 1e-8)
+        u = step(u, c)
+    for local in (base.LOCAL_VALUES, 0):
+        m = prototypes.SFCMEP(k=3, max_iter=20, tol=-1.0).fit(Points(df.repartition(3), ("label",), local_values=local))
+        assert np.allclose(u_of(m), u, atol=1e-9) and np.allclose(m.centers, c)
+
+
+def test_least_of(spark):
+    p = Points(frame(spark))
+    fn = lambda ids, x: prototypes.uniform(ids, 1, 3)[:, 0]
+    h = np.sort(fn(np.arange(60), None))
+    for m in (1, 7, 59, 60):
+        assert (h <= prototypes.least_of(p, fn, m)).sum() == m
+    assert prototypes.least_of(p, fn, 0) == 0.0
