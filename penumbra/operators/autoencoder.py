@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-from penumbra.functions.membership import dist, sqdist, uniform
+from penumbra.functions.membership import dist, uniform
 from penumbra.functions.optimise import Adam
 from penumbra.operators.base import Model, long_form, register
-from penumbra.operators.pairwise import _Pairwise, pair_map
+from penumbra.operators.pairwise import _Pairwise, nearest
 
 
 class Net:
@@ -77,14 +77,19 @@ class RDFKC(_Pairwise):
         u /= u.sum(1, keepdims=True)
         v = rng.standard_normal((k, z.shape[1]))
         nn = min(self.neighbors, p.n - 1)
-        nearest = lambda z: pair_map(p.spark, z, lambda q, a, _: np.argsort(sqdist(q, a), 1, kind="stable")[:, 1 : nn + 1].astype(float)).astype(int) if nn else np.zeros((len(z), 0), int)
-        first = nearest(z)
-        sim: dict[tuple[int, int], float] = {}
-        for i, row in enumerate(first):
-            for j in row:
-                s = float(np.exp(-np.linalg.norm(z[i] - z[j]) / 0.5)) / 2
-                sim[i, int(j)] = sim.get((i, int(j)), 0.0) + s
-                sim[int(j), i] = sim.get((int(j), i), 0.0) + s
+        near_of = lambda z: nearest(p.spark, z, nn) if nn else np.zeros((len(z), 0), int)
+        # similarities as a sorted table of pairs, each neighbour counted in both directions
+        first = near_of(z)
+        a, b = np.repeat(np.arange(len(z)), nn), first.ravel()
+        half = np.exp(-np.linalg.norm(z[a] - z[b], axis=1) / 0.5) / 2
+        pair, at = np.unique(np.concatenate([a * len(z) + b, b * len(z) + a]), return_inverse=True)
+        sim = np.bincount(at, np.concatenate([half, half]), len(pair)) if len(pair) else np.zeros(0)
+
+        def similarity(near):
+            want = (np.arange(len(near))[:, None] * len(near) + near).ravel()
+            i = np.minimum(np.searchsorted(pair, want), max(len(pair) - 1, 0))
+            return np.where(pair[i] == want, sim[i], 0.0).reshape(near.shape) if len(pair) else np.zeros(near.shape)
+
         adam, history = Adam(self.lr), []
         for _ in range(self.max_iter):
             value, grads, z = self.loss(x, enc, dec, u, v)
@@ -92,8 +97,8 @@ class RDFKC(_Pairwise):
             adam.step(par, grads)
             w = u**2 * self.robust(dist(z, v))
             v = (w.T @ z) / (w.sum(0)[:, None] + 1e-8)
-            near = nearest(z)
-            s = np.array([[sim.get((i, int(j)), 0.0) for j in row] for i, row in enumerate(near)]).reshape(len(z), -1)
+            near = near_of(z)
+            s = similarity(near)
             d = dist(z, v) + 1e-8
             pull = 2 * self.mu * np.einsum("nj,njk->nk", s, u[near])
             q = (1 + self.tau) * d**2 / (d + self.tau) + self.mu * s.sum(1, keepdims=True)

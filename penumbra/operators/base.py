@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -22,6 +24,24 @@ from pyspark.sql import functions as F
 from penumbra.session import materialize
 
 LOCAL_VALUES = 4_000_000
+_SPREAD: ContextVar[bool] = ContextVar("spread", default=False)
+
+
+@contextmanager
+def spread():
+    """Within it every fit runs over partitions, as it does beyond the bounds of what is held on the driver."""
+    token = _SPREAD.set(True)
+    try:
+        yield
+    finally:
+        _SPREAD.reset(token)
+
+
+def held(limit: int) -> int:
+    """How much of something the driver may hold: `limit`, or nothing within `spread`."""
+    return 0 if _SPREAD.get() else limit
+
+
 K_NAMES = ("n_clusters", "c", "k", "K", "n_topics", "n_components", "n_communities", "n_blocks", "c_clusters")
 
 
@@ -46,13 +66,14 @@ def _joined(t: pa.Table, extra: int) -> tuple[np.ndarray, np.ndarray, list[np.nd
 
 
 def _once(block: tuple) -> tuple:
-    """The rows in the order of their ids; of one id the first by its values."""
+    """The rows in the order of their ids; of one id the least by its values, nulls first."""
     ids, x, extra = block
     if len(ids) and (np.diff(ids) > 0).all():
         return block
     order = np.argsort(ids, kind="stable")
     if (np.diff(ids[order]) == 0).any():
-        order = np.lexsort([*x.T[::-1], ids])
+        more = [np.where(np.isnan(e), -np.inf, e) for e in (np.asarray(e, float) for e in extra)]
+        order = np.lexsort([*more[::-1], *x.T[::-1], ids])
         order = order[np.append(True, np.diff(ids[order]) != 0)]
     return ids[order], x[order], [e[order] for e in extra]
 
@@ -60,10 +81,10 @@ def _once(block: tuple) -> tuple:
 class Points:
     """Rows (id, features, further columns) ready for repeated sweeps.
 
-    Rows with a null id or null, NaN or infinite features are left out; a repeated id counts once. Features of different lengths raise.
+    Rows with a null id or null, NaN or infinite features are left out; a repeated id counts once, by its least values. Features of different lengths raise.
     """
 
-    def __init__(self, df: DataFrame, extra: tuple[str, ...] = (), local_values: int = LOCAL_VALUES):
+    def __init__(self, df: DataFrame, extra: tuple[str, ...] = (), local_values: int | None = None):
         self.spark: SparkSession = df.sparkSession
         id_col, feat = df.columns[0], "features" if "features" in df.columns else df.columns[1]
         clean = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat).cast("array<double>").alias("features"), *extra)
@@ -73,11 +94,11 @@ class Points:
         if s[1] != s[2]:
             raise ValueError(f"features have {s[1]} to {s[2]} values")
         self.df, self.local = clean, None
-        if self.n * max(1, self.d) <= local_values:
+        if self.n * max(1, self.d) <= (held(LOCAL_VALUES) if local_values is None else local_values):
             self.local = _once(_joined(clean.toArrow(), len(extra)))
             self.n = len(self.local[0])
             return
-        self.df = clean.dropDuplicates(["id"])
+        self.df = clean.groupBy("id").agg(F.min(F.struct("features", *extra)).alias("_r")).select("id", "_r.*")
         self.df.persist(StorageLevel.MEMORY_AND_DISK)
         self.n = self.df.count()
 

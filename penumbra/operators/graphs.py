@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from penumbra.functions.membership import dirichlet, digamma, softmax, uniform
 from penumbra.functions.optimise import Adam
-from penumbra.operators.base import Estimator, Model, long_form, register
+from penumbra.operators.base import Estimator, Model, held, long_form, register
 from penumbra.session import forget, materialize
 
 EDGES = 20_000_000
@@ -212,7 +212,7 @@ class MMSB(_GraphFit):
         # at the start the shares of a pair are those of its nodes, so that all sums are products of totals
         pairs, linked = np.outer(soft.sum(0), soft.sum(0)) - soft.T @ soft, (y[:, None] * soft[g.s]).T @ soft[g.d]
         gamma = self.alpha + 2 * (n - 1) * soft
-        sweep = (self.local if n * n * k <= self.LOCAL else self.spread)(g, y, soft)
+        sweep = (self.local if n * n * k <= held(self.LOCAL) else self.spread)(g, y, soft)
         steps = 0
         for steps in range(1, self.max_iter + 1):
             el = digamma(gamma) - digamma(gamma.sum(1, keepdims=True))

@@ -53,12 +53,12 @@ def laplace(img: np.ndarray) -> np.ndarray:
 class AFCMAdaptive(Estimator):
     """Fuzzy c-means of grey values with a smooth gain field. Ids are row * width + col. extras: multiplier, shape."""
 
-    PARAMS = {"k": 3, "m": 2.0, "k1": 0.1, "k2": 0.1, "max_iter": 100, "tol": 1e-4, "seed": 0}
+    PARAMS = {"k": 3, "m": 2.0, "k1": 0.1, "k2": 0.1, "max_iter": 100, "tol": 1e-4, "seed": 0, "init": None}
 
     def fit(self, df, *_):
         v, h, w = read_pixels(df)
         img, ids = v[:, 0].reshape(h, w), np.arange(h * w)
-        u, b = dirichlet(ids, self.k, self.seed).reshape(h, w, self.k), np.ones((h, w))
+        u, b = (dirichlet(ids, self.k, self.seed) if self.init is None else np.array(self.init, float)).reshape(h, w, self.k), np.ones((h, w))
         c, steps = np.linspace(img.min(), img.max(), self.k), 0
         for _ in range(self.max_iter):
             q, before = u**self.m, c
@@ -79,13 +79,13 @@ class AFCMAdaptive(Estimator):
 class SKFCM(Estimator):
     """Kernel fuzzy c-means with a spatial term: neighbours in the image pull a pixel to their cluster."""
 
-    PARAMS = {"k": 3, "m": 2.0, "gamma": 1.0, "lambda_": 0.5, "max_iter": 100, "tol": 1e-5, "seed": 0}
+    PARAMS = {"k": 3, "m": 2.0, "gamma": 1.0, "lambda_": 0.5, "max_iter": 100, "tol": 1e-5, "seed": 0, "init": None}
 
     def fit(self, df, *_):
         x, h, w = read_pixels(df, 60_000)
         n, ids, spark = len(x), np.arange(len(x)), df.sparkSession
         gram = np.exp(-self.gamma * sqdist(x, x)) if n <= DENSE else None
-        u, steps = dirichlet(ids, self.k, self.seed), 0
+        u, steps = dirichlet(ids, self.k, self.seed) if self.init is None else np.array(self.init, float), 0
         for _ in range(self.max_iter):
             q = u**self.m
             kq = gram @ q if gram is not None else pair_map(spark, x, lambda a, b, _: np.exp(-self.gamma * sqdist(a, b)) @ q)

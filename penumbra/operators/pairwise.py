@@ -13,19 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from penumbra.functions.membership import TINY, dirichlet, dist, ratio, softmax, sqdist, uniform
 from penumbra.functions.optimise import lbfgs
-from penumbra.operators.base import Estimator, Model, Points, long_form, register
+from penumbra.operators.base import Estimator, Model, Points, held, long_form, register
 from penumbra.operators.prototypes import moments
 
 QUADRATIC = 200_000
 DENSE = 6_000  # points whose matrix is held whole
 BLOCK = 2_048
+BROADCAST_BYTES = 400_000_000  # of all points, which every task of a pass holds
 
 
 def pair_map(spark: SparkSession, x: np.ndarray, fn: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> np.ndarray:
     """Rows of fn(query block, all points, index of the block's first row), stacked. One task for each block of queries."""
     n = len(x)
-    if n <= 2 * BLOCK:
+    if n <= held(2 * BLOCK) or not n:
         return np.concatenate([fn(x[i : i + BLOCK], x, i) for i in range(0, n, BLOCK)]) if n else np.zeros(0)
+    if x.nbytes > BROADCAST_BYTES:
+        raise ValueError(f"{x.nbytes} bytes of points go to every task: the limit is {BROADCAST_BYTES}")
     everything = spark.sparkContext.broadcast(x)
     blocks = -(-n // BLOCK)
 
@@ -76,10 +79,27 @@ class SCM(_Pairwise):
         return self.result(p, ids, w / np.maximum(w.sum(1, keepdims=True), TINY), centers=x[chosen], extras={"potentials": first})
 
 
+def nearest(spark: SparkSession, x: np.ndarray, k: int, own: bool = False) -> np.ndarray:
+    """Row numbers of the k nearest points of each, the lower one of equals first; `own` counts a point among its own nearest."""
+
+    def rows(q, a, i):
+        d = sqdist(q, a)
+        if not own:
+            d[np.arange(len(q)), i + np.arange(len(q))] = np.inf
+        return np.argsort(d, axis=1, kind="stable")[:, :k].astype(float)
+
+    return pair_map(spark, x, rows).astype(int).reshape(len(x), -1)
+
+
+def core_points(spark: SparkSession, x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
+    """Which points have min_samples points, themselves included, within eps."""
+    return pair_map(spark, x, lambda q, a, _: (dist_blocked(q, a) <= eps).sum(1).astype(float)) >= min_samples
+
+
 def dbscan(spark: SparkSession, x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
     """Labels from 0, -1 for noise. Clusters are numbered by their first core point; a border point goes to the first cluster near it."""
     near = lambda q, a: dist_blocked(q, a) <= eps
-    core = pair_map(spark, x, lambda q, a, _: near(q, a).sum(1).astype(float)) >= min_samples
+    core = core_points(spark, x, eps, min_samples)
     label = np.where(core, np.arange(len(x)), len(x)).astype(float)
     while True:  # the least core index that is linked, by steps over neighbours and over labels
         new = pair_map(spark, x, lambda q, a, i, label=label: np.where(near(q, a) & core[None, :], label[None, :], len(a)).min(1))
@@ -141,7 +161,7 @@ class SoftDBSCANGM(_Pairwise):
 class KFCCL(_Pairwise):
     """Kernel fuzzy competitive learning over the Gaussian Gram matrix; above DENSE points its rows are made anew in each pass."""
 
-    PARAMS = {"k": 2, "lambda_": 10.0, "gamma": 1.0, "epsilon": 1e-4, "max_iter": 100, "seed": 0}
+    PARAMS = {"k": 2, "lambda_": 10.0, "gamma": 1.0, "epsilon": 1e-4, "max_iter": 100, "seed": 0, "init": None}
 
     def fit(self, df, *_):
         p, ids, x = self.rows(df)
@@ -150,7 +170,8 @@ class KFCCL(_Pairwise):
         def times(u):  # u (k, n)
             return u @ gram if gram is not None else pair_map(p.spark, x, lambda q, a, _: np.exp(-self.gamma * sqdist(q, a)) @ u.T).T
 
-        pik, v, steps = uniform(ids, self.k, self.seed).T * 0.01, np.ones(self.k), 0
+        pik = uniform(ids, self.k, self.seed).T * 0.01 if self.init is None else np.array(self.init, float).T  # init: (n, k) in the order of ids
+        v, steps = np.ones(self.k), 0
         for t in range(self.max_iter):
             eta, old = 0.05 / (1 + t), pik
             u = softmax(self.lambda_ * pik.T).T
@@ -171,7 +192,7 @@ class AFCM(_Pairwise):
     def fit(self, df, *_):
         p, ids, x = self.rows(df, DENSE)
         n, k = len(x), self.k
-        order = pair_map(p.spark, x, lambda q, a, _: np.argsort(sqdist(q, a), axis=1, kind="stable")[:, : self.n_neighbors].astype(float)).astype(int)
+        order = nearest(p.spark, x, self.n_neighbors, own=True)
         w = np.zeros((n, n))
         w[np.arange(n)[:, None], order] = 1
         w[np.arange(n), np.arange(n)] = 1
@@ -205,7 +226,7 @@ def credal_stress(flat: np.ndarray, delta: np.ndarray, k: int, norm: float) -> t
 class EVCLUS(_Pairwise):
     """Evidential clustering of dissimilarities; with metric="precomputed" features are rows of the matrix. extras: masses, stress."""
 
-    PARAMS = {"k": 3, "max_iter": 200, "n_init": 3, "tol": 1e-6, "metric": "euclidean", "seed": 0}
+    PARAMS = {"k": 3, "max_iter": 200, "n_init": 3, "tol": 1e-6, "metric": "euclidean", "seed": 0, "init": None}
 
     def fit(self, df, *_):
         p, ids, x = self.rows(df, DENSE)
@@ -218,7 +239,8 @@ class EVCLUS(_Pairwise):
             m, stress = np.eye(k + 1)[np.full(n, k)], 0.0
         else:
             rng = np.random.default_rng(self.seed)
-            runs = [lbfgs(lambda f: credal_stress(f, delta, k, norm), rng.normal(scale=0.1, size=n * (k + 1)), self.max_iter, self.tol) for _ in range(self.n_init)]
+            starts = [np.array(self.init, float).ravel()] if self.init is not None else [rng.normal(scale=0.1, size=n * (k + 1)) for _ in range(self.n_init)]  # logits
+            runs = [lbfgs(lambda f: credal_stress(f, delta, k, norm), s, self.max_iter, self.tol) for s in starts]
             best, stress, _ = min(runs, key=lambda r: r[1])
             m = softmax(best.reshape(n, k + 1))
         return self.result(p, ids, m[:, :k] + m[:, [k]] / k, extras={"masses": m, "stress": stress, "ignorance": m[:, k]})

@@ -387,14 +387,18 @@ class RoughKMeans(Estimator):
 class RPFKM(Estimator):
     """Robust projected fuzzy k-means: memberships in a d-dimensional projection learned along. extras: projection, means."""
 
-    PARAMS = {"k": 3, "d": 2, "gamma": 0.1, "beta": 1.0, "max_iter": 50, "seed": 0}
+    PARAMS = {"k": 3, "d": 2, "gamma": 0.1, "beta": 1.0, "max_iter": 50, "seed": 0, "init": None}
 
     def fit(self, df, *_):
         p = self.points(df)
         w = np.linalg.qr(np.random.default_rng(self.seed).standard_normal((p.d, self.d)))[0]
+        if self.init is not None:  # (projection, centres among the points)
+            w, start = (np.array(a, float) for a in self.init)
         n, s, outer = p.reduce(lambda ids, x: (len(x), x.sum(0), x.T @ x))
         total = outer - np.outer(s, s) / n
         u0 = lambda ids, x: dirichlet(ids, self.k, self.seed)
+        if self.init is not None:
+            u0 = lambda ids, x, w=w: softmax(-dist(x @ w, start @ w) / (2 * self.gamma))
         weight = u0
         now = u0
         means = None

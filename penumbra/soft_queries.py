@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penumbra.functions import metrics
-from penumbra.functions.membership import sqdist
+from penumbra.functions.membership import ratio, sqdist, uniform
 from penumbra.operators import autoencoder, consensus, documents, federated, graphs, images, mixtures, pairwise, prototypes
-from penumbra.operators.base import REGISTRY, Points
-from penumbra.queries import query, table
+from penumbra.operators.base import REGISTRY, Points, kmeanspp, spread
+from penumbra.queries import ORACLES, QUERIES, query, table
 
 __all__ = ["autoencoder", "REGISTRY"]
 
@@ -236,10 +236,96 @@ def rough_kmeans_approx(spark, sf):
 
 @query(sql=f"with p as (select label, {cols(4, 'embedding[#]::double as x#')} from embeddings where vec_id % 5 = 0) select cast(label as integer) as k, {cols(4, 'round(avg(x#), 6) + 0.0 as c#')} from p group by label")
 def sfcmep_class_centers(spark, sf):
+    d, k = _fifth_labelled(spark, sf)
+    return centre_rows(spark, prototypes.SFCMEP(k=k, max_iter=0).fit(d).centers)
+
+
+def _fifth_labelled(spark, sf) -> tuple[DataFrame, int]:
     t = table(spark, sf, "embeddings")
     d = embedded(spark, sf, 4).join(t.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 5 == 0, F.col("label")).alias("label")), "id")
-    k = int(t.agg(F.max("label")).first()[0]) + 1
-    return centre_rows(spark, prototypes.SFCMEP(k=k, max_iter=0).fit(d).centers)
+    return d, int(t.agg(F.max("label")).first()[0]) + 1
+
+
+def _sfcmep_step(i: int) -> str:
+    """c{i} and u{i}: the centres from u{i - 1} and the memberships after a step to them."""
+    return f"""c{i} as (select k, {cols(4, 'sum(u * x#) / (sum(u) + 1e-8) as c#')} from u{i - 1} group by k), {_sfcmep_move(i, f'u{i - 1}')}"""
+
+
+def _sfcmep_move(i: int, of: str) -> str:
+    return f"""e{i} as (select t.id, t.k, {cols(4, 't.x#')}, t.u, {cols(4, '(t.x# - c.c#) * (t.x# - c.c#)', ' + ')} as d2 from {of} t join c{i} c on c.k = t.k),
+w{i} as (select *, exp(min(d2) over (partition by id) - d2) * case when u <= 1e-8 then 1 else u end as w from e{i}),
+u{i} as (select id, k, {cols(4, 'x#')}, w / (sum(w) over (partition by id) + 1e-12) as u from w{i})"""
+
+
+@query(
+    sql=f"""with p as (select vec_id as id, case when vec_id % 5 = 0 then label end as label, {cols(4, 'embedding[#]::double as x#')} from embeddings),
+c0 as materialized (select label as k, {cols(4, 'avg(x#) as c#')} from p where label is not null group by label),
+d as (select p.*, k, sqrt({cols(4, '(x# - c#) * (x# - c#)', ' + ')}) as d from p, c0), v as (select *, min(d) over (partition by id) / d as v from d),
+r as (select *, least(case when label = k then 1e-6 + 0.5 * v else 0.5 * v end, 1.0) as r from v),
+l as (select id, max(r) as hi, min(r) as lo from r where label is not null group by id), h as (select 0.5 * (avg(hi) + 1 - ((select count(*) from c0) - 1) * avg(lo)) as hat from l),
+s as (select id, k, {cols(4, 'x#')}, case when label is null then hat else r end as u from r, h),
+{_sfcmep_move(0, 's')}, {_sfcmep_step(1)}, {_sfcmep_step(2)}, {_sfcmep_step(3)} {OUT_U} u3"""
+)
+def sfcmep_update(spark, sf):
+    d, k = _fifth_labelled(spark, sf)
+    return memberships(prototypes.SFCMEP(k=k, max_iter=3, tol=-1.0, reset_share=0.0).fit(d))
+
+
+_AXES = np.eye(4)[:, :2]
+_RPFKM = f"""{base()}, f0 as (select d0.*, sqrt((x1 - c1) * (x1 - c1) + (x2 - c2) * (x2 - c2)) as l from d0), {share(0, 'exp(-l / 0.2)', 'f0')},
+m as (select k, sum(u * x1) / (sum(u) + 1e-10) as m1, sum(u * x2) / (sum(u) + 1e-10) as m2 from u0 group by k),
+f1 as (select id, m.k, sqrt((x1 - m1) * (x1 - m1) + (x2 - m2) * (x2 - m2)) as l from p, m), {share(1, 'exp(-l / 0.2)', 'f1')}"""
+
+
+def _rpfkm(spark, sf):
+    p, c = points(spark, sf)
+    return prototypes.RPFKM(k=3, max_iter=1, init=(_AXES, c)).fit(p)
+
+
+@query(sql=f"{_RPFKM} select cast(k as integer) as k, round(m1, 6) + 0.0 as c1, round(m2, 6) + 0.0 as c2 from m")
+def rpfkm_means(spark, sf):
+    return centre_rows(spark, _rpfkm(spark, sf).extras["means"])
+
+
+@query(sql=f"{_RPFKM} {OUT_U} u1")
+def rpfkm_memberships(spark, sf):
+    return memberships(_rpfkm(spark, sf))
+
+
+@query(sql=f"{base()}, {share(0, '1 / greatest(d2, 1e-300)')} {OUT_U} u0")
+def ratio_rule(spark, sf):
+    """Shares in proportion to a power of distances, of all points."""
+    p, c = points(spark, sf)
+    return p.assign(lambda ids, x: ratio(sqdist(x, c), 1.0)).select(F.col("id").alias("vec_id"), "k", F.round("u", 6).alias("u"))
+
+
+def _uniform(seed: int, of: str) -> str:
+    """CTEs that end in h{seed} (id, h): a uniform in (0, 1) for each id of a table."""
+    add = lambda a, b: f"((({a})::uhugeint + {b}::uhugeint) % 18446744073709551616::uhugeint)::ubigint"
+    start = (seed * 0x9E3779B97F4A7C15 + 1) % 2**64
+    out, last = [], of
+    todo = [f"select id, {add('id', start)} as z from @"]
+    for turn in range(2):
+        for shift, factor in ((30, 13787848793156543929), (27, 10723151780598845931), (31, 1)):
+            todo.append(f"select id, ((xor(z, z >> {shift})::uhugeint * {factor}::uhugeint) % 18446744073709551616::uhugeint)::ubigint as z from @")
+        if not turn:
+            todo.append(f"select id, {add('z', 0x9E3779B97F4A7C15)} as z from @")
+    for i, q in enumerate(todo):
+        out.append(f"g{seed}_{i} as ({q.replace('@', last)})")
+        last = f"g{seed}_{i}"
+    return ", ".join(out) + f", h{seed} as (select id, ((z >> 11)::double + 0.5) / 9007199254740992.0 as h from {last})"
+
+
+@query(
+    sql=f"""with p as (select vec_id as id, {cols(4, 'embedding[#]::double as x#')} from embeddings), {_uniform(0, 'p')}, {_uniform(1, 'p')},
+a as (select p.* from p join h0 using (id) order by h, id limit 1),
+r as (select p.id, -ln(h) / greatest({cols(4, '(p.x# - a.x#) * (p.x# - a.x#)', ' + ')}, 1e-300) as r from p join h1 using (id), a),
+b as (select p.* from p join r using (id) order by r, id limit 1)
+select 0 as k, {cols(4, 'round(x#, 6) + 0.0 as c#')} from a union all select 1, {cols(4, 'round(x#, 6) + 0.0')} from b"""
+)
+def kmeanspp_first2(spark, sf):
+    """The first two centres that are drawn by distance."""
+    return centre_rows(spark, kmeanspp(points(spark, sf)[0], 2, 0))
 
 
 # shapes and mixtures ------------------------------------------------------------------------------------------------
@@ -316,6 +402,43 @@ def lloyd_3it(spark, sf):
     return centre_rows(spark, mixtures.lloyd(p, c, 3, -1.0))
 
 
+@query(sql=f"{base()}, " + ", ".join(f"{share(i, INV)}, {centre(4, i + 1, 'u * u', f'u{i}')}" + (f", {dist(4, i + 1)}" if i < 24 else "") for i in range(25)) + " " + out_c(4, "c25"))
+def fcm_centers_25it(spark, sf):
+    p, c = points(spark, sf)
+    return centre_rows(spark, prototypes.FCM(k=3, init=c, max_iter=25, tol=-1.0).fit(p).centers)
+
+
+def _ecm_step(i: int) -> str:
+    return f"""f{i} as (select id, k, {cols(4, 'x#')}, 1 / greatest(d2, 1e-10) as w from d{i} union all select id, 3, {cols(4, 'x#')}, 1 / 100.0 from p),
+u{i} as (select *, w / sum(w) over (partition by id) as u from f{i}), c{i + 1} as (select k, {cols(4, 'sum(u * u * x#) / (sum(u * u) + 1e-10) as c#')} from u{i} where k < 3 group by k)"""
+
+
+@query(sql=f"{base()}, " + ", ".join(_ecm_step(i) + (f", {dist(4, i + 1)}" if i < 9 else "") for i in range(10)) + " " + out_c(4, "c10"))
+def ecm_centers_10it(spark, sf):
+    p, c = points(spark, sf)
+    return centre_rows(spark, prototypes.ECM(k=3, init=c, max_iter=10, tol=-1.0).fit(p).centers)
+
+
+def _gmm_step(i: int) -> str:
+    """One step of the diagonal mixture, from n{i} (k, w, m#, v#)."""
+    return f"""l{i} as (select p.*, k, -0.5 * ({cols(4, "ln(2 * pi() * (v# + 1e-6)) + (x# - m#) * (x# - m#) / (v# + 1e-6)", " + ")}) + ln(w + 1e-32) as l from p, n{i}),
+t{i} as (select *, exp(l - max(l) over (partition by id)) as e from l{i}), r{i} as materialized (select *, e / sum(e) over (partition by id) as r from t{i}),
+m{i} as materialized (select k, sum(r) + 1e-12 as n, sum(r) / count(*) as w, {cols(4, "sum(r * x#) / (sum(r) + 1e-12) as m#")} from r{i} group by k),
+n{i + 1} as materialized (select q.k, any_value(q.w) as w, {cols(4, "any_value(q.m#) as m#")}, {cols(4, "sum(r * (x# - q.m#) * (x# - q.m#)) / any_value(q.n) + 1e-6 as v#")} from r{i} join m{i} q on q.k = r{i}.k group by q.k)"""
+
+
+@query(
+    sql=f"""{base()}, n0 as materialized (select k, 1 / 3.0 as w, {cols(4, "c# as m#")}, {cols(4, "v#")} from c0, (select {cols(4, "var_samp(x#) + 1e-6 as v#")} from p)), """
+    + ", ".join(_gmm_step(i) for i in range(8))
+    + f""" select cast(k as integer) as k, round(w, 5) as w, {cols(4, "round(m#, 5) + 0.0 as c#")}, {cols(4, "round(v#, 5) as v#")} from n8"""
+)
+def gmm_diag_8it(spark, sf):
+    p, c = points(spark, sf)
+    m = mixtures.GMM(k=3, init=c, covariance_type="diag", max_iter=8, tol=-1.0).fit(p)
+    d = _mixture_rows(spark, m, 4)
+    return d.select("k", *[F.round(c, 5).alias(c) for c in d.columns if c != "k"])
+
+
 @query(
     sql="""with p as (select l_extendedprice / 105000 as x, 0.05 + l_discount * 9 as y from lineitem),
 s as (select avg(x) as mu, stddev_pop(x) + 0.001 as sigma, avg(y) as m, greatest(var_pop(y), 1e-5) as v from p)
@@ -345,6 +468,19 @@ def mbmm_moments(spark, sf):
     return rows(spark, [(k, round(float(e["weights"][k]), 5), *[round(float(v), 4) for n in ("alpha", "beta") for v in e[n][k]]) for k in range(2)], "k int, w double, alpha1 double, alpha2 double, beta1 double, beta2 double")
 
 
+@query(
+    sql="""with p as (select row_number() over () as id, 0.05 + l_discount * 9 as x1, 0.1 + l_tax * 10 as x2 from lineitem),
+c as (select * from (values (0, 2.0, 3.0, 3.0, 2.0), (1, 3.0, 2.0, 2.0, 4.0)) t(k, a1, a2, b1, b2)),
+l as (select id, k, ln(0.5 + 1e-10) + (a1 - 1) * ln(x1) + (b1 - 1) * ln(1 - x1) - (lgamma(a1) + lgamma(b1) - lgamma(a1 + b1))
+ + (a2 - 1) * ln(x2) + (b2 - 1) * ln(1 - x2) - (lgamma(a2) + lgamma(b2) - lgamma(a2 + b2)) as l from p, c),
+r as (select *, exp(l) / sum(exp(l)) over (partition by id) as r from l) select cast(k as integer) as k, round(sum(r), 4) as n, round(sum(r * r), 4) as n2, round(max(r), 6) as top from r group by k"""
+)
+def mbmm_estep(spark, sf):
+    m = mixtures.MBMM(k=2, alpha=_BETA[0], beta=_BETA[1], max_iter=1).fit(items(spark, sf, "0.05 + l_discount * 9", "0.1 + l_tax * 10"))
+    u = F.col("u")
+    return m.memberships.groupBy("k").agg(F.round(F.sum(u), 4).alias("n"), F.round(F.sum(u * u), 4).alias("n2"), F.round(F.max(u), 6).alias("top"))
+
+
 # points against points ----------------------------------------------------------------------------------------------
 
 _PAIRS = f"with p as (select vec_id as id, {cols(4, 'embedding[#]::double as x#')} from embeddings), q as (select a.id, b.id as other, {cols(4, '(a.x# - b.x#) * (a.x# - b.x#)', ' + ')} as d2 from p a, p b)"
@@ -360,11 +496,36 @@ def _numbered(spark, ids, values, name: str, kind: str = "double") -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"vec_id": ids, name: values}), f"vec_id bigint, {name} {kind}")
 
 
-@query(sql=_PAIRS + " select id as vec_id, round(sum(exp(-d2)), 6) as s from q group by id")
-def kfccl_gram_rowsum(spark, sf):
-    _, ids, x = _all(spark, sf)
-    s = pairwise.pair_map(spark, x, lambda a, b, _: np.exp(-sqdist(a, b)).sum(1))
-    return _numbered(spark, ids, np.round(s, 6), "s")
+@query(
+    sql=_PAIRS + """, k as (select * from (values (0), (1)) t(k)), b as (select id, k, ((id * (k + 3)) % 97 + 1) / 9700.0 as b from p, k),
+u0 as (select *, exp(10 * b) / sum(exp(10 * b)) over (partition by id) as u from b), g as (select q.id, k, sum(exp(-d2) * u) as g from q join u0 on u0.id = q.other group by 1, 2),
+v as (select u0.k, sqrt(1 + 2 * 0.05 * sum(u * b) + 0.05 * 0.05 * sum(g * u)) as v from u0 join g using (id, k) group by u0.k),
+n as (select u0.id, u0.k, (b + 0.05 * g) / v as b from u0 join g using (id, k) join v on v.k = u0.k),
+r as (select *, exp(10 * (b - max(b) over (partition by id))) as w from n) select id as vec_id, cast(k as integer) as k, round(w / sum(w) over (partition by id), 6) as u from r"""
+)
+def kfccl_step(spark, sf):
+    """Memberships in the second step from fixed products with the prototypes."""
+    p = Points(embedded(spark, sf, 4))
+    ids = p.all(pairwise.QUADRATIC, "KFCCL")[0][:, None]
+    start = ((ids * (np.arange(2)[None, :] + 3)) % 97 + 1) / 9700
+    return memberships(pairwise.KFCCL(k=2, init=start, max_iter=2, epsilon=-1.0).fit(p))
+
+
+@query(sql=_PAIRS + ", n as (select id, row_number() over (partition by id order by d2, other) as r, other from q) select id as vec_id, count(distinct other)::double as degree from (select id, other from n where r <= 5 union all select id, id from n) group by id")
+def afcm_knn_degree(spark, sf):
+    p = Points(embedded(spark, sf, 4))
+    m = pairwise.AFCM(k=3, max_iter=1).fit(p)
+    return _numbered(spark, p.all(pairwise.DENSE, "AFCM")[0], m.extras["degree"], "degree")
+
+
+@query(sql=_PAIRS + ", s as (select vec_id as id, case when vec_id % 5 = 0 then if(label % 2 = 0, 1, -1) end as y from embeddings) select id as vec_id, coalesce(y = 1, false)::double as f1, coalesce(y = -1, false)::double as f2 from s")
+def softksc_system(spark, sf):
+    """What the fitted coefficients give back through the kernel matrix and its ridge: the labels."""
+    p = Points(half_labelled(spark, sf, "case when vec_id % 5 = 0 then if(label % 2 = 0, 1, -1) end", 4), ("label",))
+    ids, x, _ = p.all(pairwise.DENSE, "SoftKSC")
+    coef = pairwise.SoftKSC().fit(p).extras["coefficients"]
+    back = np.round(pairwise.pair_map(spark, x, lambda a, b, _: np.exp(-sqdist(a, b)) @ coef) + coef, 6) + 0.0
+    return spark.createDataFrame(pd.DataFrame({"vec_id": ids, "f1": back[:, 0], "f2": back[:, 1]}), "vec_id bigint, f1 double, f2 double")
 
 
 _SCALED = f"""with p as (select vec_id as id, {cols(4, 'embedding[#]::double as x#')} from embeddings),
@@ -387,21 +548,29 @@ def scm_first_center(spark, sf):
 @query(sql=_PAIRS + ", r as (select *, row_number() over (partition by id order by d2, other) as r from q where id <> other) select id as vec_id, other, cast(r as integer) as rank from r where r <= 5")
 def knn_graph(spark, sf):
     _, ids, x = _all(spark, sf)
-
-    def nearest(a, b, i):
-        d = ((a[:, None] - b[None]) ** 2).sum(2)
-        d[np.arange(len(a)), i + np.arange(len(a))] = np.inf
-        return np.argsort(d, 1, kind="stable")[:, :5].astype(float)
-
-    nn = pairwise.pair_map(spark, x, nearest).astype(int)
+    nn = pairwise.nearest(spark, x, 5)
     return spark.createDataFrame(pd.DataFrame({"vec_id": np.repeat(ids, 5), "other": ids[nn.ravel()], "rank": np.tile(np.arange(1, 6), len(ids))}), "vec_id bigint, other bigint, rank int")
 
 
 @query(sql=_PAIRS + ", c as (select id, count(*) as n from q where d2 <= 0.01 group by id) select p.id as vec_id, coalesce(n, 0) >= 5 as is_core from p left join c using (id)")
 def dbscan_core(spark, sf):
     _, ids, x = _all(spark, sf)
-    n = pairwise.pair_map(spark, x, lambda a, b, _: (((a[:, None] - b[None]) ** 2).sum(2) <= 0.01).sum(1).astype(float))
-    return _numbered(spark, ids, n >= 5, "is_core", "boolean")
+    return _numbered(spark, ids, pairwise.core_points(spark, x, 0.1, 5), "is_core", "boolean")
+
+
+@query(
+    sql=_PAIRS.replace("with p as", "with recursive p as") + """, e as materialized (select id, other from q where d2 <= 0.01), core as materialized (select id from e group by id having count(*) >= 5),
+l as materialized (select e.id, e.other from e join core a on a.id = e.id join core b on b.id = e.other),
+r as (select id, id as root from core union select l.other, r.root from r join l on l.id = r.id), c as (select id, min(root) as root from r group by id),
+n as (select root, row_number() over (order by root) - 1 as k from (select distinct root from c)),
+b as (select e.id, min(n.k) as k from e join c on c.id = e.other join n using (root) group by e.id)
+select p.id as vec_id, cast(coalesce(k, -1) as integer) as label from p left join b using (id)"""
+)
+def softdbscan_labels(spark, sf):
+    """The clusters of DBSCAN that the operator starts from, with the clusters numbered by their first core point."""
+    p = Points(embedded(spark, sf, 4))
+    m = pairwise.SoftDBSCANGM(eps=0.1, max_iter=1).fit(p)
+    return _numbered(spark, p.all(pairwise.QUADRATIC, "SoftDBSCANGM")[0], m.extras["dbscan"].astype(int), "label", "int")
 
 
 @query(
@@ -411,13 +580,10 @@ k as (select sqrt(d2) / top as delta, a.t * b.t - (a.l[1] * b.l[1] + a.l[2] * b.
 select round(sum((kappa - delta) * (kappa - delta)) / sum(delta * delta), 6) as stress from k"""
 )
 def evclus_stress(spark, sf):
-    _, ids, x = _all(spark, sf)
-    delta = np.sqrt(sqdist(x, x))
-    np.fill_diagonal(delta, 0.0)
-    delta /= delta.max()
-    logits = (ids[:, None] % 4 == np.arange(4)[None, :]).astype(float)
-    stress, _ = pairwise.credal_stress(logits.ravel(), delta, 3, 0.5 * float((delta**2).sum()))
-    return rows(spark, [(round(stress, 6),)], "stress double")
+    p = Points(embedded(spark, sf, 4))
+    ids = p.all(pairwise.DENSE, "EVCLUS")[0]
+    m = pairwise.EVCLUS(k=3, max_iter=0, init=(ids[:, None] % 4 == np.arange(4)[None, :]).astype(float)).fit(p)
+    return rows(spark, [(round(m.extras["stress"], 6),)], "stress double")
 
 
 # images and clients -------------------------------------------------------------------------------------------------
@@ -452,8 +618,51 @@ def femi_common_features(spark, sf):
 
 @query(sql="select event_type as client, count(*) as n, round(avg(value), 6) as mean, min(value) as low, max(value) as high, round(stddev_pop(value), 6) as std, round(median(value), 6) as median from events group by event_type")
 def femi_client_stats(spark, sf):
-    v = F.col("value")
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("client")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.stddev_pop(v), 6).alias("std"), F.round(F.median(v), 6).alias("median"))
+    """What a client tells of one of its clusters, for a cluster of all its values."""
+
+    def told(b: pd.DataFrame) -> pd.DataFrame:
+        s = federated.signature(b[["value"]].to_numpy(float), np.ones((len(b), 1)), 0)
+        return pd.DataFrame([(b["client"].iloc[0], int(s[0]), *(float(v) for v in s[1:]))], columns=["client", "n", "mean", "low", "high", "std", "median"])
+
+    e = table(spark, sf, "events").select(F.col("event_type").alias("client"), F.col("value").cast("double").alias("value")).where("value is not null")
+    t = e.groupBy("client").applyInPandas(told, "client string, n bigint, mean double, low double, high double, std double, median double")
+    return t.select("client", "n", F.round("mean", 6).alias("mean"), "low", "high", F.round("std", 6).alias("std"), F.round("median", 6).alias("median"))
+
+
+_FIRST = """, y as (select r, c, k, ((r * 24 + c) * (k + 3)) % 7 + 1 as y from x, (values (0), (1)) t(k)), u as (select r, c, k, y::double / sum(y) over (partition by r, c) as u from y)"""
+
+
+def _first_memberships() -> np.ndarray:
+    i = np.arange(168)[:, None]
+    y = (i * (np.arange(2)[None, :] + 3)) % 7 + 1.0
+    return y / y.sum(1, keepdims=True)
+
+
+def _pixel_rows(m) -> DataFrame:
+    return m.memberships.select((F.col("id") / 24).cast("int").alias("row"), (F.col("id") % 24).cast("int").alias("col"), "k", F.round("u", 6).alias("u"))
+
+
+@query(
+    sql=_PIXELS + _FIRST + """, q as (select u.*, v, u * u as q from u join x using (r, c)), s as (select k, sum(q) as s from q group by k),
+kq as (select a.r, a.c, b.k, sum(exp(-0.0001 * (a.v - b.v) * (a.v - b.v)) * b.q) as kq from x a, q b group by 1, 2, 3), z as (select kq.k, sum(q * kq) as z from kq join q using (r, c, k) group by kq.k),
+o as (select u.r, u.c, dr, dc, k from u, (values (-1), (0), (1)) a(dr), (values (-1), (0), (1)) b(dc)),
+n as (select o.r, o.c, o.k, sum(u.u) / 9 as n from o join u on u.r = least(greatest(o.r + dr, 0), 6) and u.c = least(greatest(o.c + dc, 0), 23) and u.k = o.k group by 1, 2, 3),
+w as (select kq.r, kq.c, kq.k, 1 / greatest(1 - 2 / s * kq + z / (s * s) + 0.5 * (1 - n), 1e-10) as w from kq join n using (r, c, k) join s on s.k = kq.k join z on z.k = kq.k)
+select cast(r as integer) as "row", cast(c as integer) as col, cast(k as integer) as k, round(w / sum(w) over (partition by r, c), 6) as u from w"""
+)
+def skfcm_step(spark, sf):
+    return _pixel_rows(images.SKFCM(k=2, gamma=1e-4, max_iter=1, init=_first_memberships()).fit(pixels(spark, sf)))
+
+
+@query(
+    sql=_PIXELS + _FIRST + """, q as (select u.*, v, u * u as q from u join x using (r, c)),
+n as (select k, sum(q) + 1e-8 as n, sum(q * v * v / (1 + 1e-8)) as sq, sum(q * v / (1 + 1e-8)) as pl from q group by k), m as (select k, pl / n / (sq / n + 1e-8) as m from n),
+b as (select r, c, any_value(v) as v, sum(q * (v - m) * -m) / (sum(q * m * m) + 1e-8) - 0.1 as b from q join m using (k) group by r, c),
+w as (select r, c, k, 1 / greatest((v - b * m) * (v - b * m), 1e-8) as w from b, m)
+select cast(r as integer) as "row", cast(c as integer) as col, cast(k as integer) as k, round(w / sum(w) over (partition by r, c), 6) as u from w"""
+)
+def afcmadaptive_step(spark, sf):
+    return _pixel_rows(images.AFCMAdaptive(k=2, max_iter=1, init=_first_memberships()).fit(pixels(spark, sf)))
 
 
 # graphs -------------------------------------------------------------------------------------------------------------
@@ -481,6 +690,14 @@ g as (select src as node, f.k, sum(f.v * exp(-x) / (1 - exp(-x) + 1e-10)) as g f
 select f.node, cast(f.k as integer) as k, round(greatest(f.v + 0.001 * (g - (t - f.v)), 1e-10), 6) as f from f join g using (node, k) join t using (k)"""
 )
 def bigclam_step(spark, sf):
+    g = graph(spark, sf)
+    start = ((graphs.Graph(g).ids[:, None] * (np.arange(2)[None, :] + 3)) % 97 + 1) / 200
+    return graphs.BIGCLAM(k=2, max_iter=1, lr=0.001, init=start).fit(g).memberships.select(F.col("id").alias("node"), "k", F.round("u", 6).alias("f"))
+
+
+@query(sql=ORACLES["bigclam_step"])
+def bigclam_step_spread(spark, sf):
+    """The same step as joins."""
     e = graphs.symmetric(graph(spark, sf))
     return graphs.affiliation_step(e, state(e, 2, FIXED), 0.001).select("node", "k", F.round("v", 6).alias("f"))
 
@@ -522,10 +739,60 @@ def dmon_loss(spark, sf):
 
 @query(sql=_GRAPH + ", d as (select src as node, count(*) + 1.0 as d from e group by 1) select src, dst, round(1 / sqrt(a.d * b.d), 6) as w from e join d a on a.node = src join d b on b.node = dst")
 def nocd_adj_norm(spark, sf):
-    e = graphs.symmetric(graph(spark, sf))
-    d = e.groupBy(F.col("src").alias("node")).agg((F.count(F.lit(1)) + 1).cast("double").alias("d"))
-    a, b = d.select(F.col("node").alias("src"), F.col("d").alias("da")), d.select(F.col("node").alias("dst"), F.col("d").alias("db"))
-    return e.join(a, "src").join(b, "dst").select("src", "dst", F.round(1 / F.sqrt(F.col("da") * F.col("db")), 6).alias("w"))
+    g = graphs.Graph(graph(spark, sf))
+    w, _ = graphs.normalised(g)
+    return spark.createDataFrame(pd.DataFrame({"src": g.ids[g.s], "dst": g.ids[g.d], "w": np.round(w, 6)}), "src bigint, dst bigint, w double")
+
+
+@query(sql=_CRISP + " select round(-q, 6) as loss from q")
+def cdcgs_value(spark, sf):
+    """What the operator makes least, for crisp memberships."""
+    g = graphs.Graph(graph(spark, sf))
+    return rows(spark, [(round(graphs.CDCGS(k=3).value(g, np.eye(3)[g.ids % 3])[0], 6),)], "loss double")
+
+
+_BLOCKS = """with e0 as (select distinct l_suppkey as s, 10000000 + cast(substr(p_brand, 7) as bigint) as d from lineitem join part on l_partkey = p_partkey),
+e as materialized (select s as src, d as dst from e0 union select d, s from e0), v as materialized (select distinct src as node from e), b as (select range as b from range(3)),
+f as materialized (select node, b, 0.1 / 3 + case when node % 3 = b then 0.9 else 0.0 end as f from v, b),
+t as (select b, sum(f) as t from f group by b), same as (select x.b as g, y.b as h, sum(x.f * y.f) as s from f x join f y using (node) group by 1, 2),
+m as (select x.b as g, y.b as h, sum(x.f * y.f) as m from e join f x on x.node = src join f y on y.node = dst group by 1, 2),
+bm as materialized (select g, h, least(greatest(m / (x.t * y.t - s + 1e-10), 1e-10), 1 - 1e-10) as p from m join same using (g, h) join t x on x.b = g join t y on y.b = h)"""
+
+
+def block_graph(spark, sf) -> DataFrame:
+    """Suppliers and the brands of the parts they ship, as numbers."""
+    li, part = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey"), table(spark, sf, "part").select("p_partkey", "p_brand")
+    return li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("src"), (F.lit(10_000_000) + F.expr("cast(substr(p_brand, 7) as bigint)")).alias("dst")).distinct()
+
+
+@query(sql=_BLOCKS + " select cast(g as integer) as g, cast(h as integer) as h, round(p, 6) as p from bm")
+def mmsb_block_matrix(spark, sf):
+    e = block_graph(spark, sf)
+    b = graphs.MMSB(k=3, init=graphs.Graph(e).ids % 3, max_iter=0).fit(e).extras["block_matrix"]
+    return rows(spark, [(g, h, round(float(b[g, h]), 6)) for g in range(3) for h in range(3)], "g int, h int, p double")
+
+
+def _psi(x: str) -> str:
+    """SQL of the digamma function for arguments of at least 0.5, from its asymptotic series at six more."""
+    y, down = f"({x} + 6)", " + ".join(f"1 / ({x} + {i})" for i in range(6))
+    return f"(ln({y}) - 0.5 / {y} - 1 / (12 * {y} ^ 2) + 1 / (120 * {y} ^ 4) - 1 / (252 * {y} ^ 6) - ({down}))"
+
+
+@query(
+    sql=_BLOCKS + f""", c as (select count(*) as n from v), a as (select node, b, 0.5 + 2 * (n - 1) * f as a from f, c), el as materialized (select node, b, {_psi("a")} - {_psi("s")} as el from (select *, sum(a) over (partition by node) as s from a)),
+q as materialized (select x.node as src, y.node as dst, e.src is not null as y from v x join v y on x.node <> y.node left join e on e.src = x.node and e.dst = y.node),
+o1 as (select q.src, q.dst, y, g, any_value(el.el) + sum(f.f * case when y then ln(p) else ln(1 - p) end) as l from q join f on f.node = q.dst join bm on bm.h = f.b join el on el.node = q.src and el.b = bm.g group by q.src, q.dst, y, g),
+o2 as (select *, exp(l - max(l) over (partition by src, dst)) as w from o1), o as materialized (select src, dst, y, g, w / sum(w) over (partition by src, dst) as o from o2),
+i1 as (select o.src, o.dst, h, any_value(el.el) + sum(o * case when y then ln(p) else ln(1 - p) end) as l from o join bm on bm.g = o.g join el on el.node = o.dst and el.b = bm.h group by o.src, o.dst, h),
+i2 as (select *, exp(l - max(l) over (partition by src, dst)) as w from i1), i as (select src, dst, h, w / sum(w) over (partition by src, dst) as i from i2),
+g as (select node, b, 0.5 + sum(x) as g from (select src as node, g as b, o as x from o union all select dst, h, i from i) group by 1, 2)
+select node, cast(b as integer) as k, round(g / sum(g) over (partition by node), 6) as u from g"""
+)
+def mmsb_sweep(spark, sf):
+    """Memberships after one sweep over all pairs."""
+    e = block_graph(spark, sf)
+    m = graphs.MMSB(k=3, init=graphs.Graph(e).ids % 3, max_iter=1, n_inner=1).fit(e)
+    return m.memberships.select(F.col("id").alias("node"), "k", F.round("u", 6).alias("u"))
 
 
 @query(
@@ -571,12 +838,25 @@ select n.doc_id, cast(p.proto as integer) as proto, round(coalesce(s, 0) / (n +
 def kmart_scores(spark, sf):
     tf = documents.term_counts(table(spark, sf, "documents"), "space", documents.STOP_WORDS)
     first = [r[0] for r in tf.select("doc_id").distinct().orderBy("doc_id").limit(3).collect()]
-    proto = F.broadcast(tf.where(F.col("doc_id").isin(first)).select(F.col("doc_id").alias("pd"), "term", F.col("cnt").alias("pc")))  # three documents
-    number = F.expr("case " + " ".join(f"when pd = {d} then {i}" for i, d in enumerate(first)) + " end")
-    hit = tf.join(proto, "term").groupBy("doc_id", number.cast("int").alias("proto")).agg(F.sum(F.least("cnt", "pc")).cast("double").alias("s"))
-    n = tf.groupBy("doc_id").agg(F.sum("cnt").cast("double").alias("n")).select("doc_id", "n", F.explode(F.array(*[F.lit(i) for i in range(len(first))])).alias("proto"))
-    score = F.coalesce("s", F.lit(0.0)) / (F.col("n") + 1e-9)
-    return n.join(hit, ["doc_id", "proto"], "left").select("doc_id", "proto", F.round(score, 6).alias("score"), (score >= 0.5).alias("passed"))
+    number = F.expr("case " + " ".join(f"when doc_id = {d} then {i}" for i, d in enumerate(first)) + " end").cast("int")
+    protos = tf.where(F.col("doc_id").isin(first)).select(number.alias("proto"), "term", F.col("cnt").alias("w"))
+    score = F.col("score")
+    return documents.overlap_scores(tf, protos).select("doc_id", "proto", F.round(score, 6).alias("score"), (score >= 0.5).alias("passed"))
+
+
+@query(sql=tf_sql(True) + ", a as (select term, cast(sum(cnt) as bigint) as n from tf group by term), r as (select *, row_number() over (order by n desc, encode(term)) as r from a) select cast(r as integer) as rank, term from r where r <= 10")
+def kmart_keywords(spark, sf):
+    """Keywords of the one cluster there is without vigilance: all documents."""
+    m = documents.KMART(vigilance=0.0).fit(table(spark, sf, "documents").select("doc_id", "text"))
+    assert m.n_clusters == 1
+    return rows(spark, [(i + 1, w) for i, w in enumerate(m.extras["keywords"][0])], "rank int, term string")
+
+
+@query(sql="select doc_id, cast(row_number() over (order by doc_id) - 1 as integer) as k, 1.0::double as u from (select distinct doc_id from documents)")
+def kmart_alone(spark, sf):
+    """With a vigilance that nothing meets each document is a cluster of its own."""
+    m = documents.KMART(vigilance=1.5).fit(table(spark, sf, "documents").select("doc_id", "text"))
+    return m.memberships.select(F.col("id").alias("doc_id"), "k", "u")
 
 
 @query(
@@ -587,12 +867,25 @@ select n.doc_id, seed, round(coalesce(b, 0) / (n + sn - coalesce(b, 0)), 6) as s
 def sisc_tanimoto(spark, sf):
     """Every item against the seeds."""
     tf = documents.term_counts(eval_docs(spark, sf), "space", documents.STOP_WORDS)
-    n = tf.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    seeds = n.orderBy("doc_id").limit(3).select(F.col("doc_id").alias("seed"), F.col("n").alias("sn"))
-    words = F.broadcast(tf.join(seeds, tf["doc_id"] == seeds["seed"]).select("seed", "term"))  # three documents
-    both = tf.join(words, "term").groupBy("doc_id", "seed").agg(F.count(F.lit(1)).alias("b"))
-    b = F.coalesce("b", F.lit(0))
-    return n.crossJoin(F.broadcast(seeds)).join(both, ["doc_id", "seed"], "left").select("doc_id", "seed", F.round(b / (F.col("n") + F.col("sn") - b), 6).alias("sim"))  # three rows on the right
+    seeds = tf.select(F.col("doc_id").alias("seed")).distinct().orderBy("seed").limit(3)
+    return documents.tanimoto_to(tf, seeds).withColumn("sim", F.round("sim", 6))
+
+
+_SISC_FIRST = float(uniform(np.array([0]), 1, 0)[0, 0])
+
+
+@query(
+    sql=tf_sql(True, "eval_items", "item_id") + f""", d as (select doc_id, row_number() over (order by doc_id) - 1 as r from (select distinct item_id as doc_id from eval_items)), c as (select count(*) as c from d),
+n as (select doc_id, count(*) as n from tf group by 1), s1 as (select doc_id from d, c where r = cast(floor({_SISC_FIRST!r} * c) as bigint)),
+a1 as (select d.doc_id, d.r, coalesce(b / (n.n + m.n - b), 0)::double as sim from d left join (select tf.doc_id, count(*) as b from tf join tf q on q.term = tf.term and q.doc_id = (select doc_id from s1) group by 1) t using (doc_id) left join n using (doc_id) left join n m on m.doc_id = (select doc_id from s1)),
+s2 as (select doc_id from a1 where doc_id <> (select doc_id from s1) order by sim desc, r limit 1),
+a2 as (select d.doc_id, coalesce(b / (n.n + m.n - b), 0)::double as sim from d left join (select tf.doc_id, count(*) as b from tf join tf q on q.term = tf.term and q.doc_id = (select doc_id from s2) group by 1) t using (doc_id) left join n using (doc_id) left join n m on m.doc_id = (select doc_id from s2)),
+a as (select sim, row_number() over (order by sim desc) - 1 as r from (select sim from a1 union all select sim from a2)) select round(sim, 6) as lambda from a, c where r = c // 2"""
+)
+def sisc_lambda(spark, sf):
+    """The threshold that the operator takes from the similarities to its seeds."""
+    m = documents.SISC(k=1, max_iter=1).fit(eval_docs(spark, sf))
+    return rows(spark, [(round(m.extras["threshold"], 6),)], "lambda double")
 
 
 @query(sql=tf_sql(False) + ", n as (select count(distinct doc_id) as n from documents) select term, count(*) as df from tf group by term having count(*) >= 2 and count(*) <= (select cast(floor(n * 0.5) as bigint) from n)")
@@ -620,6 +913,43 @@ def plsi_em_step(spark, sf):
     return post.groupBy("z", "term").agg(F.sum(F.col("cnt") * F.col("p")).alias("n")).join(s, "z").select("z", "term", F.round(F.col("n") / F.col("s") * 1000, 6).alias("p"))
 
 
+def _plsi_start(terms, ids):
+    w = np.array([[(1 + (len(t) * (z + 2)) % 5) / 5 for t in terms] for z in (0, 1)])
+    d = (1 + (ids[None, :] * np.array([[1], [2]])) % 7) / 7.0
+    return w, d
+
+
+@query(
+    sql=tf_sql(False).replace("string_split_regex(lower(text), '\\s+')", "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')") + """, z as (select * from (values (0), (1)) t(z)), pd as (select doc_id, z, (1 + (doc_id * (z + 1)) % 7) / 7.0 as p from (select distinct doc_id from tf), z),
+pw as (select term, z, (1 + (length(term) * (z + 2)) % 5) / 5.0 as p from (select distinct term from tf), z),
+y as (select tf.doc_id, tf.term, cnt, pd.z, 0.5 * pd.p * pw.p as w from tf join pd using (doc_id) join pw on pw.term = tf.term and pw.z = pd.z), r as materialized (select *, cnt * w / sum(w) over (partition by doc_id, term) as r from y),
+d as (select doc_id, z, sum(r) as n from r group by 1, 2) select doc_id, cast(z as integer) as k, round(n / sum(n) over (partition by doc_id), 6) as u from d"""
+)
+def plsi_memberships(spark, sf):
+    """Shares of topics after one step of the operator from fixed probabilities."""
+    m = documents.PLSI(k=2, max_iter=1, tempered=False, init=_plsi_start).fit(term_table(spark, sf))
+    return m.memberships.select(F.col("id").alias("doc_id"), "k", F.round("u", 6).alias("u"))
+
+
+def term_table(spark, sf) -> DataFrame:
+    """Counts of runs of two and more letters and digits."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]{2,}"), 0)).alias("term")
+    return table(spark, sf, "documents").select("doc_id", words).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(
+    sql=tf_sql(False).replace("string_split_regex(lower(text), '\\s+')", "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')") + f""", z as (select * from (values (0), (1)) t(z)), v as (select distinct term from tf),
+lam as materialized (select term, z, (1 + (length(term) * (z + 2)) % 5) / 2.0 as l from v, z), tot as (select z, sum(l) as s from lam group by z), n as (select doc_id, sum(cnt) as n from tf group by 1),
+g0 as (select doc_id, z, 25 + n / 2.0 as g from n, z), lw as (select term, lam.z, exp({_psi("l")} - {_psi("s")}) as w from lam join tot using (z)), e as (select doc_id, z, exp({_psi("g")}) as e from g0),
+y as (select tf.doc_id, term, cnt, lw.z, e * lw.w as y from tf join lw using (term) join e on e.doc_id = tf.doc_id and e.z = lw.z), phi as (select *, y / sum(y) over (partition by doc_id, term) as phi from y),
+g as (select doc_id, z, 25 + sum(cnt * phi) as g from phi group by 1, 2) select doc_id, cast(z as integer) as k, round(g / sum(g) over (partition by doc_id), 6) as u from g"""
+)
+def lda_memberships(spark, sf):
+    """Shares of topics after one inner step of the operator from fixed topics."""
+    m = documents.LDA(k=2, max_iter=1, var_max_iter=1, init=lambda terms: [[(1 + (len(t) * (z + 2)) % 5) / 2 for t in terms] for z in (0, 1)]).fit(term_table(spark, sf))
+    return m.memberships.select(F.col("id").alias("doc_id"), "k", F.round("u", 6).alias("u"))
+
+
 # ensembles ----------------------------------------------------------------------------------------------------------
 
 _ENSEMBLE = f"""with p as (select vec_id as id, {cols(4, "embedding[#]::double as x#")} from embeddings), r as (select *, row_number() over (order by id) - 1 as r from p),
@@ -728,6 +1058,29 @@ def metric_silhouette(spark, sf):
     return rows(spark, [(round(metrics.silhouette(embedded(spark, sf, 4), _labels(spark, sf)), 6),)], "silhouette double")
 
 
+# the same over partitions -------------------------------------------------------------------------------------------
+
+SPREAD = (
+    "fcm_memberships", "fcm_centers_3it", "fcm_centers_25it", "fcm_objective", "afcmsimple_step", "cafcm_level", "cafhfcm_step", "entropyfcm_objective", "pcm_typicality", "pfcm_step", "ecm_pignistic",
+    "ecm_centers_10it", "kfcm_step", "fcc_step", "rough_kmeans_approx", "rpfkm_memberships", "sfcmep_update", "gk_step", "gathgeva_step", "gmm_diag_em", "gmm_spherical_em", "gmm_full_2d", "gmm_diag_8it",
+    "lloyd_3it", "bgmm_moments", "mbmm_moments", "mbmm_estep", "kmeanspp_first2", "scm_potential", "kfccl_step", "knn_graph", "softdbscan_labels", "mmsb_sweep", "lda_memberships", "scspa_rows", "smcla_gram", "metric_silhouette",
+)
+
+
+def _spread(name: str):
+    def run(spark, sf):
+        with spread():
+            return QUERIES[name](spark, sf)
+
+    run.__name__ = f"{name}_spread"
+    run.__doc__ = f"{name} with points, pairs and documents in partitions, as tables are that are too large for the driver."
+    return run
+
+
+for _name in SPREAD:
+    query(_spread(_name), ORACLES[_name])
+
+
 # whole fits, one for each operator ----------------------------------------------------------------------------------
 
 
@@ -759,33 +1112,35 @@ def clients(spark, sf) -> DataFrame:
     return e.join(F.broadcast(parts), "region").select(F.format_string("%d.%d", "region", F.pmod(F.xxhash64("id"), "parts")).alias("client"), "id", "feature", "value")
 
 
+def docs(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
 FITS = {
-    **{n: (lambda s, f: embedded(s, f, 8), {}) for n in ("FCM", "PCM", "PFCM", "CAFCM", "CAFHFCM", "AFCMSimple", "ENTROPYFCM", "ECM", "KFCM", "RoughKMeans", "RPFKM", "GK", "GathGeva", "GMM", "SCM", "KFCCL")},
+    **{n: (lambda s, f: embedded(s, f, 64), {}) for n in ("FCM", "PCM", "PFCM", "CAFCM", "CAFHFCM", "AFCMSimple", "ENTROPYFCM", "ECM", "KFCM", "RoughKMeans", "RPFKM", "SCM", "KFCCL", "AFCM", "EVCLUS", "RDFKC")},
+    **{n: (lambda s, f: embedded(s, f, 8), {}) for n in ("GK", "GathGeva", "GMM")},
     "FCC": (lambda s, f: embedded(s, f, 3).withColumn("features", F.transform("features", lambda v: v * 100)), {}),
-    "MBMM": (lambda s, f: embedded(s, f, 4).withColumn("features", F.transform("features", lambda v: (v + 1) / 2 * 0.998 + 0.001)), {}),
+    "MBMM": (lambda s, f: embedded(s, f, 64).withColumn("features", F.transform("features", lambda v: (v + 1) / 2 * 0.998 + 0.001)), {}),
     "BGMM": (lambda s, f: embedded(s, f, 2).withColumn("features", F.array(F.col("features")[0], (F.col("features")[1] + 1) / 2 * 0.998 + 0.001)), {}),
-    "SFCMEP": (lambda s, f: half_labelled(s, f, "case when vec_id % 5 = 0 then label % 3 end"), {}),
-    "SoftKSC": (lambda s, f: half_labelled(s, f, "case when vec_id % 5 = 0 then if(label % 2 = 0, 1, -1) end"), {}),
-    "SoftDBSCANGM": (lambda s, f: embedded(s, f, 2), {"eps": 0.05, "max_iter": 10}),
-    "AFCM": (lambda s, f: embedded(s, f, 8), {"max_iter": 5}),
-    "EVCLUS": (lambda s, f: embedded(s, f, 8), {"n_init": 1}),
-    "RDFKC": (lambda s, f: embedded(s, f, 16), {"max_iter": 10, "lr": 1e-2}),
+    "SFCMEP": (lambda s, f: half_labelled(s, f, "case when vec_id % 5 = 0 then label % 3 end", 64), {}),
+    "SoftKSC": (lambda s, f: half_labelled(s, f, "case when vec_id % 5 = 0 then if(label % 2 = 0, 1, -1) end", 64), {}),
+    "SoftDBSCANGM": (lambda s, f: embedded(s, f, 2), {"eps": 0.05}),
     "AFCMAdaptive": (pixels, {}),
     "SKFCM": (pixels, {"gamma": 1e-4}),
-    "FeMIFuzzy": (clients, {"max_clusters": 3, "n_imputations": 2, "max_iter": 20}),
-    "BIGCLAM": (brands, {"max_iter": 20, "lr": 1e-4}),
+    "FeMIFuzzy": (clients, {}),
+    "BIGCLAM": (brands, {"lr": 1e-4}),
     "BayesianNMF": (brands, {}),
-    "MMSB": (brands, {"max_iter": 5}),
-    "CDCGS": (brands, {"max_epochs": 100, "n_init": 1}),
-    "DMoN": (brands, {"max_epochs": 50}),
-    "NOCD": (brands, {"max_epochs": 50, "hidden": 32}),
-    "LDA": (lambda s, f: table(s, f, "documents").select("doc_id", "text"), {"k": 5, "n_init": 1, "max_iter": 5, "var_max_iter": 5}),
-    "PLSI": (lambda s, f: table(s, f, "documents").select("doc_id", "text"), {"k": 5, "max_iter": 10}),
-    "KMART": (eval_docs, {}),
-    "SISC": (eval_docs, {"k": 3}),
-    "WBSC": (eval_docs, {}),
-    "SCSPA": (ensemble, {"n_init": 2}),
-    "SHBGF": (ensemble, {"n_init": 2}),
+    "MMSB": (brands, {}),
+    "CDCGS": (brands, {}),
+    "DMoN": (brands, {}),
+    "NOCD": (brands, {}),
+    "LDA": (docs, {"k": 5, "n_init": 1, "max_iter": 5, "var_max_iter": 5}),
+    "PLSI": (docs, {"k": 5}),
+    "KMART": (docs, {}),
+    "SISC": (docs, {"k": 3}),
+    "WBSC": (docs, {}),
+    "SCSPA": (ensemble, {}),
+    "SHBGF": (ensemble, {}),
     "SMCLA": (ensemble, {}),
 }
 

@@ -178,7 +178,8 @@ def test_documents(spark):
         assert u.shape == (18, 3) and np.allclose(u.sum(1), 1) and purity(u.argmax(1), z) >= 0.9
     for op in (documents.KMART(), documents.WBSC(), documents.SISC(k=3)):
         m = op.fit(docs)
-        assert m.memberships.select("id").distinct().count() == (20 if m.n_clusters else 0)
+        rows_ = {(r["id"], r["k"]) for r in m.memberships.collect()}
+        assert rows_ == {(i, k) for k, c in enumerate(m.extras["clusters"]) for i in c} and len(m.extras["clusters"]) == m.n_clusters
     assert documents.KMART().fit(docs).n_clusters >= 3
     local = documents.Corpus(documents.term_counts(docs), 3)
     spread = documents.Corpus(documents.term_counts(docs), 3, local_terms=0)
@@ -318,3 +319,49 @@ def test_least_of(spark):
     for m in (1, 7, 59, 60):
         assert (h <= prototypes.least_of(p, fn, m)).sum() == m
     assert prototypes.least_of(p, fn, 0) == 0.0
+
+
+def dense_resonance(counts, rho, rate):
+    """Clusters of documents in order, with whole count vectors as prototypes."""
+    words = sorted({w for c in counts for w in c})
+    x = np.array([[c.get(w, 0) for w in words] for c in counts], float)
+    protos, clusters = [], []
+    for i, v in enumerate(x):
+        hit = [k for k, p in enumerate(protos) if np.minimum(v, p).sum() / (v.sum() + 1e-9) >= rho]
+        for k in hit:
+            protos[k] = rate * np.minimum(v, protos[k]) + (1 - rate) * protos[k]
+            clusters[k].add(i)
+        if not hit:
+            protos.append(v)
+            clusters.append({i})
+    return clusters
+
+
+@pytest.mark.parametrize("rho, rate", [(0.5, 1.0), (0.3, 0.6), (0.8, 0.5)])
+def test_resonance_and_merging_against_whole_vectors(spark, rho, rate):
+    r = np.random.default_rng(3)
+    docs = [" ".join(f"w{int(v)}" for v in r.zipf(1.5, 12) if v < 40) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    assert documents.KMART(vigilance=rho, learning_rate=rate).fit(df).extras["clusters"] == dense_resonance([Counter(d.split()) for d in docs], rho, rate)
+
+
+def test_merging_of_alike_clusters_one_by_one():
+    r = np.random.default_rng(4)
+    bits = r.random((40, 128)) < r.random((40, 1)) * 0.4
+    bits[:, 0] = True
+    todo = [(frozenset(np.flatnonzero(b)), {str(i)}) for i, b in enumerate(bits)]
+    got = documents.merge_alike(np.packbits(bits, axis=1).view(np.uint64), [{str(i)} for i in range(40)], 0.33)
+    changed = True
+    while changed:
+        changed, i = False, 0
+        while i < len(todo):
+            d, w = todo[i]
+            rest = []
+            for e, v in todo[i + 1 :]:
+                if d <= e or e <= d or len(d & e) / len(d | e) > 0.33:
+                    d, w, changed = d | e, w | v, True
+                else:
+                    rest.append((e, v))
+            todo[i:] = [(d, w), *rest]
+            i += 1
+    assert [(frozenset(np.flatnonzero(np.unpackbits(b.view(np.uint8)))), w) for b, w in got] == todo
