@@ -26,8 +26,12 @@ def softmax(a: np.ndarray) -> np.ndarray:
 
 
 def ratio(d: np.ndarray, p: float) -> np.ndarray:
-    """Shares in proportion to d ** -p within each row, without overflow."""
-    return softmax(-p * np.log(np.maximum(d, TINY)))
+    """Shares in proportion to d ** -p within each row; the ratios to the least of a row are at most 1, so that nothing overflows."""
+    d = np.maximum(d, TINY)
+    w = d.min(1, keepdims=True) / d
+    if p != 1.0:
+        w **= p
+    return w / w.sum(1, keepdims=True)
 
 
 def logsumexp(a: np.ndarray) -> np.ndarray:

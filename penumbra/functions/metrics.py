@@ -6,13 +6,14 @@ unique in points and labels; rows without a partner do not count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penumbra.operators.base import Points
 from penumbra.functions.membership import sqdist
 
 NAN = float("nan")
+LABELS = 100_000
 
 
 def sq(a: str, b: str):
@@ -102,10 +103,18 @@ def calinski_davies(points: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def silhouette(points: DataFrame, labels: DataFrame, block: int = 4096) -> float:
-    """Mean Euclidean silhouette, exact. Queries are taken in blocks and held against all points, whose distances are summed by cluster."""
+    """Mean Euclidean silhouette, exact. Queries are taken in blocks and held against all points, whose distances are summed by cluster.
+
+    Labels of any type are numbered, up to LABELS of them; points without one do not count.
+    """
     import numpy as np
 
-    lab = labels.select("id", F.dense_rank().over(Window.orderBy("label")).alias("g")) if labels.count() < 100_000 else labels.select("id", F.col("label").cast("int").alias("g"))
+    kind = labels.schema["label"].dataType.simpleString()
+    found = [r[0] for r in labels.select("label").where("label is not null").distinct().orderBy("label").limit(LABELS + 1).collect()]
+    if len(found) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    number = points.sparkSession.createDataFrame([(v, i) for i, v in enumerate(found)], f"label {kind}, g int")
+    lab = labels.join(F.broadcast(number), "label").select("id", "g")
     p = Points(points.select("id", "features").join(lab, "id").select("id", "features", F.col("g").cast("double").alias("g")), ("g",))
     size_of = {r["g"]: r["n"] for r in p.df.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = np.array(sorted(size_of))

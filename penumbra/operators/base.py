@@ -197,6 +197,19 @@ def long_form(spark: SparkSession, ids: np.ndarray, u: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(np.repeat(ids, k).astype(np.int64)), "k": pa.array(np.tile(np.arange(k, dtype=np.int32), n)), "u": pa.array(np.asarray(u, float).ravel())}))
 
 
+class Extras(dict):
+    """What else an operator publishes; what is given as a function is made when it is first asked for."""
+
+    def __init__(self, now: dict[str, Any], later: dict[str, Callable[[], Any]]):
+        super().__init__({**now, **dict.fromkeys(later)})
+        self.later = dict(later)
+
+    def __getitem__(self, name: str) -> Any:
+        if name in self.later:
+            self[name] = self.later.pop(name)()
+        return super().__getitem__(name)
+
+
 @dataclass
 class Model:
     """What a fit gives. memberships: (id, k, u). centers: (k, d) or None. extras: by name, what else the operator publishes.

@@ -372,8 +372,8 @@ class CDCGS(_GraphFit):
 
 def normalised(g: Graph) -> tuple[np.ndarray, np.ndarray]:
     """Edge weights and self weights of the symmetrically normalised adjacency with loops."""
-    inv = 1 / np.sqrt(np.bincount(g.s, minlength=g.n) + 1.0)
-    return inv[g.s] * inv[g.d], inv * inv
+    n = np.bincount(g.s, minlength=g.n) + 1.0
+    return 1 / np.sqrt(n[g.s] * n[g.d]), 1 / n
 
 
 def features_of(nodes: DataFrame, g: Graph) -> np.ndarray:
@@ -442,36 +442,63 @@ def berpo(g: Graph, z: np.ndarray, balance: bool = True) -> float:
 class NOCD(_GraphFit):
     """Overlapping communities by a graph network under a Bernoulli-Poisson model; the best validated weights are kept. Not a partition.
 
-    Inputs are the node features beside the adjacency rows; the first layer is applied to the adjacency as a sparse product.
+    Inputs are the node features beside the adjacency rows; the first layer is applied to the adjacency as a sparse product. hidden_sizes are
+    the widths of the layers before the last (hidden gives one); batch_norm is whether they are brought to one scale over all nodes.
     """
 
-    PARAMS = {"k": 3, "hidden": 128, "weight_decay": 1e-2, "dropout": 0.5, "lr": 1e-3, "max_epochs": 500, "balance_loss": True, "stochastic_loss": True, "batch_size": 20000, "patience": 10, "seed": 0}
+    PARAMS = {
+        "k": 3, "hidden": 128, "hidden_sizes": None, "batch_norm": True, "weight_decay": 1e-2, "dropout": 0.5, "lr": 1e-3, "max_epochs": 500, "balance_loss": True, "stochastic_loss": True,
+        "batch_size": 20000, "patience": 10, "seed": 0,
+    }
     CONSTRAINED = False
 
+    def network(self, g: Graph, x: np.ndarray, rng: np.random.Generator):
+        """(parameters, forward, backward) of the layers. forward takes what is kept of each hidden layer and gives (output, what backward needs)."""
+        sizes = [*(self.hidden_sizes or [self.hidden]), self.k]
+        we, ws = normalised(g)
+        prop = lambda a: g.sum(a, we) + ws[:, None] * a
+        glorot = lambda a, b: rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b))
+        inv, ones = 1 / np.sqrt(np.bincount(g.s, minlength=g.n)).clip(1), np.ones_like(g.w)
+        par = {"wx": glorot(max(1, x.shape[1]), sizes[0])[: x.shape[1]], "wa": glorot(g.n, sizes[0]), "b0": np.zeros(sizes[0])}
+        for i, (m, n) in enumerate(zip(sizes, sizes[1:]), 1):
+            par |= {f"w{i}": glorot(m, n), f"b{i}": np.zeros(n)}
+
+        def forward(keep: list):
+            seen, out = [], prop(x @ par["wx"] + inv[:, None] * g.sum(par["wa"], ones)) + par["b0"]
+            for i in range(1, len(sizes)):
+                scale = out.std(0) + 1e-5 if self.batch_norm else 1.0
+                norm = (out - out.mean(0)) / scale if self.batch_norm else out
+                below = prop(np.maximum(norm, 0) * keep[i - 1])
+                seen.append((norm, scale, below))
+                out = below @ par[f"w{i}"] + par[f"b{i}"]
+            return out, seen
+
+        def backward(grad: np.ndarray, seen: list, keep: list) -> dict[str, np.ndarray]:
+            out = {}
+            for i in range(len(sizes) - 1, 0, -1):
+                norm, scale, below = seen[i - 1]
+                out |= {f"w{i}": below.T @ grad, f"b{i}": grad.sum(0)}
+                grad = prop(grad @ par[f"w{i}"].T) * keep[i - 1] * (norm > 0)
+                if self.batch_norm:
+                    spread = np.maximum(scale - 1e-5, 1e-12)
+                    grad = (grad - grad.mean(0) - norm * (grad * norm).mean(0) * scale / spread) / scale
+            pulled = prop(grad)
+            return out | {"b0": grad.sum(0), "wa": g.sum(inv[:, None] * pulled, ones), "wx": x.T @ pulled}
+
+        return par, forward, backward, sizes
+
     def fit(self, edges, nodes=None):
         g = self.graph(edges, nodes)
         x = features_of(nodes, g) if nodes is not None and "features" in nodes.columns else np.zeros((g.n, 0))
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         rng = np.random.default_rng(self.seed)
-        we, ws = normalised(g)
-        prop = lambda a: g.sum(a, we) + ws[:, None] * a
-        glorot = lambda a, b: rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b))
-        inv = 1 / np.sqrt(np.bincount(g.s, minlength=g.n)).clip(1)
-        par = {"wx": glorot(max(1, x.shape[1]), self.hidden)[: x.shape[1]], "wa": glorot(g.n, self.hidden), "b1": np.zeros(self.hidden), "w2": glorot(self.hidden, self.k), "b2": np.zeros(self.k)}
-        adam, best, waited, curve = Adam(self.lr), (np.inf, None), 0, []
-
-        def forward(keep):
-            z = prop(x @ par["wx"] + inv[:, None] * g.sum(par["wa"], np.ones_like(g.w))) + par["b1"]
-            mean, std = z.mean(0), z.std(0) + 1e-5
-            norm = (z - mean) / std
-            h = np.maximum(norm, 0) * keep
-            ph = prop(h)
-            out = ph @ par["w2"] + par["b2"]
-            return norm, std, ph, out
-
+        par, forward, backward, sizes = self.network(g, x, rng)
+        whole = [1.0] * (len(sizes) - 1)
+        code = np.sort(g.s * g.n + g.d)
+        adam, best, waited, curve = Adam(self.lr, self.weight_decay), (np.inf, None), 0, []
         for epoch in range(self.max_epochs):
             if epoch % 25 == 0:
-                u = np.maximum(forward(1.0)[3], 0)
+                u = np.maximum(forward(whole)[0], 0)
                 val = berpo(g, u, self.balance_loss)
                 if val < best[0]:
                     best, waited = (val, u), 0
@@ -479,15 +506,16 @@ class NOCD(_GraphFit):
                     waited += 1
                     if waited > self.patience:
                         break
-            keep = (rng.random((g.n, self.hidden)) >= self.dropout) / (1 - self.dropout)
-            norm, std, ph, out = forward(keep)
+            keep = [(rng.random((g.n, n)) >= self.dropout) / (1 - self.dropout) for n in sizes[:-1]]
+            out, seen = forward(keep)
             u = np.maximum(out, 0)
             # a batch of edges and as many pairs that are none; or all
             m = min(self.batch_size, len(g.s)) if self.stochastic_loss else len(g.s)
             pick = rng.choice(len(g.s), m, replace=False) if m < len(g.s) else np.arange(len(g.s))
             s, d = g.s[pick], g.d[pick]
             a, b = rng.integers(0, g.n, m), rng.integers(0, g.n, m)
-            free = (a != b) & ~np.isin(a * g.n + b, g.s * g.n + g.d)
+            at = np.minimum(np.searchsorted(code, a * g.n + b), max(len(code) - 1, 0))
+            free = (a != b) & (code[at] != a * g.n + b) if len(code) else a != b
             a, b = a[free], b[free]
             eps = -np.log(1 - 1 / max(2, g.n))
             e = np.exp(-eps - (u[s] * u[d]).sum(1))
@@ -496,16 +524,10 @@ class NOCD(_GraphFit):
             np.add.at(gu, d, ce[:, None] * u[s])
             np.add.at(gu, a, cn * u[b])
             np.add.at(gu, b, cn * u[a])
-            d2 = gu * (out > 0)
-            dn = prop(d2 @ par["w2"].T) * keep * (norm > 0)
-            dz = (dn - dn.mean(0) - norm * (dn * norm).mean(0)) / std
-            pz = prop(dz)
-            grads = {"w2": ph.T @ d2, "b2": d2.sum(0), "b1": dz.sum(0), "wa": g.sum(inv[:, None] * pz, np.ones_like(g.w)), "wx": x.T @ pz}
-            adam.decay = self.weight_decay
-            adam.step(par, grads)
+            adam.step(par, backward(gu * (out > 0), seen, keep))
             curve.append(berpo(g, u, self.balance_loss))
         val, u = best
-        last = np.maximum(forward(1.0)[3], 0)
+        last = np.maximum(forward(whole)[0], 0)
         u = last if berpo(g, last, self.balance_loss) < val else u
         span = u.max() - u.min()
         return self.result(g, (u - u.min()) / span if span > 0 else u, history=curve, n_iter=len(curve), extras={"loss": min(val, berpo(g, u, self.balance_loss))})

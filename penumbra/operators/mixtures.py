@@ -11,7 +11,7 @@ from penumbra.operators.prototypes import EPS, floored, moments
 
 def second(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Weighted sums of outer products, (k, d, d)."""
-    return np.einsum("nk,nd,ne->kde", w, x, x, optimize=True)
+    return np.stack([(x * v[:, None]).T @ x for v in w.T])
 
 
 def covariances(s0, s1, s2, c, floor=0.0):

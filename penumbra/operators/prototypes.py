@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 from penumbra.functions.membership import TINY, dirichlet, dist, ratio, softmax, sqdist, uniform
-from penumbra.operators.base import Estimator, Model, Points, kmeanspp, random_rows, register
+from penumbra.operators.base import Estimator, Extras, Model, Points, kmeanspp, random_rows, register
 from penumbra.session import forget
 
 EPS = 1e-12
@@ -80,24 +80,22 @@ class PCM(Estimator):
         n, own, every = p.reduce(spread)
         eta = np.maximum(self.alpha * (np.where(n > 0, own / np.maximum(n, 1), every / p.n) + EPS), EPS)
         old, history = np.inf, []
-        for _ in range(self.max_iter):
 
-            def step(ids, x, c=c, eta=eta):
-                w = self.t(x, c, eta) ** self.m
-                return (*moments(w, x), w.T @ (x * x).sum(1))
+        def step(ids, x, c, eta):
+            """Moments under the typicalities of c and eta, and the objective of both."""
+            d = sqdist(x, c)
+            t = np.clip(1 / (1 + ((d + EPS) / (eta[None, :] + EPS)) ** (1 / (self.m - 1))), EPS, 1.0)
+            w = t**self.m
+            return (*moments(w, x), w.T @ (x * x).sum(1), (w * d).sum() + (eta * (1 - t) ** self.m).sum())
 
-            s0, s1, s2 = p.reduce(step)
+        s0, s1, s2, obj = p.reduce(lambda ids, x: step(ids, x, c, eta))
+        for _ in range(self.max_iter):
             new = s1 / (s0[:, None] + EPS)
             d = np.maximum(s2 - 2 * (new * s1).sum(1) + s0 * (new * new).sum(1), 0.0)
             eta = np.maximum(self.alpha * (d / (s0 + EPS) + EPS), EPS)
             c = new
-
-            def value(ids, x, c=c, eta=eta):
-                t = self.t(x, c, eta)
-                return ((t**self.m * sqdist(x, c)).sum() + (eta * (1 - t) ** self.m).sum(),)
-
-            obj = float(p.reduce(value)[0])
-            history.append(obj)
+            s0, s1, s2, obj = p.reduce(lambda ids, x, c=c, eta=eta: step(ids, x, c, eta))
+            history.append(float(obj))
             if abs(old - obj) <= self.tol:
                 break
             old = obj
@@ -135,7 +133,7 @@ class PFCM(Estimator):
             c = s1 / s0[:, None]
             if np.sqrt(((c - before) ** 2).sum(1)).max() < self.tol:
                 break
-        return self.model(p, lambda ids, x: self.u(x, before), self.k, centers=c, n_iter=steps, extras={"gamma": gamma, "typicalities": p.assign(lambda ids, x: self.t(x, before, gamma))}, rule=lambda x: self.u(x, c))
+        return self.model(p, lambda ids, x: self.u(x, before), self.k, centers=c, n_iter=steps, extras=Extras({"gamma": gamma}, {"typicalities": lambda: p.assign(lambda ids, x: self.t(x, before, gamma))}), rule=lambda x: self.u(x, c))
 
 
 class _Alternating(Estimator):
@@ -272,7 +270,7 @@ class ECM(Estimator):
             if np.linalg.norm(new - c) < self.tol:
                 break
             c = new
-        return self.model(p, lambda ids, x: self.u(x, gave), self.k, centers=c, n_iter=steps, extras={"mass": p.assign(lambda ids, x: self.mass(x, gave))})
+        return self.model(p, lambda ids, x: self.u(x, gave), self.k, centers=c, n_iter=steps, extras=Extras({}, {"mass": lambda: p.assign(lambda ids, x: self.mass(x, gave))}))
 
 
 @register
@@ -321,6 +319,8 @@ class KFCM(Estimator):
         given = self.init is not None and not isinstance(self.init, str)
         c, steps = self.start(p, "kmeans++"), 0
         now = (lambda ids, x, c=c: self.u(x, c)) if given else (lambda ids, x: uniform(ids, self.k, self.seed) / uniform(ids, self.k, self.seed).sum(1, keepdims=True))
+        if p.local is not None:
+            return self._held(p, c, now)
         for _ in range(self.max_iter):
             s0, s1 = p.reduce(lambda ids, x, c=c, now=now: moments(now(ids, x) ** self.m * self.kernel(x, c), x))
             c, steps = np.where((s0 > 1e-9)[:, None], s1 / np.maximum(s0, 1e-300)[:, None], c), steps + 1
@@ -331,11 +331,25 @@ class KFCM(Estimator):
             now = new
         return self.model(p, now, self.k, centers=c, n_iter=steps)
 
+    def _held(self, p: Points, c: np.ndarray, now) -> Model:
+        """The same steps with the memberships held, as the points are."""
+        ids, x, _ = p.local
+        u, steps = now(ids, x), 0
+        kern = self.kernel(x, c)
+        for _ in range(self.max_iter):
+            s0, s1 = moments(u**self.m * kern, x)
+            c, steps = np.where((s0 > 1e-9)[:, None], s1 / np.maximum(s0, 1e-300)[:, None], c), steps + 1
+            kern = self.kernel(x, c)
+            d = 1 - kern
+            new = ratio(np.where(d == 0, np.finfo(float).eps, d), 1 / (self.m - 1))
+            moved, u = np.abs(new - u).max(), new
+            if moved < self.epsilon:
+                break
+        return self.model(p, lambda ids, x: self.u(x, c), self.k, centers=c, n_iter=steps)
+
 
 def _largest_move(p: Points, a, b) -> float:
     """Largest change of a membership; a maximum, so it goes by the row of largest change and not by sums."""
-    if p.local is not None:
-        return float(np.abs(b(*p.local[:2]) - a(*p.local[:2])).max())
     ids, x = p.first(lambda ids, x: -np.abs(b(ids, x) - a(ids, x)).max(1), 1)
     return float(np.abs(b(ids, x) - a(ids, x)).max())
 
@@ -379,8 +393,8 @@ class RoughKMeans(Estimator):
             moved, gave, c, steps = np.linalg.norm(new - c), c, new, steps + 1
             if moved < self.tol:
                 break
-        sets = {name: p.assign(lambda ids, x, i=i: self.sets(x, gave)[i]) for i, name in enumerate(("lower", "upper"))}
-        return self.model(p, lambda ids, x: self.u(x, gave), self.k, centers=c, n_iter=steps, extras=sets)
+        sets = {name: lambda i=i: p.assign(lambda ids, x: self.sets(x, gave)[i]) for i, name in enumerate(("lower", "upper"))}
+        return self.model(p, lambda ids, x: self.u(x, gave), self.k, centers=c, n_iter=steps, extras=Extras({}, sets))
 
 
 @register
@@ -503,7 +517,7 @@ class SFCMEP(Estimator):
                 before, kept, since = kept, kept.attach(lambda ids, x, y, state: now(x, state, at), replace=True), []
                 forget(before.df)
         at = tuple(since)
-        return self.model(kept, lambda ids, x, y, state: now(x, state, at), k, centers=c, n_iter=steps, extras={"prior": p.assign(prior)})
+        return self.model(kept, lambda ids, x, y, state: now(x, state, at), k, centers=c, n_iter=steps, extras=Extras({}, {"prior": lambda: p.assign(prior)}))
 
 
 def least_of(p: Points, fn, m: int) -> float:

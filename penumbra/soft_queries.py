@@ -430,7 +430,7 @@ n{i + 1} as materialized (select q.k, any_value(q.w) as w, {cols(4, "any_value(q
 @query(
     sql=f"""{base()}, n0 as materialized (select k, 1 / 3.0 as w, {cols(4, "c# as m#")}, {cols(4, "v#")} from c0, (select {cols(4, "var_samp(x#) + 1e-6 as v#")} from p)), """
     + ", ".join(_gmm_step(i) for i in range(8))
-    + f""" select cast(k as integer) as k, round(w, 5) as w, {cols(4, "round(m#, 5) + 0.0 as c#")}, {cols(4, "round(v#, 5) as v#")} from n8"""
+    + f""" select cast(k as integer) as k, round(round(w, 6), 5) as w, {cols(4, "round(round(m#, 6), 5) + 0.0 as c#")}, {cols(4, "round(round(v#, 6), 5) as v#")} from n8"""
 )
 def gmm_diag_8it(spark, sf):
     p, c = points(spark, sf)
@@ -737,11 +737,11 @@ def dmon_loss(spark, sf):
     return rows(spark, [(round(graphs.DMoN(k=3).loss(g, np.eye(3)[g.ids % 3])[0], 6),)], "loss double")
 
 
-@query(sql=_GRAPH + ", d as (select src as node, count(*) + 1.0 as d from e group by 1) select src, dst, round(1 / sqrt(a.d * b.d), 6) as w from e join d a on a.node = src join d b on b.node = dst")
+@query(sql=_GRAPH + ", d as (select src as node, count(*) + 1.0 as d from e group by 1) select src, dst, round(1 / sqrt(a.d * b.d) + 1e-9, 6) as w from e join d a on a.node = src join d b on b.node = dst")
 def nocd_adj_norm(spark, sf):
     g = graphs.Graph(graph(spark, sf))
     w, _ = graphs.normalised(g)
-    return spark.createDataFrame(pd.DataFrame({"src": g.ids[g.s], "dst": g.ids[g.d], "w": np.round(w, 6)}), "src bigint, dst bigint, w double")
+    return spark.createDataFrame(pd.DataFrame({"src": g.ids[g.s], "dst": g.ids[g.d], "w": np.round(w + 1e-9, 6)}), "src bigint, dst bigint, w double")
 
 
 @query(sql=_CRISP + " select round(-q, 6) as loss from q")
@@ -923,12 +923,12 @@ def _plsi_start(terms, ids):
     sql=tf_sql(False).replace("string_split_regex(lower(text), '\\s+')", "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')") + """, z as (select * from (values (0), (1)) t(z)), pd as (select doc_id, z, (1 + (doc_id * (z + 1)) % 7) / 7.0 as p from (select distinct doc_id from tf), z),
 pw as (select term, z, (1 + (length(term) * (z + 2)) % 5) / 5.0 as p from (select distinct term from tf), z),
 y as (select tf.doc_id, tf.term, cnt, pd.z, 0.5 * pd.p * pw.p as w from tf join pd using (doc_id) join pw on pw.term = tf.term and pw.z = pd.z), r as materialized (select *, cnt * w / sum(w) over (partition by doc_id, term) as r from y),
-d as (select doc_id, z, sum(r) as n from r group by 1, 2) select doc_id, cast(z as integer) as k, round(n / sum(n) over (partition by doc_id), 6) as u from d"""
+d as (select doc_id, z, sum(r) as n from r group by 1, 2) select doc_id, cast(z as integer) as k, round(n / sum(n) over (partition by doc_id) + 1e-9, 6) as u from d"""
 )
 def plsi_memberships(spark, sf):
     """Shares of topics after one step of the operator from fixed probabilities."""
     m = documents.PLSI(k=2, max_iter=1, tempered=False, init=_plsi_start).fit(term_table(spark, sf))
-    return m.memberships.select(F.col("id").alias("doc_id"), "k", F.round("u", 6).alias("u"))
+    return m.memberships.select(F.col("id").alias("doc_id"), "k", F.round(F.col("u") + 1e-9, 6).alias("u"))
 
 
 def term_table(spark, sf) -> DataFrame:

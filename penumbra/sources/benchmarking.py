@@ -44,6 +44,23 @@ class Benchmark:
     def evaluate(self, model: Estimator, df: DataFrame, truth: DataFrame | None = None) -> dict[str, float]:
         raise NotImplementedError
 
+    @staticmethod
+    def validate_result(result: Any) -> dict[str, float]:
+        """The result, if it is a dict of names and numbers; else an error."""
+        if not isinstance(result, dict) or not result:
+            raise TypeError(f"a benchmark gives a dict of numbers, not {type(result).__name__}")
+        for name, value in result.items():
+            if not isinstance(name, str):
+                raise TypeError(f"{name!r} is no name")
+            if isinstance(value, bool) or not isinstance(value, (int, float)):
+                raise TypeError(f"{name} is no number: {value!r}")
+        return result
+
+    @staticmethod
+    def to_dataframe(results: dict[str, dict[str, float]]) -> pd.DataFrame:
+        """One row for each model, its name in front."""
+        return pd.DataFrame([{"model": name, **row} for name, row in results.items()])
+
 
 def _run(model: Estimator, df: DataFrame) -> Model:
     m = model.fit(df)
@@ -139,7 +156,7 @@ class ClusteringBenchmark:
             row: dict[str, Any] = {"model": model_name(model), "error": None}
             for b in self.benchmarks:
                 try:
-                    row.update(b.evaluate(model, df, truth))
+                    row.update(b.validate_result(b.evaluate(model, df, truth)))
                 except Exception as e:  # noqa: BLE001
                     row["error"] = f"{type(e).__name__}: {str(e)[:200]}"
             rows.append(row)
@@ -158,6 +175,32 @@ class BenchmarkReport:
         cell = lambda v: f"{v:.6g}" if isinstance(v, float) else str(v)
         return "\n".join(["| " + " | ".join(cols) + " |", "|" + "---|" * len(cols), *("| " + " | ".join(cell(v) for v in r) + " |" for r in self.rows.itertuples(index=False))]) + "\n"
 
+    def to_json(self, path: str | None = None) -> str:
+        """A JSON list with an object for each model, NaN as null; also written to `path`."""
+        text = self.rows.to_json(orient="records", indent=2)
+        if path:
+            with open(path, "w") as f:
+                f.write(text)
+        return text
+
+    def to_latex(self, path: str | None = None, caption: str | None = None) -> str:
+        """A booktabs table; numbers with four significant digits, missing ones as a dash, characters that LaTeX reads as commands escaped."""
+        special = {**{c: "\\" + c for c in "&%$#_{}"}, "\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+
+        def cell(v: Any) -> str:
+            if v is None or (isinstance(v, float) and pd.isna(v)):
+                return "--"
+            return f"{v:.4g}" if isinstance(v, float) else "".join(special.get(c, c) for c in str(v))
+
+        cols = list(self.rows.columns)
+        line = lambda row: " & ".join(cell(v) for v in row) + r" \\"
+        head = [r"\begin{table}", r"\centering", *([r"\caption{" + cell(caption) + "}"] if caption else []), r"\begin{tabular}{l" + "r" * (len(cols) - 1) + "}", r"\toprule", line(cols), r"\midrule"]
+        text = "\n".join([*head, *(line(r) for r in self.rows.itertuples(index=False)), r"\bottomrule", r"\end{tabular}", r"\end{table}"]) + "\n"
+        if path:
+            with open(path, "w") as f:
+                f.write(text)
+        return text
+
     def summary(self) -> pd.DataFrame:
         return self.rows.describe()
 

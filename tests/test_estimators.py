@@ -365,3 +365,23 @@ def test_merging_of_alike_clusters_one_by_one():
             todo[i:] = [(d, w), *rest]
             i += 1
     assert [(frozenset(np.flatnonzero(np.unpackbits(b.view(np.uint8)))), w) for b, w in got] == todo
+
+
+@pytest.mark.parametrize("sizes, norm", [([8], True), ([8, 5], True), ([8, 5], False)])
+def test_layers_of_the_graph_network_by_finite_differences(spark, sizes, norm):
+    edges, nodes, z = planted(spark, 30)
+    g, r = graphs.Graph(edges), np.random.default_rng(2)
+    op = graphs.NOCD(k=3, hidden_sizes=sizes, batch_norm=norm)
+    x = graphs.features_of(nodes, g)
+    par, forward, backward, _ = op.network(g, x, r)
+    keep = [(r.random((g.n, n)) > 0.3) * 1.4 for n in sizes]
+    out, seen = forward(keep)
+    to = r.normal(size=out.shape)
+    grads = backward(to, seen, keep)
+    assert set(grads) == set(par)
+    for name, value in par.items():
+        step = r.normal(size=value.shape)
+        with_step = lambda h: (par.__setitem__(name, value + h * step), (forward(keep)[0] * to).sum(), par.__setitem__(name, value))[1]  # noqa: E731, B023
+        slope = (with_step(1e-6) - with_step(-1e-6)) / 2e-6
+        assert abs(slope - (grads[name] * step).sum()) < 1e-3 * max(1, abs(slope)), name
+    assert np.isfinite(u_of(graphs.NOCD(k=3, hidden_sizes=sizes, batch_norm=norm, max_epochs=60).fit(edges, nodes))).all()

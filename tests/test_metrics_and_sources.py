@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 
@@ -33,6 +35,8 @@ def test_silhouette_by_brute_force(spark):
     lab = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "id bigint, label int")
     assert abs(metrics.silhouette(p, lab, block=7) - np.mean(s)) < 1e-9
     assert np.isnan(metrics.silhouette(p, lab.selectExpr("id", "0 as label")))
+    text = lab.selectExpr("id", "concat('c', label) as label").unionByName(spark.createDataFrame([(999, None)], "id bigint, label string"))
+    assert abs(metrics.silhouette(p, text) - np.mean(s)) < 1e-9
 
 
 def test_datasets(spark):
@@ -50,5 +54,12 @@ def test_benchmark(spark, tmp_path):
     rep = run.run(d, d.select("id", "label"))
     assert rep.rows["error"].isna().tolist() == [True, True, False] and rep.rows["ari"][0] > 0.3
     rep.to_csv(str(tmp_path / "r.csv"))
+    assert [r["model"] for r in json.loads(rep.to_json(str(tmp_path / "r.json")))] == ["FCM", "GMM", "FCM"] and (tmp_path / "r.json").exists()
+    tex = rep.to_latex(str(tmp_path / "r.tex"), caption="Fits & times")
+    assert tex.count(r"\\") == 4 and r"fit\_time\_mean" in tex and r"Fits \& times" in tex and "--" in tex
+    for bad in (None, {}, {1: 2.0}, {"a": "x"}, {"a": True}):
+        with pytest.raises(TypeError):
+            benchmarking.Benchmark.validate_result(bad)
+    assert benchmarking.Benchmark.to_dataframe({"a": {"t": 1.0}, "b": {"t": 2.0}}).values.tolist() == [["a", 1.0], ["b", 2.0]]
     assert rep.to_markdown().count("\n") == 5 and rep.leaderboard("ari").shape == (3, 2)
     assert "runtime_30" in benchmarking.ScalabilityBenchmark((30, 5000)).evaluate(FCM(k=2), d)
