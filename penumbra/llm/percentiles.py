@@ -8,6 +8,7 @@ Summaries are tables of counts: those of separate partitions or days are put tog
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -50,5 +51,7 @@ def percentiles(summary: DataFrame, group: list[str], qs: dict[str, float]) -> D
     """
     order = [F.col(VALUE)]
     ran = running_sum(range_blocks(summary, group, order), group, order, COUNT, "_cum", "_all")
-    first = [F.min(F.when(F.col("_cum") >= F.greatest(F.ceil(F.lit(q) * F.col("_all")), F.lit(1)), F.col(VALUE))).alias(name) for name, q in qs.items()]
+    # shares as they are written, in decimals: 0.07 of 100 rows are 7, which in doubles come out as more
+    rank = lambda q: F.expr(f"greatest(cast(ceil({Decimal(repr(float(q))):f}BD * cast(_all as decimal(18, 0))) as bigint), 1)")
+    first = [F.min(F.when(F.col("_cum") >= rank(q), F.col(VALUE))).alias(name) for name, q in qs.items()]
     return ran.groupBy(*group).agg(F.max("_all").alias("total"), *first)

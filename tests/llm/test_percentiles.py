@@ -47,3 +47,10 @@ def test_nothing_to_count(spark):
     _, df = make(spark, 10)
     assert pc.percentiles(pc.summarise(df.limit(0), ["g"], "v"), ["g"], QS).count() == 0
     assert pc.percentiles(pc.summarise(df.selectExpr("g", "double(null) v"), ["g"], "v"), ["g"], QS).count() == 0
+
+
+def test_ranks_of_shares_that_doubles_do_not_hold(spark):
+    df = spark.range(1, 101).selectExpr("1 as g", "double(id) as v")
+    qs = {f"p{q}": q / 100 for q in (0, 7, 14, 28, 55, 56, 57, 100)}
+    r = pc.percentiles(pc.summarise(df, ["g"], "v"), ["g"], qs).first()
+    assert {n: r[n] for n in qs} == {f"p{q}": float(max(q, 1)) for q in (0, 7, 14, 28, 55, 56, 57, 100)}
