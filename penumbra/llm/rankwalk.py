@@ -15,6 +15,7 @@ Groups of up to LOCAL items are walked within one task each; larger ones by the
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ from penumbra.plans.ordered import range_blocks, running_sum
 from penumbra.session import forget, materialize
 
 LOCAL = 200_000
+BATCH = 1_000_000  # numbers of the groups that are walked together
 DAMPING = 0.85
 TOLERANCE = 1e-11  # a walk has converged when its shares move by less, summed up; in a task and spread alike
 
@@ -35,31 +37,71 @@ def most_steps(damping: float) -> int:
     return 2 + math.ceil(math.log(TOLERANCE / 2) / math.log(damping)) if damping > 0 else 2
 
 
-def stationary(worse: np.ndarray, damping: float = DAMPING) -> np.ndarray:
-    """Stationary shares of n items; worse is (n, scores), where a larger number is a worse rank and equal numbers are ties."""
-    n, m = worse.shape
-    order = np.argsort(worse, axis=0, kind="stable")
-    v = np.take_along_axis(worse, order, axis=0)
-    above = np.column_stack([np.searchsorted(v[:, s], v[:, s], "left") for s in range(m)])  # items strictly better
-    end = np.column_stack([np.searchsorted(v[:, s], v[:, s], "right") for s in range(m)])  # where the strictly worse ones begin
-    top = above == 0
-    weight = np.where(top, 0.0, 1.0 / np.maximum(above, 1))
-    flat = order.ravel()
-    below = np.zeros((n + 1, m))
-    pi = np.full(n, 1.0 / n)
+def stationary(worse: np.ndarray, sizes: np.ndarray, damping: float = DAMPING) -> np.ndarray:
+    """Stationary shares of the items of several groups at once, (groups, items).
+
+    worse is (groups, items, scores), where a larger number is a worse rank and equal numbers are ties; of group g the first sizes[g] items count.
+    A group that has converged rests, so that its shares do not depend on what it is walked with.
+    """
+    groups, n, m = worse.shape
+    real = np.arange(n)[None, :] < sizes[:, None]
+    worse = np.where(real[:, :, None], worse, np.inf)
+    order = np.argsort(worse, axis=1, kind="stable")
+    back = np.argsort(order, axis=1, kind="stable")
+    v = np.take_along_axis(worse, order, axis=1)
+    place = np.arange(n)[None, :, None]
+    new_value = np.concatenate([np.ones((groups, 1, m), bool), v[:, 1:] != v[:, :-1]], axis=1)
+    above = np.maximum.accumulate(np.where(new_value, place, 0), axis=1)  # items strictly better
+    last = np.concatenate([new_value[:, 1:], np.ones((groups, 1, m), bool)], axis=1)
+    end = np.minimum.accumulate(np.where(last, place + 1, n)[:, ::-1], axis=1)[:, ::-1]  # where the strictly worse ones begin
+    counts = real[:, :, None]  # padding is last in every order
+    top = (above == 0) & counts
+    weight = np.where(counts & ~top, 1.0 / np.maximum(above, 1), 0.0)
+    size = sizes[:, None].astype(float)
+    pi = real / size
+    below, active = np.zeros((groups, n + 1, m)), np.arange(groups)
     for _ in range(most_steps(damping)):
-        p = pi[order]
-        below[:n] = np.cumsum((p * weight)[::-1], axis=0)[::-1]  # suffix sums
-        got = np.bincount(flat, np.take_along_axis(below, end, axis=0).ravel(), n) + (p * top).sum() / n
-        new = (1 - damping) / n + damping * got / m
-        new /= new.sum()
-        done = np.abs(new - pi).sum() < TOLERANCE
-        pi = new
-        if done:
+        p = np.take_along_axis(np.broadcast_to(pi[active][:, :, None], (len(active), n, m)), order[active], axis=1)
+        suffix = below[: len(active)]
+        suffix[:, :n] = np.cumsum((p * weight[active])[:, ::-1], axis=1)[:, ::-1]
+        got = np.take_along_axis(np.take_along_axis(suffix, end[active], axis=1), back[active], axis=1).sum(2)
+        new = (1 - damping) / size[active] + damping * (got + (p * top[active]).sum((1, 2))[:, None] / size[active]) / m
+        new = np.where(real[active], new, 0.0)
+        new /= new.sum(1, keepdims=True)
+        moved = np.abs(new - pi[active]).sum(1)
+        pi[active] = new
+        active = active[moved >= TOLERANCE]
+        if not len(active):
             return pi
     raise ArithmeticError("the walk did not converge")
 
 
+def _ranked(pdf: pd.DataFrame, group: str, item: str, m: int, damping: float) -> pd.DataFrame:
+    """Shares and positions of whole groups, those of about one size walked together."""
+    w = pdf[[f"_w{i}" for i in range(m)]].to_numpy(float)
+    # dense ranks; NaN sorts last, after infinity, and is one rank
+    ranks = np.column_stack([np.unique(w[:, i], return_inverse=True)[1] for i in range(m)]).astype(float)
+    number = pd.factorize(pdf[group])[0]
+    rows = np.argsort(number, kind="stable")
+    sizes = np.bincount(number)
+    starts = np.append(0, np.cumsum(sizes)[:-1])
+    share, by_size, at = np.empty(len(pdf)), np.argsort(sizes, kind="stable"), 0
+    while at < len(by_size):
+        # the largest of a batch comes last: as many groups as keep it within BATCH numbers
+        many = np.arange(1, len(by_size) - at + 1) * sizes[by_size[at:]] * m <= BATCH
+        some = by_size[at : at + max(1, int(many.argmin()) if not many.all() else len(many))]
+        n = sizes[some]
+        col = np.arange(n.max())
+        real = col[None, :] < n[:, None]
+        take = rows[np.where(real, starts[some][:, None] + col, starts[some][:, None])]
+        x = ranks[take]
+        share[take[real]] = np.round(stationary(x, n, damping)[real] / stationary(-x, n, damping)[real], 9)
+        at += len(some)
+    out = pd.DataFrame({group: pdf[group].to_numpy(), item: pdf[item].to_numpy(), "share": share, "_g": number}).sort_values(["_g", "share", item], ascending=[True, False, True])
+    out["position"] = out.groupby("_g").cumcount() + 1
+    return out.drop(columns="_g")
+
+
 def _worse_number(df: DataFrame, scores: dict[str, int]) -> DataFrame:
     """Columns _w0.. where a larger number is worse; null and NaN are worse than all, and equal."""
     cols = []
@@ -89,19 +131,24 @@ def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, int], damp
     types = {f.name: f.dataType for f in one.schema.fields}
     schema = T.StructType([T.StructField(group, types[group]), T.StructField(item, types[item]), T.StructField("share", T.DoubleType()), T.StructField("position", T.LongType())])
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = pdf[[f"_w{i}" for i in range(m)]].to_numpy(float)
-        # dense ranks; NaN sorts last, after infinity, and is one rank
-        ranks = np.column_stack([np.unique(w[:, i], return_inverse=True)[1] for i in range(m)]).astype(float)
-        share = np.round(stationary(ranks, damping) / stationary(-ranks, damping), 9)
-        out = pd.DataFrame({group: pdf[group], item: pdf[item], "share": share}).sort_values(["share", item], ascending=[False, True])
-        out["position"] = np.arange(1, len(out) + 1)
-        return out
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []  # of a group that may go on
+        for b in batches:
+            if not len(b):
+                continue
+            go_on = (b[group] == b[group].iloc[-1]).to_numpy()
+            if go_on.all() and (not rest or rest[-1][group].iloc[-1] == b[group].iloc[-1]):
+                rest.append(b)
+                continue
+            yield _ranked(pd.concat([*rest, b[~go_on]]), group, item, m, damping)
+            rest = [b[go_on]]
+        if rest:
+            yield _ranked(pd.concat(rest), group, item, m, damping)
 
     small = one.join(big, group, "left_anti") if some else one
     # few bytes but much work: as many tasks as the session has partitions, which adaptive execution must not merge
-    small = small.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group)
-    res = small.groupBy(group).applyInPandas(walk, schema)
+    small = small.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), group).sortWithinPartitions(group)
+    res = small.mapInPandas(walk, schema)
     if some:
         res = res.unionByName(_distributed(materialize(one.join(big, group, "left_semi"), "walk"), group, item, m, damping))
     return res

@@ -57,3 +57,19 @@ def test_ties_and_empty(spark):
     df = spark.createDataFrame([(1, n, 5.0, 5.0, 5.0, "") for n in ("b", "a", "c")], SCHEMA)
     assert [r["a"] for r in rankwalk.rank_walk(df, "g", "a", SCORES).orderBy("position").collect()] == ["a", "b", "c"]
     assert rankwalk.rank_walk(df.limit(0), "g", "a", SCORES).count() == 0
+
+
+def test_groups_walked_together_rank_as_alone(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(g, f"i{i}", *[float(v) for v in r.integers(0, 6, 3)], "") for g in range(40) for i in range(int(r.integers(1, 30)))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(rankwalk, "BATCH", 300)
+    few = {(x["g"], x["a"]): (x["share"], x["position"]) for x in rankwalk.rank_walk(df, "g", "a", SCORES).collect()}
+    monkeypatch.setattr(rankwalk, "BATCH", 1_000_000)
+    all_ = {(x["g"], x["a"]): (x["share"], x["position"]) for x in rankwalk.rank_walk(df, "g", "a", SCORES).collect()}
+    assert few == all_ and len(all_) == len(rows)
+    for g in range(40):
+        mine = [q for q in rows if q[0] == g]
+        w = np.array([[-s * v for v, s in zip(q[2:5], SCORES.values())] for q in mine])
+        want = dense(w) / dense(-w)
+        assert np.allclose([all_[q[0], q[1]][0] for q in mine], want, atol=1e-6)
