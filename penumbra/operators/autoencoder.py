@@ -38,14 +38,76 @@ class Net:
         return out, grad
 
 
+def convolve(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Images (n, channels in, h, w) under kernels (channels out, channels in, k, k), k odd; zeros around, so that the size stays."""
+    return np.tensordot(_windows(x, w.shape[2]), w, axes=([1, 4, 5], [1, 2, 3])).transpose(0, 3, 1, 2)
+
+
+def _windows(x: np.ndarray, k: int) -> np.ndarray:
+    pad = np.pad(x, ((0, 0), (0, 0), (k // 2, k // 2), (k // 2, k // 2)))
+    return np.lib.stride_tricks.sliding_window_view(pad, (k, k), axis=(2, 3))
+
+
+class ImageNet:
+    """Convolutions with rectified outputs and one dense layer: from an image to its code, or (back) from a code to an image in (0, 1)."""
+
+    def __init__(self, image: tuple[int, int], channels: list[int], kernels: list[int], code: int, rng: np.random.Generator, prefix: str, back: bool = False):
+        self.image, self.channels, self.kernels, self.back, self.prefix = image, channels, kernels, back, prefix
+        flat = channels[-1] * image[0] * image[1]
+        he = lambda shape, into: rng.standard_normal(shape) * np.sqrt(2 / into)
+        m, n = (code, flat) if back else (flat, code)
+        self.par = {f"{prefix}w": he((m, n), m), f"{prefix}b": np.zeros(n)}
+        ends = list(zip([1, *channels], channels))
+        self.layers = [(o, i, k) if not back else (i, o, k) for (i, o), k in zip(ends, kernels)]  # channels out and in, width
+        if back:
+            self.layers.reverse()
+        for j, (o, i, k) in enumerate(self.layers):
+            self.par |= {f"{prefix}k{j}": he((o, i, k, k), i * k * k), f"{prefix}c{j}": np.zeros(o)}
+
+    def forward(self, x: np.ndarray) -> list[np.ndarray]:
+        """What each layer gives; the last is the output, with one row for each image."""
+        out, p = [x], self.prefix
+        if self.back:
+            out.append((x @ self.par[f"{p}w"] + self.par[f"{p}b"]).reshape(-1, self.channels[-1], *self.image))
+        else:
+            out.append(x.reshape(-1, 1, *self.image))
+        for j in range(len(self.layers)):
+            a = convolve(out[-1], self.par[f"{p}k{j}"]) + self.par[f"{p}c{j}"][:, None, None]
+            out.append(np.maximum(a, 0) if not self.back or j < len(self.layers) - 1 else 1 / (1 + np.exp(-a)))
+        flat = out[-1].reshape(len(x), -1)
+        out.append(flat if self.back else flat @ self.par[f"{p}w"] + self.par[f"{p}b"])
+        return out
+
+    def backward(self, acts: list[np.ndarray], grad: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """(gradients of the parameters, gradient of the input)."""
+        p, out = self.prefix, {}
+        if not self.back:
+            out |= {f"{p}w": acts[-2].reshape(len(grad), -1).T @ grad, f"{p}b": grad.sum(0)}
+            grad = grad @ self.par[f"{p}w"].T
+        grad = grad.reshape(acts[-2].shape)
+        for j in range(len(self.layers) - 1, -1, -1):
+            y = acts[j + 2]
+            grad = grad * (y * (1 - y) if self.back and j == len(self.layers) - 1 else y > 0)
+            w = self.par[f"{p}k{j}"]
+            out |= {f"{p}k{j}": np.tensordot(grad, _windows(acts[j + 1], w.shape[2]), axes=([0, 2, 3], [0, 2, 3])), f"{p}c{j}": grad.sum((0, 2, 3))}
+            grad = convolve(grad, w.transpose(1, 0, 2, 3)[:, :, ::-1, ::-1])
+        grad = grad.reshape(len(grad), -1)
+        if self.back:
+            out |= {f"{p}w": acts[0].T @ grad, f"{p}b": grad.sum(0)}
+            grad = grad @ self.par[f"{p}w"].T
+        return out, grad
+
+
 @register
 class RDFKC(_Pairwise):
     """Robust deep fuzzy k-means: each round a step of the networks, then centres, then memberships that neighbours smooth.
 
-    encoder and decoder are lists of layer widths; neighbours and their similarities are those of the first code. extras: code, loss.
+    encoder and decoder are lists of layer widths; neighbours and their similarities are those of the first code. With image, the height and
+    width of one-channel pictures whose rows of pixels are the features, the networks are convolutions (channels, kernels). extras: code, loss.
     """
 
-    PARAMS = {"k": 3, "encoder": None, "decoder": None, "code": 8, "max_iter": 100, "lr": 1e-4, "mu": 1.0, "gamma": 1e-4, "tau": 0.1, "neighbors": 10, "seed": 0}
+    # fixed values: the channels and kernel widths of the usual networks for pictures
+    PARAMS = {"k": 3, "encoder": None, "decoder": None, "image": None, "channels": (6, 12, 16), "kernels": (5, 3, 3), "code": 8, "max_iter": 100, "lr": 1e-4, "mu": 1.0, "gamma": 1e-4, "tau": 0.1, "neighbors": 10, "seed": 0}
 
     def robust(self, d):
         return (1 + self.tau) * (d + 2 * self.tau) / (2 * (d + self.tau) ** 2)
@@ -71,7 +133,13 @@ class RDFKC(_Pairwise):
         p, ids, x = self.rows(df)
         rng, k = np.random.default_rng(self.seed), self.k
         enc_sizes = [p.d, *(self.encoder or [max(2 * self.code, p.d), self.code])]
-        enc, dec = Net(enc_sizes, rng, "e"), Net([*(self.decoder or enc_sizes[::-1])], rng, "d")
+        if self.image is not None:
+            if self.image[0] * self.image[1] != p.d:
+                raise ValueError(f"{p.d} features are no picture of {self.image[0]} x {self.image[1]}")
+            shape = (tuple(self.image), list(self.channels), list(self.kernels), self.code, rng)
+            enc, dec = ImageNet(*shape, "e"), ImageNet(*shape, "d", back=True)
+        else:
+            enc, dec = Net(enc_sizes, rng, "e"), Net([*(self.decoder or enc_sizes[::-1])], rng, "d")
         z = enc.forward(x)[-1]
         u = uniform(ids, k, self.seed)
         u /= u.sum(1, keepdims=True)

@@ -44,6 +44,7 @@ def _circles(ids, n, seed):
 
 
 one = lambda y: np.ones(len(y))
+# fixed values: names of data sets and groups, numbers of clusters and dimensions, spreads and the turn of the usual synthetic sets
 SYNTHETIC: dict[str, Callable] = {
     "blobs": _blobs(3, 2, one),
     "moons": _moons,
@@ -93,11 +94,11 @@ def get_dataset(spark: SparkSession, name: str, n: int = 500, seed: int = 42, fo
 
 
 def read_table(spark: SparkSession, path: str, label: str = "label") -> DataFrame:
-    """(id, features, label) of a Parquet or CSV table of numbers; the id is a hash of the row, so that it needs no order."""
+    """(id, features, label) of a Parquet or CSV table of numbers. Ids are given by the place of a row in its files, so that equal rows stay apart."""
     df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
     label = label if label in df.columns else df.columns[-1]
     feats = [c for c, t in df.dtypes if c != label and t in ("int", "bigint", "double", "float", "smallint", "tinyint")]
-    return df.select(F.xxhash64(*df.columns).alias("id"), F.array(*[F.col(c).cast("double") for c in feats]).alias("features"), F.col(label).alias("label"))
+    return df.select(F.monotonically_increasing_id().alias("id"), F.array(*[F.col(c).cast("double") for c in feats]).alias("features"), F.col(label).alias("label"))
 
 
 def dataset_info(df: DataFrame) -> dict[str, int]:

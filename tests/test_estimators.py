@@ -385,3 +385,42 @@ def test_layers_of_the_graph_network_by_finite_differences(spark, sizes, norm):
         slope = (with_step(1e-6) - with_step(-1e-6)) / 2e-6
         assert abs(slope - (grads[name] * step).sum()) < 1e-3 * max(1, abs(slope)), name
     assert np.isfinite(u_of(graphs.NOCD(k=3, hidden_sizes=sizes, batch_norm=norm, max_epochs=60).fit(edges, nodes))).all()
+
+
+def test_convolutions_by_finite_differences_and_pictures(spark):
+    from penumbra.operators import autoencoder
+
+    r = np.random.default_rng(5)
+    for back in (False, True):
+        net = autoencoder.ImageNet((6, 5), [2, 3], [3, 5], 4, r, "n", back)
+        x = r.normal(size=(7, 4 if back else 30))
+        acts = net.forward(x)
+        assert acts[-1].shape == (7, 30 if back else 4)
+        to = r.normal(size=acts[-1].shape)
+        grads, gx = net.backward(acts, to)
+        assert set(grads) == set(net.par)
+
+        def slope(set_to, value, step):
+            at = []
+            for h in (1e-6, -1e-6):
+                set_to(value + h * step)
+                at.append((net.forward(x)[-1] * to).sum())
+            set_to(value)
+            return (at[0] - at[1]) / 2e-6
+
+        for name, value in list(net.par.items()):
+            step = r.normal(size=value.shape)
+            assert abs(slope(lambda v, n=name: net.par.__setitem__(n, v), value, step) - (grads[name] * step).sum()) < 1e-5, name
+        step = r.normal(size=x.shape)
+        plus, minus = ((net.forward(x + h * step)[-1] * to).sum() for h in (1e-6, -1e-6))
+        assert abs((plus - minus) / 2e-6 - (gx * step).sum()) < 1e-5
+    w = r.normal(size=(1, 1, 3, 3))
+    img = r.normal(size=(1, 1, 4, 4))
+    pad = np.pad(img[0, 0], 1)
+    assert np.allclose(autoencoder.convolve(img, w)[0, 0], [[(pad[i : i + 3, j : j + 3] * w[0, 0]).sum() for j in range(4)] for i in range(4)])
+    pictures = np.zeros((30, 8, 8))
+    pictures[:15, 1:4, 1:4] = pictures[15:, 4:7, 3:7] = 1
+    m = autoencoder.RDFKC(k=2, image=(8, 8), lr=1e-3, max_iter=15).fit(frame(spark, pictures.reshape(30, 64) + r.normal(0, 0.05, (30, 64))))
+    assert np.allclose(u_of(m).sum(1), 1) and m.history[-1] < m.history[0] and m.extras["code"].shape == (30, 8)
+    with pytest.raises(ValueError):
+        autoencoder.RDFKC(k=2, image=(3, 3)).fit(frame(spark))
