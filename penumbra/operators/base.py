@@ -17,11 +17,10 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penumbra.session import materialize
+from penumbra.session import cached, materialize
 
 LOCAL_VALUES = 4_000_000
 _SPREAD: ContextVar[bool] = ContextVar("spread", default=False)
@@ -99,7 +98,7 @@ class Points:
             self.n = len(self.local[0])
             return
         self.df = clean.groupBy("id").agg(F.min(F.struct("features", *extra)).alias("_r")).select("id", "_r.*")
-        self.df.persist(StorageLevel.MEMORY_AND_DISK)
+        cached(self.df, self)
         self.n = self.df.count()
 
     def reduce(self, fn: Callable[..., tuple]) -> list[np.ndarray]:

@@ -58,13 +58,19 @@ def neighbour_sums(edges: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def affiliation_step(edges: DataFrame, state: DataFrame, lr: float) -> DataFrame:
-    """One gradient step of the affiliation model on (node, k, v); nodes without edges stay as they are."""
-    a, b = state.alias("a"), state.alias("b")
-    inner = edges.alias("e").join(a, F.col("e.src") == F.col("a.node")).join(b, (F.col("e.dst") == F.col("b.node")) & (F.col("a.k") == F.col("b.k"))).groupBy("e.src", "e.dst").agg(F.sum(F.col("a.v") * F.col("b.v")).alias("x"))
-    coef = inner.select("src", "dst", (F.exp(-F.col("x")) / (1 - F.exp(-F.col("x")) + 1e-10)).alias("w"))
-    pull = neighbour_sums(coef, state)
+    """One gradient step of the affiliation model on (node, k, v); nodes without edges stay as they are.
+
+    A node's values travel as one array, so that an edge is one row however many columns there are.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("k", "v")))
+    rows = state.groupBy("node").agg(ordered.alias("f"))
+    a, b = rows.select(F.col("node").alias("src"), F.col("f.v").alias("a")), rows.select(F.col("node").alias("dst"), F.col("f").alias("b"))
+    dot = F.aggregate(F.zip_with("a", F.col("b.v"), lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    x = edges.select("src", "dst").join(a, "src").join(b, "dst").select("src", "b", dot.alias("x"))
+    pull = x.select("src", (F.exp(-F.col("x")) / (1 - F.exp(-F.col("x")) + 1e-10)).alias("w"), F.explode("b").alias("b"))
+    pull = pull.groupBy(F.col("src").alias("node"), F.col("b.k").alias("k")).agg(F.sum(F.col("w") * F.col("b.v")).alias("p"))
     totals = state.groupBy("k").agg(F.sum("v").alias("t"))
-    new = state.join(pull.withColumnRenamed("v", "p"), ["node", "k"], "left").join(F.broadcast(totals), "k")
+    new = state.join(pull, ["node", "k"], "left").join(F.broadcast(totals), "k")  # one row for each column
     grad = F.when(F.col("p").isNull(), 0.0).otherwise(F.col("p") - (F.col("t") - F.col("v")))
     return new.select("node", "k", F.greatest(F.col("v") + lr * grad, F.lit(1e-10)).alias("v"))
 

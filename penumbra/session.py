@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import weakref
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -56,6 +57,20 @@ def materialize(df: DataFrame, name: str = "t", partition_by: list[str] | None =
     return out
 
 
+def cached(df: DataFrame, owner: object) -> DataFrame:
+    """`df` cached on the executors for as long as its owner lives; what is read from it later is computed anew."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    weakref.finalize(owner, _release, df).atexit = False
+    return df
+
+
+def _release(df: DataFrame) -> None:
+    try:
+        df.unpersist()
+    except Exception:  # noqa: BLE001  the session may be gone
+        pass
+
+
 def forget(df: DataFrame) -> None:
     """Removes the table behind a frame that `materialize` gave, once nothing reads it any more; other frames are left alone."""
     ref, path = _WRITTEN.pop(id(df), (None, ""))
