@@ -64,3 +64,14 @@ def test_affiliations_of_more_edges_than_the_driver_holds(spark, in_blocks):
     a = u_of(op.fit(e))
     in_blocks()
     assert np.allclose(a, u_of(op.fit(e)))
+
+
+def test_factors_of_more_edges_than_the_driver_holds(spark, in_blocks):
+    e = edges_of(spark)
+    op = graphs.BayesianNMF(k=3, max_iter=3)
+    a = op.fit(e)
+    in_blocks()
+    b = op.fit(e)
+    assert np.allclose(u_of(a), u_of(b)) and np.allclose(a.extras["H"], b.extras["H"])
+
+
