@@ -75,3 +75,14 @@ def test_factors_of_more_edges_than_the_driver_holds(spark, in_blocks):
     assert np.allclose(u_of(a), u_of(b)) and np.allclose(a.extras["H"], b.extras["H"])
 
 
+def test_normalised_edges_of_more_than_the_driver_holds(spark, in_blocks):
+    e = edges_of(spark)
+    rows = lambda: {(r["src"], r["dst"]): r["w"] for r in graphs.normalised_edges(graphs.Graph(e)).collect()}
+    a = rows()
+    in_blocks()
+    b = rows()
+    assert a.keys() == b.keys() and len(a) == graphs.symmetric(e).count() and all(abs(a[x] - b[x]) < 1e-12 for x in a)
+    deg = {r["src"]: r["count"] + 1 for r in graphs.symmetric(e).groupBy("src").count().collect()}
+    assert all(abs(w - (deg[s] * deg[d]) ** -0.5) < 1e-12 for (s, d), w in a.items())
+
+
