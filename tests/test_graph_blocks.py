@@ -86,3 +86,10 @@ def test_normalised_edges_of_more_than_the_driver_holds(spark, in_blocks):
     assert all(abs(w - (deg[s] * deg[d]) ** -0.5) < 1e-12 for (s, d), w in a.items())
 
 
+def test_bernoulli_poisson_loss_of_more_edges_than_the_driver_holds(spark, in_blocks):
+    e = edges_of(spark)
+    a = graphs.Graph(e)
+    z = R.random((a.n, 2))
+    in_blocks()
+    b = graphs.Graph(e)
+    assert all(np.isclose(graphs.berpo(a, z, x), graphs.berpo(b, z, x)) for x in (True, False))
