@@ -86,6 +86,16 @@ def test_normalised_edges_of_more_than_the_driver_holds(spark, in_blocks):
     assert all(abs(w - (deg[s] * deg[d]) ** -0.5) < 1e-12 for (s, d), w in a.items())
 
 
+@pytest.mark.parametrize("op", [graphs.CDCGS(k=3).value, graphs.CDCGS(k=3, objective="block_diagonal").value], ids=["modularity", "blocks"])
+def test_losses_of_more_edges_than_the_driver_holds(spark, in_blocks, op):
+    e = edges_of(spark)
+    a = graphs.Graph(e)
+    c = graphs.softmax(R.normal(size=(a.n, 3)))
+    in_blocks()
+    (x, gx), (y, gy) = op(a, c), op(graphs.Graph(e), c)
+    assert np.isclose(x, y) and np.allclose(gx, gy)
+
+
 def test_bernoulli_poisson_loss_of_more_edges_than_the_driver_holds(spark, in_blocks):
     e = edges_of(spark)
     a = graphs.Graph(e)
