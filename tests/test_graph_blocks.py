@@ -86,7 +86,7 @@ def test_normalised_edges_of_more_than_the_driver_holds(spark, in_blocks):
     assert all(abs(w - (deg[s] * deg[d]) ** -0.5) < 1e-12 for (s, d), w in a.items())
 
 
-@pytest.mark.parametrize("op", [graphs.CDCGS(k=3).value, graphs.CDCGS(k=3, objective="block_diagonal").value], ids=["modularity", "blocks"])
+@pytest.mark.parametrize("op", [graphs.CDCGS(k=3).value, graphs.CDCGS(k=3, objective="block_diagonal").value, graphs.DMoN(k=3).loss], ids=["modularity", "blocks", "dmon"])
 def test_losses_of_more_edges_than_the_driver_holds(spark, in_blocks, op):
     e = edges_of(spark)
     a = graphs.Graph(e)
