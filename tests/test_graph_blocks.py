@@ -1,5 +1,8 @@
 """Graphs whose edges stay a table of blocks give what those on the driver give."""
 
+import runpy
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -103,3 +106,32 @@ def test_bernoulli_poisson_loss_of_more_edges_than_the_driver_holds(spark, in_bl
     in_blocks()
     b = graphs.Graph(e)
     assert all(np.isclose(graphs.berpo(a, z, x), graphs.berpo(b, z, x)) for x in (True, False))
+
+
+def test_blockmodel_sweeps_alike_nodes_once(spark, monkeypatch):
+    """Two kinds of nodes that are all linked, loose nodes and a tail: fewer classes than nodes, and what single pairs give."""
+    blocks_by_pairs = runpy.run_path(str(Path(__file__).with_name("test_estimators.py")))["blocks_by_pairs"]
+    n, links = 46, [(i, j) for i in range(24) for j in range(24, 36)] + [(36, 0), (36, 1), (40, 41), (42, 43), (44, 45)]
+    y = np.zeros((n, n))
+    for i, j in links:
+        y[i, j] = y[j, i] = 0.5 if i >= 40 else 1.0
+    e = spark.createDataFrame([(i, j, float(y[i, j])) for i, j in links], "src bigint, dst bigint, w double")
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "id bigint")
+    z = np.arange(n) % 3
+    soft = np.full((n, 3), 0.1 / 3) + 0.9 * np.eye(3)[z]
+    g = graphs.Graph(e, nodes)
+    c = graphs.Classes(g.s, g.d, g.w, z)
+    assert 2 * len(c.size) <= n and c.size.sum() == n
+    alone = []
+    for rounds in (graphs.Classes.ROUNDS, 1):  # 1: not settled, so each node is alone
+        monkeypatch.setattr(graphs.Classes, "ROUNDS", rounds)
+        alone.append(len(graphs.Classes(g.s, g.d, g.w, z).size))
+        for limit in (10**9, 0):
+            monkeypatch.setattr(graphs.MMSB, "LOCAL", limit)
+            monkeypatch.setattr(graphs.MMSB, "TILE", 300)
+            # the states of all pairs are more than there may be, those of the classes are not
+            monkeypatch.setattr(graphs.MMSB, "PAIRS", n * n * 3 - 1 if rounds > 1 else 10**9)
+            m = graphs.MMSB(k=3, init=z, max_iter=3, n_inner=2, tol=0.0).fit(e, nodes)
+            want = blocks_by_pairs(y, soft, 0.5, 3, 2)
+            assert np.allclose(m.extras["block_matrix"], want[0]) and np.allclose(m.extras["gamma"], want[1])
+    assert alone[1] == n > alone[0]
