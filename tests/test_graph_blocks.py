@@ -135,3 +135,18 @@ def test_blockmodel_sweeps_alike_nodes_once(spark, monkeypatch):
             want = blocks_by_pairs(y, soft, 0.5, 3, 2)
             assert np.allclose(m.extras["block_matrix"], want[0]) and np.allclose(m.extras["gamma"], want[1])
     assert alone[1] == n > alone[0]
+
+
+def test_nodes_with_the_same_neighbours_are_summed_up_once(spark, in_blocks):
+    e = spark.createDataFrame([(i, j, 1.0 + i % 3) for i in range(20) for j in range(100, 104)] + [(0, 1, 1.0), (200, 5, 2.0)], "src bigint, dst bigint, w double")
+    nodes = spark.createDataFrame([(999,)], "id bigint")
+    g = graphs.Graph(e, nodes)
+    a = np.zeros((g.n, g.n))
+    a[g.s, g.d] = 1
+    x = R.normal(size=(g.n, 5))
+    assert g.alike[3] < 9 and len(g.alike[1]) < g.m / 2 and np.allclose(g.near(x), a @ x)
+    loops = a + np.eye(g.n)
+    half = loops.sum(1) ** -0.5
+    assert np.allclose(graphs.normalised(g)(x), (half[:, None] * loops * half) @ x)
+    in_blocks()
+    assert np.allclose(graphs.Graph(e, nodes).near(x), a @ x)
